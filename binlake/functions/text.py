@@ -48,7 +48,7 @@ def constants(col: Column, max_constants: int = 6) -> Column:
     """Distinctive numbers, hex literals first, as DECIMAL(38,0)."""
     hexes = F.transform(matches(col, HEX_LITERAL, 1), addr.hex_decimal)
     decs = F.transform(matches(col, DEC_LITERAL, 1), lambda s: s.try_cast("decimal(38,0)"))
-    common = F.array(*[F.lit(v).cast("decimal(38,0)") for v in COMMON_CONSTANTS])
+    common = F.array(*[F.lit(str(v)).cast("decimal(38,0)") for v in COMMON_CONSTANTS])
     kept = F.filter(F.concat(hexes, decs), lambda v: v.isNotNull() & ~F.array_contains(common, v))
     return F.slice(F.array_distinct(kept), 1, max_constants)
 

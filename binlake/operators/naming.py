@@ -123,6 +123,6 @@ def overview_prompt(sample: DataFrame, totals: DataFrame) -> DataFrame:
         F.lit("  "), r["name"], F.lit("  ("), r["size"].cast("string"), F.lit(" bytes)")))
     rows = sample.groupBy("binary").agg(F.array_join(lines, "\n").alias("context"), F.count("*").alias("shown"))
     return rows.join(totals.select("binary", "total"), "binary").select("binary", F.concat(
-        F.lit("Up to "), F.col("shown").cast("string"), F.lit(" functions of a binary with "),
+        F.lit("Up to "), F.col("shown").cast("string"), F.lit(" functions of an image with "),
         F.format_number("total", 0), F.lit(" functions:\n\n"), F.col("context"),
         F.lit("\n\nWhat does it likely do, which parts does it have, and what is relevant to security?")).alias("prompt"))
