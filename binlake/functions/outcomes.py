@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import addr, text
+from .binding import let
 
 # Fixed values.
 CRASH_EXIT_CODES = {139: "segv", 134: "abort", 136: "fpe", 135: "bus"}
@@ -84,42 +85,52 @@ def printable_ratio(payload: Column) -> Column:
     return _byte_ratio(_latin(payload), F.length(payload), r"\x20-\x7E")
 
 
-def longest_run(payload: Column) -> Column:
-    runs = F.regexp_extract_all(_latin(payload), F.lit(r"(?s)(.)\1*"), 0)
+def _run_length(chars: Column) -> Column:
+    runs = F.regexp_extract_all(chars, F.lit(r"(?s)(.)\1*"), 0)
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
-def specifier_count(payload: Column) -> Column:
-    chars = _latin(payload)
+def longest_run(payload: Column) -> Column:
+    return _run_length(_latin(payload))
+
+
+def _specifiers(chars: Column) -> Column:
     return sum((text.occurrences(chars, s) for s in FORMAT_SPECIFIERS), F.lit(0))
 
 
+def specifier_count(payload: Column) -> Column:
+    return _specifiers(_latin(payload))
+
+
 def single_byte(payload: Column) -> Column:
     return F.coalesce((F.length(payload) > 0) & (longest_run(payload) == F.length(payload)), F.lit(False))
 
 
 def input_features(mode: Column, payload: Column) -> Column:
     """17 named features of an input; all but the length-free flags lie in [0, 1]."""
-    n, chars = F.length(payload), _latin(payload)
-    head = F.substring(chars, 1, 1)
-    return F.struct(
-        flag(mode == "stdin").alias("is_stdin"),
-        flag(mode == "argv").alias("is_argv"),
-        unit(n, 256.0).alias("length"),
-        _byte_ratio(chars, n, r"\x20-\x7E").alias("printable"),
-        _byte_ratio(chars, n, "0-9").alias("digits"),
-        _byte_ratio(chars, n, "A-Za-z").alias("letters"),
-        _byte_ratio(chars, n, r"\x00").alias("nulls"),
-        _byte_ratio(chars, n, r"\x80-\xFF").alias("high"),
-        _byte_ratio(chars, n, r" \t\n").alias("blank"),
-        unit(longest_run(payload), 64.0).alias("longest_run"),
-        (text.entropy(chars) / 8.0).alias("entropy"),
-        unit(specifier_count(payload), 4.0).alias("specifiers"),
-        flag(head.isin("A", "B", "C", "D")).alias("routed"),
-        flag(n == 0).alias("is_empty"),
-        flag(n.isin(*BOUNDARY_LENGTHS)).alias("boundary_length"),
-        flag(chars.contains("\n")).alias("has_newline"),
-        flag(single_byte(payload)).alias("single_byte"))
+    n = F.length(payload)
+    def of(chars: Column) -> Column:
+        head = F.substring(chars, 1, 1)
+        run = _run_length(chars)
+        return F.struct(
+            flag(mode == "stdin").alias("is_stdin"),
+            flag(mode == "argv").alias("is_argv"),
+            unit(n, 256.0).alias("length"),
+            _byte_ratio(chars, n, r"\x20-\x7E").alias("printable"),
+            _byte_ratio(chars, n, "0-9").alias("digits"),
+            _byte_ratio(chars, n, "A-Za-z").alias("letters"),
+            _byte_ratio(chars, n, r"\x00").alias("nulls"),
+            _byte_ratio(chars, n, r"\x80-\xFF").alias("high"),
+            _byte_ratio(chars, n, r" \t\n").alias("blank"),
+            unit(run, 64.0).alias("longest_run"),
+            (text.entropy(chars) / 8.0).alias("entropy"),
+            unit(_specifiers(chars), 4.0).alias("specifiers"),
+            flag(head.isin("A", "B", "C", "D")).alias("routed"),
+            flag(n == 0).alias("is_empty"),
+            flag(n.isin(*BOUNDARY_LENGTHS)).alias("boundary_length"),
+            flag(chars.contains("\n")).alias("has_newline"),
+            flag((n > 0) & (run == n)).alias("single_byte"))
+    return let(_latin(payload), of)
 
 
 def input_family(payload: Column) -> Column:

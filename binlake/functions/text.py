@@ -7,12 +7,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import addr
+from .binding import let
 
 WORD = "[A-Za-z0-9_]"
 
 # Fixed values of the extraction rules.
 QUOTED = r'"([^"]{1,200})"'
-FORMAT_ONLY = r'^["%# +\-0-9.*hlLzjt]*[diouxXeEfFgAcspn%]$'
+FORMAT_ONLY = r'^["%# +\-0-9.*hlLzjt]*[diouxXeEfFgAcspn%]\z'
 HEX_LITERAL = rf"(?<!{WORD})0x([0-9a-fA-F]{{2,}})(?!{WORD})"
 DEC_LITERAL = rf"((?<={WORD})-[0-9]{{4,}}|(?<!{WORD})[0-9]{{4,}})(?!{WORD})"
 COMMON_CONSTANTS = (0, 1, -1, 2, 4, 8, 0xFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF)
@@ -127,12 +128,13 @@ def pointer_args(args: Column) -> Column:
 
 def entropy(col: Column) -> Column:
     """Shannon entropy in bits per character; 0 for empty text."""
-    n = F.length(col)
-    chars = F.array_sort(F.array_distinct(F.filter(F.split(col, ""), lambda c: c != "")))
-    def step(acc, ch):
-        p = (n - F.length(F.replace(col, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
-    return F.when(n > 0, F.aggregate(chars, F.lit(0.0), step)).otherwise(F.lit(0.0))
+    def total(text: Column) -> Column:
+        chars = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
+        def step(acc, ch):
+            p = (F.length(text) - F.length(F.replace(text, ch, F.lit("")))) / F.length(text)
+            return acc - p * F.log2(p)
+        return F.aggregate(chars, F.lit(0.0), step)
+    return F.when(F.length(col) > 0, let(col, total)).otherwise(F.lit(0.0))
 
 
 def instruction_line(address: Column, text: Column) -> Column:
@@ -204,9 +206,11 @@ def struct_layout(col: Column) -> Column:
     pairs = F.transform(member_accesses(col), lambda p: F.struct(
         F.substring_index(p, ":", 1).alias("type"),
         F.substring_index(p, ":", -1).cast("bigint").alias("offset")))
-    types = F.array_distinct(F.transform(pairs, lambda p: p["type"]))
-    return F.transform(types, lambda t: F.struct(t.alias("type"), F.array_sort(F.transform(
-        F.filter(pairs, lambda p: p["type"] == t), lambda p: p["offset"])).alias("offsets")))
+    def grouped(found: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(found, lambda p: p["type"])), lambda t: F.struct(
+            t.alias("type"), F.array_sort(F.transform(F.filter(found, lambda p: p["type"] == t),
+                                                      lambda p: p["offset"])).alias("offsets")))
+    return let(pairs, grouped)
 
 
 def field_addresses(col: Column, base: int = 0x20000) -> Column:

@@ -5,6 +5,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 DIM = 104
 
 # Mnemonic categories 0..6.  Where the published table repeats a mnemonic the later
@@ -39,11 +41,11 @@ def bucket8(text: Column) -> Column:
     return F.conv(F.right(F.md5(text.cast("binary")), F.lit(1)), 16, 10).cast("int") % 8
 
 
-def _shares(labels: Column, keys, floor_one: bool = True) -> Column:
-    """Share of each key among the (non-null) labels."""
-    total = F.greatest(F.lit(1), F.size(labels))
-    return F.transform(F.array(*[F.lit(k) for k in keys]),
-                       lambda k: F.size(F.filter(labels, lambda x: x == k)) / total)
+def _shares(labels: Column, keys) -> Column:
+    """Share of each key among the labels."""
+    return let(labels, lambda found: F.transform(
+        F.array(*[F.lit(k) for k in keys]),
+        lambda k: F.size(F.filter(found, lambda x: x == k)) / F.greatest(F.lit(1), F.size(found))))
 
 
 def mnemonic_category(mnemonic: Column) -> Column:
@@ -64,10 +66,11 @@ def keyword_frequencies(pseudocode: Column) -> Column:
     words = F.transform(F.coalesce(F.regexp_extract_all(pseudocode, F.lit("[a-zA-Z_][A-Za-z0-9_]*"), 0),
                                    F.array().cast("array<string>")), F.lower)
     low = [k.lower() for k in KEYWORDS]
-    hits = F.filter(words, lambda w: w.isin(*low))
-    total = F.greatest(F.lit(1), F.size(words))
-    return F.transform(F.array(*[F.lit(k) for k in low]),
-                       lambda k: F.size(F.filter(hits, lambda x: x == k)) / total)
+    def shares(found: Column, total: Column) -> Column:
+        return F.transform(F.array(*[F.lit(k) for k in low]),
+                           lambda k: F.size(F.filter(found, lambda x: x == k)) / F.greatest(F.lit(1), total))
+    return let(words, lambda w: let(F.size(w), lambda n: let(
+        F.filter(w, lambda x: x.isin(*low)), lambda hits: shares(hits, n))))
 
 
 def hash_buckets(texts: Column) -> Column:
