@@ -179,7 +179,7 @@ def command_outcome_features(r: dict[str, Column]) -> Column:
         flag(low.contains("permission denied")), flag(low.contains("usage")),
         flag(F.substring(out, 1, 200).rlike("[0-9]")), flag(~blank), flag(err.rlike(r"\S")),
         unit(r["duration"], 8.0), flag(r["destructive"]), flag(code == -1), flag(code == 127),
-        flag(code == 126), flag(out.rlike(r"(?s)\S.*\n.*\S")), flag(F.length(out) > 2000),
+        flag(code == 126), flag(text.strip(out).contains("\n")), flag(F.length(out) > 2000),
         flag((code == 0) & blank), F.lit(1.0))
 
 

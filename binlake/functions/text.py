@@ -167,28 +167,28 @@ def chat(system: Column, user: Column) -> Column:
                     F.lit("</im>\n<im>assistant</im>\n"))
 
 
-def _strip(col: Column) -> Column:
+def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
 def strip_think(col: Column) -> Column:
-    return _strip(F.regexp_replace(col, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(col, r"(?s)<think>.*?</think>", ""))
 
 
 def _lines(col: Column) -> Column:
-    return F.transform(F.split(col, r"\r\n|\r|\n"), _strip)
+    return F.transform(F.split(col, r"\r\n|\r|\n"), strip)
 
 
 def response_name(col: Column) -> Column:
     """First NAME: line whose first token is an identifier; null when there is none."""
     heads = F.filter(_lines(col), lambda x: F.upper(x).startswith("NAME:"))
-    tokens = F.transform(heads, lambda x: F.split(_strip(F.substring(x, 6, 1_000_000_000)), r"\s+")[0])
+    tokens = F.transform(heads, lambda x: F.split(strip(F.substring(x, 6, 1_000_000_000)), r"\s+")[0])
     return F.get(F.filter(tokens, lambda t: t.rlike("^[A-Za-z_][A-Za-z0-9_]*$")), F.lit(0))
 
 
 def response_reason(col: Column) -> Column:
     at = F.instr(col, "REASON:")
-    return F.when(at > 0, _strip(F.substring(col, at + 7, F.length(col)))).otherwise("")
+    return F.when(at > 0, strip(F.substring(col, at + 7, F.length(col)))).otherwise("")
 
 
 def response_first_line(col: Column) -> Column:

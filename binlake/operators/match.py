@@ -39,4 +39,4 @@ def port_lines(matches: DataFrame, auto: float = AUTO, hint: float = HINT) -> Da
 def hints(matches: DataFrame, auto: float = AUTO, hint: float = HINT) -> DataFrame:
     return (gated(matches, auto, hint).filter("gate = 'hint'").select(
         F.col("address2").alias("address_new"), F.col("name").alias("name_old"),
-        F.round("ratio", 3).alias("ratio"), "description"))
+        F.bround("ratio", 3).alias("ratio"), "description"))

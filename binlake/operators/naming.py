@@ -67,7 +67,7 @@ def baseline(functions: DataFrame, sample_size: int = 100) -> DataFrame:
                                           F.count_if("is_named").alias("sample_named"))
     return (totals.join(sample, "binary").select(
         "binary", F.col("total").alias("total_functions"), "named", (F.col("total") - F.col("named")).alias("unnamed"),
-        F.round(100.0 * F.col("named") / F.col("total"), 1).alias("coverage_pct"), "sample_size", "sample_named",
+        F.bround(100.0 * F.col("named") / F.col("total"), 1).alias("coverage_pct"), "sample_size", "sample_named",
         (F.col("sample_size") - F.col("sample_named")).alias("sample_unnamed")))
 
 

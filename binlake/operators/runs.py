@@ -20,7 +20,7 @@ def parse_exec(records: DataFrame, text: str = "record") -> DataFrame:
     after = F.regexp_replace(rest, r"^[^\n]*\n", "")
     head = F.substring_index(after, "===OUT", 1)
     block = F.when(head.contains("===COV"), F.regexp_replace(head, r"(?s)^.*?===COV", "")).otherwise(head)
-    lines = F.filter(F.transform(F.split(block, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(block, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = F.substring(after, F.instr(after, "===OUT") + 6, F.length(after))
     none = F.array().cast("array<string>")
     return records.withColumns({

@@ -179,6 +179,11 @@ def compare_runs(original: DataFrame, recompiled: DataFrame, returns: DataFrame,
                     F.when(ok, "equivalent").otherwise(details).alias("reason"), details.alias("details"))
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal, exact ties to even."""
+    return F.format_string("%.1f", F.bround(value.cast("double"), 1))
+
+
 def sample(functions: DataFrame, n: int = 50) -> DataFrame:
     """Functions with pseudocode, shortest text first."""
     return (functions.filter(F.coalesce("pseudocode", F.lit("")) != "")
@@ -192,8 +197,8 @@ def eligibility_rate(functions: DataFrame, sample_size: int = 20) -> DataFrame:
              .filter(F.col("_r") <= 3 * sample_size))
     out = small.groupBy("binary").agg(F.count("*").alias("total_checked"),
                                       F.count_if(T.eligible(F.col("pseudocode"))).alias("oracle_eligible"))
-    return out.withColumn("eligibility_rate", F.concat(F.format_number(
-        100.0 * F.col("oracle_eligible") / F.greatest(F.lit(1), "total_checked"), "0.0"), F.lit("%")))
+    return out.withColumn("eligibility_rate", F.concat(one_decimal(
+        100.0 * F.col("oracle_eligible") / F.greatest(F.lit(1), "total_checked")), F.lit("%")))
 
 
 def report(attempts: DataFrame) -> DataFrame:
@@ -207,7 +212,7 @@ def report(attempts: DataFrame) -> DataFrame:
         F.count_if(e & ~v & F.col("compiled")).alias("compile_fail"), F.count_if(~e).alias("not_eligible"),
         F.sum("elapsed_s").alias("elapsed_s"))
     def share(n: str, d: str) -> Column:
-        return F.format_number(100.0 * F.col(n) / F.greatest(F.lit(1), d), "0.0")
+        return one_decimal(100.0 * F.col(n) / F.greatest(F.lit(1), d))
     return out.withColumn("report", F.concat_ws(
         "\n", F.lit("=== Verified Decompilation Report ==="), F.concat(F.lit("Binary: "), F.col("binary")),
         F.concat(F.lit("Total functions: "), F.col("total").cast("string")), F.lit(""),
@@ -217,7 +222,7 @@ def report(attempts: DataFrame) -> DataFrame:
                  share("verified", "oracle_eligible"), F.lit("% of eligible)")),
         F.concat(F.lit("Compile fail: "), F.col("compile_fail").cast("string")),
         F.concat(F.lit("Not eligible: "), F.col("not_eligible").cast("string")), F.lit(""),
-        F.concat(F.lit("Time: "), F.format_number(F.col("elapsed_s"), "0.0"), F.lit("s"))))
+        F.concat(F.lit("Time: "), one_decimal(F.col("elapsed_s")), F.lit("s"))))
 
 
 def cache_put(cache: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ def naming_apply_dictionary(t):
 
 
 @q("functions", """SELECT binary, count(*) AS total_functions, count(*) FILTER (named) AS named, count(*) FILTER (NOT named) AS unnamed,
-    round(100.0 * count(*) FILTER (named) / count(*), 1) AS coverage_pct, count(*) FILTER (picked) AS sample_size,
+    round_even(100.0 * count(*) FILTER (named) / count(*), 1) AS coverage_pct, count(*) FILTER (picked) AS sample_size,
     count(*) FILTER (picked AND named) AS sample_named, count(*) FILTER (picked AND NOT named) AS sample_unnamed
     FROM (SELECT *, (rn % greatest(1, n // 10)) = 0 AND rn // greatest(1, n // 10) < 10 AS picked FROM (
         SELECT binary, NOT starts_with(name, 'sub_') AS named, count(*) OVER (PARTITION BY binary) AS n,

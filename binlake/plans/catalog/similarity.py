@@ -143,7 +143,7 @@ def match_port_lines(t):
     return match.port_lines(normalize_matches(t.matches()))
 
 
-@q("matches", "SELECT address2 AS address_new, name AS name_old, round(ratio, 3) AS ratio, description FROM matches WHERE ratio >= 0.8 AND ratio < 0.95")
+@q("matches", "SELECT address2 AS address_new, name AS name_old, round_even(ratio, 3) AS ratio, description FROM matches WHERE ratio >= 0.8 AND ratio < 0.95")
 def match_hints(t):
     return match.hints(normalize_matches(t.matches()))
 

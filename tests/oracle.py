@@ -39,8 +39,8 @@ def compare(spark, con, folder, name, query, sql):
     if got[0] != want[0]:
         return f"{name}: columns {got[0]} != {want[0]}"
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        missing = [r for r in want[1] if r not in set(got[1])][:3]
+        g, w = set(got[1]), set(want[1])
+        extra, missing = sorted(g - w)[:3], sorted(w - g)[:3]
         return f"{name}: {len(got[1])} vs {len(want[1])} rows {got[0]}\n  spark only {extra}\n  sql only {missing}"[:3000]
     if not got[1]:
         return f"{name}: no rows on either side"
