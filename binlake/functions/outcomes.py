@@ -1,10 +1,11 @@
 """Outcome labels, input features and behaviour signatures of recorded runs."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from . import addr, text
-from .binding import let
 
 # Fixed values.
 CRASH_EXIT_CODES = {139: "segv", 134: "abort", 136: "fpe", 135: "bus"}
@@ -85,52 +86,49 @@ def printable_ratio(payload: Column) -> Column:
     return _byte_ratio(_latin(payload), F.length(payload), r"\x20-\x7E")
 
 
-def _run_length(chars: Column) -> Column:
-    runs = F.regexp_extract_all(chars, F.lit(r"(?s)(.)\1*"), 0)
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
-
-
-def longest_run(payload: Column) -> Column:
-    return _run_length(_latin(payload))
+def specifier_count(payload: Column) -> Column:
+    return sum((text.occurrences(_latin(payload), s) for s in FORMAT_SPECIFIERS), F.lit(0))
 
 
-def _specifiers(chars: Column) -> Column:
-    return sum((text.occurrences(chars, s) for s in FORMAT_SPECIFIERS), F.lit(0))
+def single_byte(payload: Column) -> Column:
+    """Non-empty and made of one repeated byte."""
+    h = F.hex(payload)
+    return (F.length(payload) > 0) & (F.length(F.regexp_replace(h, F.concat(F.lit("(?:"), F.substring(h, 1, 2), F.lit(")+")), F.lit(""))) == 0)
 
 
-def specifier_count(payload: Column) -> Column:
-    return _specifiers(_latin(payload))
+# byte-statistics fields, in order
+BYTE_STATS = ("printable", "digits", "letters", "nulls", "high", "blank", "longest_run", "entropy")
 
 
-def single_byte(payload: Column) -> Column:
-    return F.coalesce((F.length(payload) > 0) & (longest_run(payload) == F.length(payload)), F.lit(False))
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in BYTE_STATS]))
+def _byte_stats(payloads: pd.Series) -> pd.DataFrame:
+    out = np.zeros((len(payloads), len(BYTE_STATS)))
+    for i, raw in enumerate(payloads):
+        arr = np.frombuffer(raw or b"", np.uint8)
+        if not len(arr):
+            continue
+        share = np.bincount(arr, minlength=256) / len(arr)
+        edges = np.flatnonzero(np.diff(arr))
+        run = np.diff(np.concatenate(([-1], edges, [len(arr) - 1]))).max()
+        p = share[share > 0]
+        out[i] = (share[32:127].sum(), share[48:58].sum(), share[65:91].sum() + share[97:123].sum(), share[0],
+                  share[128:].sum(), share[[9, 10, 32]].sum(), min(run / 64.0, 1.0), -(p * np.log2(p)).sum() / 8.0)
+    return pd.DataFrame(out, columns=list(BYTE_STATS))
 
 
 def input_features(mode: Column, payload: Column) -> Column:
-    """17 named features of an input; all but the length-free flags lie in [0, 1]."""
-    n = F.length(payload)
-    def of(chars: Column) -> Column:
-        head = F.substring(chars, 1, 1)
-        run = _run_length(chars)
-        return F.struct(
-            flag(mode == "stdin").alias("is_stdin"),
-            flag(mode == "argv").alias("is_argv"),
-            unit(n, 256.0).alias("length"),
-            _byte_ratio(chars, n, r"\x20-\x7E").alias("printable"),
-            _byte_ratio(chars, n, "0-9").alias("digits"),
-            _byte_ratio(chars, n, "A-Za-z").alias("letters"),
-            _byte_ratio(chars, n, r"\x00").alias("nulls"),
-            _byte_ratio(chars, n, r"\x80-\xFF").alias("high"),
-            _byte_ratio(chars, n, r" \t\n").alias("blank"),
-            unit(run, 64.0).alias("longest_run"),
-            (text.entropy(chars) / 8.0).alias("entropy"),
-            unit(_specifiers(chars), 4.0).alias("specifiers"),
-            flag(head.isin("A", "B", "C", "D")).alias("routed"),
-            flag(n == 0).alias("is_empty"),
-            flag(n.isin(*BOUNDARY_LENGTHS)).alias("boundary_length"),
-            flag(chars.contains("\n")).alias("has_newline"),
-            flag((n > 0) & (run == n)).alias("single_byte"))
-    return let(_latin(payload), of)
+    """17 features of an input (a struct); ratios and lengths lie in [0, 1].
+
+    Byte counts come from one Arrow pass per batch, the rest are plain expressions.
+    """
+    n, stats = F.length(payload), _byte_stats(payload)
+    head = F.hex(F.substring(payload, 1, 1))
+    return F.struct(
+        flag(mode == "stdin").alias("is_stdin"), flag(mode == "argv").alias("is_argv"), unit(n, 256.0).alias("length"),
+        *[stats[name].alias(name) for name in BYTE_STATS],
+        unit(specifier_count(payload), 4.0).alias("specifiers"), flag(head.isin("41", "42", "43", "44")).alias("routed"),
+        flag(n == 0).alias("is_empty"), flag(n.isin(*BOUNDARY_LENGTHS)).alias("boundary_length"),
+        flag(_latin(payload).contains("\n")).alias("has_newline"), flag(single_byte(payload)).alias("single_byte"))
 
 
 def input_family(payload: Column) -> Column:

@@ -4,7 +4,9 @@ Word classes are ASCII on purpose: every engine that may cross-check a result th
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from . import addr
 from .binding import let
@@ -126,15 +128,20 @@ def pointer_args(args: Column) -> Column:
     return F.filter(idx, lambda i: i.isNotNull())
 
 
+@F.pandas_udf(T.DoubleType())
+def _entropy(texts: pd.Series) -> pd.Series:
+    def bits(s: str) -> float:
+        if not s:
+            return 0.0
+        _, n = np.unique(np.frombuffer(s.encode("utf-32-le"), "<u4"), return_counts=True)
+        p = n / n.sum()
+        return float(-(p * np.log2(p)).sum()) + 0.0
+    return texts.map(bits)
+
+
 def entropy(col: Column) -> Column:
     """Shannon entropy in bits per character; 0 for empty text."""
-    def total(text: Column) -> Column:
-        chars = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
-        def step(acc, ch):
-            p = (F.length(text) - F.length(F.replace(text, ch, F.lit("")))) / F.length(text)
-            return acc - p * F.log2(p)
-        return F.aggregate(chars, F.lit(0.0), step)
-    return F.when(F.length(col) > 0, let(col, total)).otherwise(F.lit(0.0))
+    return _entropy(F.coalesce(col, F.lit("")))
 
 
 def instruction_line(address: Column, text: Column) -> Column:

@@ -116,8 +116,9 @@ def _arm64_hits(va: pd.Series, data: pd.Series) -> pd.DataFrame:
 def arm64_words(blobs: DataFrame, size: int = CHUNK) -> DataFrame:
     """AArch64 prologues, call targets and block heads as rows (path, kind, addr)."""
     rows = chunks(blobs, max(4, size // 4 * 4)).select("path", _arm64_hits("va", "data").alias("h"))
-    tall = F.flatten(F.array(*[F.transform(F.col(f"h.{k}"), lambda a, k=k: F.struct(
-        F.lit(k).alias("kind"), a.alias("addr"))) for k in WORD_KINDS]))
+    def tagged(kind: str) -> Column:
+        return F.transform(F.col(f"h.{kind}"), lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("addr")))
+    tall = F.flatten(F.array(*[tagged(k) for k in WORD_KINDS]))
     return rows.select("path", F.explode(tall).alias("x")).select("path", "x.*").distinct()
 
 

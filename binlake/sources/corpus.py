@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.addr import le_uint
+from ..functions.binding import let
 from ..plans.ranges import range_join
 
 SEED_LIMIT, SEED_FILES = 1 << 20, 64
@@ -44,42 +45,52 @@ def is_pe() -> Column:
 
 def elf_sections() -> Column:
     """Memory-mapped ELF sections, 32- and 64-bit, read off the header bytes alone."""
-    h = header_hex()
-    is64 = F.substring(h, 9, 2) == "02"
-    shoff = F.when(is64, le_uint(h, 40, 8)).otherwise(le_uint(h, 32, 4))
-    entsize = F.when(is64, le_uint(h, 58, 2)).otherwise(le_uint(h, 46, 2)).cast("int")
-    count = F.when(is64, le_uint(h, 60, 2)).otherwise(le_uint(h, 48, 2)).cast("int")
-    table = F.hex(F.substring(F.col("content"), (shoff + 1).cast("int"), entsize * count))
-    def row(i: Column) -> Column:
-        at = i * entsize + 4
-        def field(n: int) -> Column:  # type, flags, addr, offset, size
-            wide = le_uint(table, at + (0 if n == 0 else 4 + 8 * (n - 1)), 4 if n == 0 else 8)
-            return F.when(is64, wide).otherwise(le_uint(table, at + 4 * n, 4))
-        nobits = field(0) == 8
-        return F.struct(
-            F.concat(F.lit("sec"), i.cast("string")).alias("name"), field(2).alias("va"),
-            F.when(nobits, 0).otherwise(field(3)).alias("raw_off"), F.when(nobits, 0).otherwise(field(4)).alias("raw_size"),
-            field(4).alias("vsize"), (field(1).bitwiseAND(F.lit(4)) != 0).alias("is_code"),
-            (field(1).bitwiseAND(F.lit(2)) != 0).alias("alloc"))
-    rows = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), row))
-    kept = F.filter(rows, lambda s: s["alloc"])
-    return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in (
-        "name", "va", "raw_off", "raw_size", "vsize", "is_code")]))
+    def of(head: Column) -> Column:
+        is64 = F.substring(head, 9, 2) == "02"
+        def pick(wide: Column, narrow: Column) -> Column:
+            return F.when(is64, wide).otherwise(narrow)
+        layout = F.struct(
+            is64.alias("is64"), pick(le_uint(head, 40, 8), le_uint(head, 32, 4)).alias("off"),
+            pick(le_uint(head, 58, 2), le_uint(head, 46, 2)).cast("int").alias("entry"),
+            pick(le_uint(head, 60, 2), le_uint(head, 48, 2)).cast("int").alias("count"))
+        return let(layout, entries)
+
+    def entries(at: Column) -> Column:
+        # one hex text per table entry, so a field only touches its own few bytes
+        texts = F.transform(F.sequence(F.lit(0), at["count"] - 1), lambda i: F.struct(
+            i.alias("i"), F.hex(F.substring(F.col("content"), (at["off"] + i * at["entry"] + 5).cast("int"),
+                                            at["entry"] - 4)).alias("hex")))
+        def row(e: Column) -> Column:
+            def field(n: int) -> Column:  # type, flags, addr, offset, size
+                wide = le_uint(e["hex"], 0 if n == 0 else 8 * n - 4, 4 if n == 0 else 8)
+                return F.when(at["is64"], wide).otherwise(le_uint(e["hex"], 4 * n, 4))
+            return F.struct(F.concat(F.lit("sec"), e["i"].cast("string")).alias("name"), *[
+                field(n).alias(c) for n, c in enumerate(("type", "flags", "va", "off", "size"))])
+        kept = F.filter(F.transform(texts, row), lambda s: s["flags"].bitwiseAND(F.lit(2)) != 0)
+        return F.when(at["count"] > 0, F.transform(kept, lambda s: F.struct(
+            s["name"].alias("name"), s["va"].alias("va"), F.when(s["type"] == 8, 0).otherwise(s["off"]).alias("raw_off"),
+            F.when(s["type"] == 8, 0).otherwise(s["size"]).alias("raw_size"), s["size"].alias("vsize"),
+            (s["flags"].bitwiseAND(F.lit(4)) != 0).alias("is_code"))))
+
+    return let(header_hex(), of)
 
 
 def pe_sections() -> Column:
-    pe = _pe_offset()
-    h = header_hex(pe, 24)
-    first = pe + 24 + le_uint(h, 20, 2)
-    count = le_uint(h, 6, 2).cast("int")
-    table = F.hex(F.substring(F.col("content"), (first + 1).cast("int"), count * 40))
-    def row(i: Column) -> Column:
-        at = i * 40
-        name = F.decode(F.unhex(F.regexp_replace(F.substring(table, at * 2 + 1, F.lit(16)), "(00)+$", "")), "US-ASCII")
-        return F.struct(name.alias("name"), le_uint(table, at + 12, 4).alias("va"), le_uint(table, at + 20, 4).alias("raw_off"),
-                        le_uint(table, at + 16, 4).alias("raw_size"), le_uint(table, at + 8, 4).alias("vsize"),
-                        (le_uint(table, at + 36, 4).bitwiseAND(F.lit(0x20)) != 0).alias("is_code"))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), row))
+    def of(pe: Column) -> Column:
+        return let(header_hex(pe, 24), lambda h: let(F.struct(
+            (pe + 24 + le_uint(h, 20, 2)).alias("first"), le_uint(h, 6, 2).cast("int").alias("count")), entries))
+
+    def entries(at: Column) -> Column:
+        texts = F.transform(F.sequence(F.lit(0), at["count"] - 1), lambda i: F.hex(
+            F.substring(F.col("content"), (at["first"] + i * 40 + 1).cast("int"), F.lit(40))))
+        def row(e: Column) -> Column:
+            name = F.decode(F.unhex(F.regexp_replace(F.substring(e, 1, 16), "(00)+$", "")), "US-ASCII")
+            return F.struct(name.alias("name"), le_uint(e, 12, 4).alias("va"), le_uint(e, 20, 4).alias("raw_off"),
+                            le_uint(e, 16, 4).alias("raw_size"), le_uint(e, 8, 4).alias("vsize"),
+                            (le_uint(e, 36, 4).bitwiseAND(F.lit(0x20)) != 0).alias("is_code"))
+        return F.when(at["count"] > 0, F.transform(texts, row))
+
+    return let(_pe_offset(), of)
 
 
 def pe_image_base() -> Column:
