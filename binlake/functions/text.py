@@ -16,8 +16,9 @@ WORD = "[A-Za-z0-9_]"
 # Fixed values of the extraction rules.
 QUOTED = r'"([^"]{1,200})"'
 FORMAT_ONLY = r'^["%# +\-0-9.*hlLzjt]*[diouxXeEfFgAcspn%]\z'
-HEX_LITERAL = rf"(?<!{WORD})0x([0-9a-fA-F]{{2,}})(?!{WORD})"
-DEC_LITERAL = rf"((?<={WORD})-[0-9]{{4,}}|(?<!{WORD})[0-9]{{4,}})(?!{WORD})"
+# both start with a plain character, so the look-behind only runs where one is found
+HEX_LITERAL = rf"0(?<!{WORD}0)x([0-9a-fA-F]{{2,}})(?!{WORD})"
+DEC_LITERAL = rf"-(?<={WORD}-)[0-9]{{4,}}(?!{WORD})|[0-9](?<!{WORD}[0-9])[0-9]{{3,}}(?!{WORD})"
 COMMON_CONSTANTS = (0, 1, -1, 2, 4, 8, 0xFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF)
 CALL_SKIP = ("if", "else", "for", "while", "return", "sizeof", "switch", "case",
              "malloc", "free", "memcpy", "memset", "strlen", "strcmp")
@@ -50,7 +51,7 @@ def strings(col: Column, max_strings: int = 8, max_len: int = 40) -> Column:
 def constants(col: Column, max_constants: int = 6) -> Column:
     """Distinctive numbers, hex literals first, as DECIMAL(38,0)."""
     hexes = F.transform(matches(col, HEX_LITERAL, 1), addr.hex_decimal)
-    decs = F.transform(matches(col, DEC_LITERAL, 1), lambda s: s.try_cast("decimal(38,0)"))
+    decs = F.transform(matches(col, DEC_LITERAL), lambda s: s.try_cast("decimal(38,0)"))
     common = F.array(*[F.lit(str(v)).cast("decimal(38,0)") for v in COMMON_CONSTANTS])
     kept = F.filter(F.concat(hexes, decs), lambda v: v.isNotNull() & ~F.array_contains(common, v))
     return F.slice(F.array_distinct(kept), 1, max_constants)
@@ -59,8 +60,10 @@ def constants(col: Column, max_constants: int = 6) -> Column:
 def eligible(col: Column) -> Column:
     """A function that may be checked in isolation: no hard externals, few branches, short."""
     c = F.coalesce(col, F.lit(""))
-    clean = ~F.lower(c).rlike("|".join(f.replace("(", r"\(") for f in FORBIDDEN))
-    return (c != "") & clean & (branch_count(c) <= 10) & (line_count(c) <= 50)
+    low, bad = F.lower(c), F.lit(False)
+    for word in FORBIDDEN:
+        bad = bad | low.contains(word)
+    return (c != "") & (line_count(c) <= 50) & (branch_count(c) <= 10) & ~bad
 
 
 def branch_count(col: Column) -> Column:
@@ -87,18 +90,18 @@ def difficulty(level: Column) -> Column:
 
 def external_calls(col: Column) -> Column:
     """Called names that look external: capitalised and not on the skip list (sorted, distinct)."""
-    found = matches(col, rf"(?<!{WORD})([a-zA-Z_]{WORD}*)\s*\(", 1)
+    found = matches(col, rf"(?<!{WORD})([a-zA-Z_]{WORD}*+)\s*+\(", 1)
     return F.array_sort(F.array_distinct(
         F.filter(found, lambda n: ~n.isin(*CALL_SKIP) & n.rlike("^[A-Z]"))))
 
 
 def symbols(col: Column) -> Column:
     """Qualified or compound call names and pointer types, sorted and distinct."""
-    part = rf"[a-zA-Z_]{WORD}*"
-    calls = F.filter(matches(col, rf"(?<!{WORD})({part}(?:::{part})*)\s*\(", 1),
+    part = rf"[a-zA-Z_]{WORD}*+"  # possessive: a name is never given back character by character
+    calls = F.filter(matches(col, rf"(?<!{WORD})({part}(?:::{part})*+)\s*+\(", 1),
                      lambda n: ~n.isin(*SYMBOL_SKIP)
                      & (n.contains("::") | n.contains("_") | ~n.rlike("^[a-z]")))
-    types = matches(col, rf"(?:\(|\s)([A-Z]{WORD}*(?:::[A-Z]{WORD}*)*)\s*\*", 1)
+    types = matches(col, rf"[(\s]([A-Z]{WORD}*+(?:::[A-Z]{WORD}*+)*+)\s*+\*", 1)
     return F.array_sort(F.array_union(calls, types))
 
 

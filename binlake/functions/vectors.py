@@ -57,7 +57,8 @@ def mnemonic_category(mnemonic: Column) -> Column:
 
 
 def mnemonic_histogram(disasm: Column) -> Column:
-    first = F.transform(disasm, lambda d: F.lower(F.regexp_extract(d["text"], r"^\s*(\S+)", 1)))
+    first = F.transform(disasm, lambda d: F.lower(F.substring_index(
+        F.substring_index(F.ltrim(d["text"]), " ", 1), "\t", 1)))
     cats = F.filter(F.transform(first, mnemonic_category), lambda c: c.isNotNull())
     return _shares(cats, range(7))
 
