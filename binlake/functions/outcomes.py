@@ -92,12 +92,12 @@ def specifier_count(payload: Column) -> Column:
 
 def single_byte(payload: Column) -> Column:
     """Non-empty and made of one repeated byte."""
-    h = F.hex(payload)
-    return (F.length(payload) > 0) & (F.length(F.regexp_replace(h, F.concat(F.lit("(?:"), F.substring(h, 1, 2), F.lit(")+")), F.lit(""))) == 0)
+    chars = _latin(payload)
+    return (F.length(payload) > 0) & (F.length(F.replace(chars, F.substring(chars, 1, 1), F.lit(""))) == 0)
 
 
 # byte-statistics fields, in order
-BYTE_STATS = ("printable", "digits", "letters", "nulls", "high", "blank", "longest_run", "entropy")
+BYTE_STATS = ("printable", "digits", "letters", "nulls", "high", "blank", "longest_run", "entropy", "specifiers", "single_byte")
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in BYTE_STATS]))
@@ -111,8 +111,10 @@ def _byte_stats(payloads: pd.Series) -> pd.DataFrame:
         edges = np.flatnonzero(np.diff(arr))
         run = np.diff(np.concatenate(([-1], edges, [len(arr) - 1]))).max()
         p = share[share > 0]
+        specifiers = sum(raw.count(s.encode()) for s in FORMAT_SPECIFIERS)
         out[i] = (share[32:127].sum(), share[48:58].sum(), share[65:91].sum() + share[97:123].sum(), share[0],
-                  share[128:].sum(), share[[9, 10, 32]].sum(), min(run / 64.0, 1.0), -(p * np.log2(p)).sum() / 8.0)
+                  share[128:].sum(), share[[9, 10, 32]].sum(), min(run / 64.0, 1.0), -(p * np.log2(p)).sum() / 8.0,
+                  min(specifiers / 4.0, 1.0), float(run == len(arr)))
     return pd.DataFrame(out, columns=list(BYTE_STATS))
 
 
@@ -125,10 +127,9 @@ def input_features(mode: Column, payload: Column) -> Column:
     head = F.hex(F.substring(payload, 1, 1))
     return F.struct(
         flag(mode == "stdin").alias("is_stdin"), flag(mode == "argv").alias("is_argv"), unit(n, 256.0).alias("length"),
-        *[stats[name].alias(name) for name in BYTE_STATS],
-        unit(specifier_count(payload), 4.0).alias("specifiers"), flag(head.isin("41", "42", "43", "44")).alias("routed"),
+        *[stats[name].alias(name) for name in BYTE_STATS], flag(head.isin("41", "42", "43", "44")).alias("routed"),
         flag(n == 0).alias("is_empty"), flag(n.isin(*BOUNDARY_LENGTHS)).alias("boundary_length"),
-        flag(_latin(payload).contains("\n")).alias("has_newline"), flag(single_byte(payload)).alias("single_byte"))
+        flag(F.contains(payload, F.lit(b"\n"))).alias("has_newline"))
 
 
 def input_family(payload: Column) -> Column:

@@ -122,10 +122,13 @@ def arm64_words(blobs: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.select("path", F.explode(tall).alias("x")).select("path", "x.*").distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("pos", T.LongType()).add("text", T.StringType())))
-def _runs(data: pd.Series) -> pd.Series:
-    return data.map(lambda raw: [{"pos": m.start(), "text": m.group().decode("ascii")}
-                                 for m in re.finditer(rb"[\x20-\x7e]+", raw)])
+def _runs(min_len: int):
+    """Printable runs of a chunk that are long enough or touch its edge."""
+    @F.pandas_udf(T.ArrayType(T.StructType().add("pos", T.LongType()).add("text", T.StringType())))
+    def runs(data: pd.Series) -> pd.Series:
+        short = re.compile(rb"^[\x20-\x7e]+|[\x20-\x7e]{%d,}|[\x20-\x7e]+\Z" % min_len)
+        return data.map(lambda raw: [{"pos": m.start(), "text": m.group().decode("ascii")} for m in short.finditer(raw)])
+    return runs
 
 
 def strings(blobs: DataFrame, size: int = CHUNK, min_len: int = 5) -> DataFrame:
@@ -133,7 +136,7 @@ def strings(blobs: DataFrame, size: int = CHUNK, min_len: int = 5) -> DataFrame:
 
     Only runs that touch a chunk edge are stitched, at most two rows per chunk.
     """
-    found = (chunks(blobs, size).select("path", "va", "own", F.explode(_runs("data")).alias("r"))
+    found = (chunks(blobs, size).select("path", "va", "own", F.explode(_runs(min_len)("data")).alias("r"))
              .select("path", (F.col("va") + F.col("r.pos")).alias("addr"), F.col("r.text").alias("text"),
                      ((F.col("r.pos") == 0) | (F.col("r.pos") + F.length("r.text") == F.col("own"))).alias("edge")))
     inner = found.filter(~F.col("edge") & (F.length("text") >= min_len)).select("path", "addr", "text")

@@ -8,8 +8,6 @@ than ``block`` rows whatever the skew.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 50_000
@@ -71,50 +69,55 @@ def trailing(keys: list[str], idx: str, first: int, last: int = 0) -> Window:
     return Window.partitionBy(*keys, "_blk").orderBy(idx).rowsBetween(first, last)
 
 
+def _compose(f: Column, g: Column) -> Column:
+    """The step that applies f and then g; steps are structs (a, b, lo, hi)."""
+    def through(x: Column) -> Column:
+        y = F.when(g["a"] == 0, g["b"]).otherwise(g["a"] * x + g["b"])
+        return F.least(F.greatest(y, g["lo"]), g["hi"])
+    return F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"),
+                    through(f["lo"]).alias("lo"), through(f["hi"]).alias("hi"))
+
+
+def _thread(batches):
+    """Fill ``before`` and ``after`` down the sorted rows; ``_first`` restarts from ``_entry``."""
+    import numpy as np
+    import pyarrow as pa
+    t = 0.0
+    for batch in batches:
+        num = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "lo", "hi", "_first", "_entry")}
+        before, after = np.empty(batch.num_rows), np.empty(batch.num_rows)
+        for i, (a, b, lo, hi, first, entry) in enumerate(zip(*(c.tolist() for c in num.values()))):
+            if first:
+                t = entry
+            before[i] = t
+            after[i] = t = min(max(a * t + b, lo), hi)
+        arrays = [*batch.columns, pa.array(before), pa.array(after)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "before", "after"])
+
+
+def _threaded(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of a key reach one task in order because the window asks for exactly that."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    flagged = rows.withColumn("_first", F.row_number().over(w) == 1)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flagged.schema.fields)
+    return flagged.mapInArrow(_thread, f"{ddl}, before double, after double").drop("_first", "_entry")
+
+
 def clamped_scan(df: DataFrame, keys: list[str], idx: str, start: float, block: int = BLOCK) -> DataFrame:
     """Thread a value through ``t <- min(max(a*t + b, lo), hi)`` along each key.
 
     ``df`` has columns ``a, b, lo, hi`` (``a >= 0``).  Adds ``before`` and ``after``: the value ahead of
-    and behind each row.  Such steps compose into steps of the same form, so each block is first
-    reduced to one step, block entries are threaded over those few rows, then rows are filled in.
+    and behind each row.  Such steps compose into steps of the same form, so each block (at most
+    ``block`` rows) is first reduced to one step, block entries are threaded over those few rows, and
+    then the rows of every block are filled in independently.
     """
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    src = df.withColumn("_blk", F.floor((F.col(idx) - 1) / block).cast("bigint"))
     part = [*keys, "_blk"]
-    key_ddl = ", ".join(f"`{k}` {fields[k]}" for k in keys)
-
-    def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, lo, hi = 1.0, 0.0, -np.inf, np.inf
-        for ra, rb, rlo, rhi in pdf.sort_values(idx)[["a", "b", "lo", "hi"]].to_numpy():
-            a, b = ra * a, ra * b + rb
-            lo = min(max(ra * lo + rb if ra else rb, rlo), rhi)
-            hi = min(max(ra * hi + rb if ra else rb, rlo), rhi)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in part), a, b, lo, hi]],
-                            columns=[*part, "a", "b", "lo", "hi"])
-
-    def fill(values: np.ndarray, t: float) -> np.ndarray:
-        out = np.empty((len(values), 2))
-        for i, (a, b, lo, hi) in enumerate(values):
-            out[i, 0] = t
-            t = min(max(a * t + b, lo), hi)
-            out[i, 1] = t
-        return out
-
-    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk").reset_index(drop=True)
-        pdf["_entry"] = fill(pdf[["a", "b", "lo", "hi"]].to_numpy(), start)[:, 0]
-        return pdf[[*part, "_entry"]]
-
-    def fill_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx).reset_index(drop=True)
-        out = fill(pdf[["a", "b", "lo", "hi"]].to_numpy(), float(pdf["_entry"].iloc[0]))
-        pdf["before"], pdf["after"] = out[:, 0], out[:, 1]
-        return pdf[[*keys, idx, "before", "after"]]
-
-    slim = src.select(*part, idx, "a", "b", "lo", "hi")
-    steps = slim.groupBy(*part).applyInPandas(
-        reduce_block, f"{key_ddl}, _blk bigint, a double, b double, lo double, hi double")
-    entries = steps.groupBy(*keys).applyInPandas(enter, f"{key_ddl}, _blk bigint, _entry double")
-    values = (slim.join(entries, part).groupBy(*part)
-              .applyInPandas(fill_block, f"{key_ddl}, `{idx}` bigint, before double, after double"))
-    return df.join(values, [*keys, idx])
+    src = df.withColumn("_blk", F.floor((F.col(idx) - 1) / block).cast("bigint"))
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"),
+                    F.lit(float("inf")).alias("hi"))
+    one = F.aggregate(F.array_sort(F.collect_list(F.struct(idx, "a", "b", "lo", "hi"))), same, _compose)
+    steps = src.groupBy(*part).agg(one.alias("s")).select(*part, "s.*", F.lit(start).alias("_entry"))
+    entries = _threaded(steps, keys, "_blk").select(
+        *[F.col(k).alias(f"_k_{k}") for k in part], F.col("before").alias("_entry"))
+    joined = src.join(entries, _on(src, keys)).drop(*[f"_k_{k}" for k in part])
+    return _threaded(joined, part, idx).drop("_blk", "a", "b", "lo", "hi")

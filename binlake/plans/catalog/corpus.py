@@ -58,7 +58,7 @@ X86 = """px AS (SELECT DISTINCT path, addr FROM bytes WHERE (b = '55' AND (prev
 
 @q("bytes", "SELECT path, addr FROM px", X86)
 def scan_x86_prologues(t):
-    return scan.x86_prologues(t.blobs(), 256)
+    return scan.x86_prologues(t.blobs())
 
 
 def jump(shift: int, width: int) -> str:
@@ -75,7 +75,7 @@ ARM = f"""aw AS (SELECT DISTINCT path, kind, addr FROM (SELECT path, 'prologue'
 
 @q("words", "SELECT * FROM aw", ARM)
 def scan_arm64_words(t):
-    return scan.arm64_words(t.blobs(), 256)
+    return scan.arm64_words(t.blobs())
 
 
 @q("bytes words", "SELECT path, addr FROM px UNION SELECT path, addr FROM aw WHERE kind <> 'block_head'", X86 + ", " + ARM)
@@ -89,7 +89,7 @@ RUNS = """ru AS (SELECT path, min(addr) AS addr, string_agg(chr(CAST('0x' || b A
 
 @q("bytes", "SELECT * FROM ru WHERE length(text) >= 5", RUNS)
 def scan_strings(t):
-    return scan.strings(t.blobs(), 64)
+    return scan.strings(t.blobs())
 
 
 @q("", """SELECT page_id, length(encode(html)) AS size, lower(left(hex(encode(html)), 32)) AS first_bytes, round(length(regexp_replace(a, '[^\\x20-\\x7E]', '', 'g')) / least(1000, length(hex(encode(html))) // 2), 6) AS printable_ratio

@@ -61,7 +61,7 @@ def runs_emu_status(t):
 def runs_crash_class(t):
     d = F.col("doc_id") % 4
     m = F.concat("text", F.when(d == 0, " Stack").when(d == 1, " INVALID").when(d == 2, " overflow").otherwise(""))
-    return t.read("documents").select("doc_id", O.crash_class(m).alias("class"))
+    return t.spread("documents").select("doc_id", O.crash_class(m).alias("class"))
 
 
 @q("fuzz_runs", "SELECT step, 'stdin|' || base64(encode(payload)) AS token, 'stdin' AS mode, hex(payload) AS back FROM fuzz_runs")
@@ -96,7 +96,7 @@ def ratio(chars: str) -> str:
 def runs_input_features(t):
     f = O.input_features(F.lit("stdin"), F.encode("text", "UTF-8"))
     names = ("is_stdin", "is_argv", "length", "printable", "digits", "letters", "high", "blank", "longest_run", "entropy", "specifiers", "routed", "has_newline")
-    return t.read("documents").select("doc_id", f.alias("f")).select("doc_id", show(F.array(*[F.col(f"f.{n}") for n in names])).alias("features"))
+    return t.spread("documents").select("doc_id", f.alias("f")).select("doc_id", show(F.array(*[F.col(f"f.{n}") for n in names])).alias("features"))
 
 
 @q("fuzz_runs", """SELECT campaign, step, new_coverage, covered_so_far, new_coverage + CASE WHEN exit_code >= 128 THEN 3 ELSE 0 END::DOUBLE AS reward FROM cv""",

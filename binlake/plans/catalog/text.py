@@ -29,7 +29,7 @@ KEEP = r"""length(s) >= 2 AND NOT regexp_full_match(s, '["%# +\-0-9.*hlLzjt]*[di
 
 @q("", firsts("pages", "page_id", QUOTED.format(c="html"), KEEP, 8, "substr(s, 1, 40)"))
 def text_strings_pages(t):
-    return t.read("pages").select("page_id", joined(T.strings(F.col("html"))).alias("items"))
+    return t.spread("pages").select("page_id", joined(T.strings(F.col("html"))).alias("items"))
 
 
 @q("code", firsts("code", "doc_id", QUOTED.format(c="code"), KEEP, 8, "substr(s, 1, 40)"))
@@ -72,7 +72,7 @@ def text_complexity(t):
     {LOOPS.replace('code', 'text')} AS loops FROM documents""")
 def text_counts(t):
     c = F.col("text")
-    return t.read("documents").select("doc_id", T.line_count(c).alias("lines"), T.branch_count(c).alias("branches"),
+    return t.spread("documents").select("doc_id", T.line_count(c).alias("lines"), T.branch_count(c).alias("branches"),
                                       T.loop_count(c).alias("loops"))
 
 
@@ -121,7 +121,7 @@ def verify_stubs(t):
     SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, c, count(*) AS n FROM (
         SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY ALL)) USING (doc_id) GROUP BY doc_id""")
 def text_entropy(t):
-    return t.read("documents").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
+    return t.spread("documents").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @q("functions", """SELECT binary, addr, 'Calls: ' || name || chr(10) || 'Called by: none' || chr(10) || chr(10) || 'Assembly:' || chr(10)

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import spread
+
 
 class Tables:
     """The input tables of one folder and the relations on top of them."""
@@ -19,10 +21,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        return spread(self.read(name))
+
     # static program tables -------------------------------------------------------------------
     def functions(self) -> DataFrame:
         docs = self.read("documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("pseudocode"))
-        return self.read("part").join(docs, "p_partkey", "left").select(
+        return self.spread("part").join(docs, "p_partkey", "left").select(
             F.col("p_brand").alias("binary"), F.col("p_partkey").alias("addr"),
             F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("sub_"), F.lower(F.hex("p_partkey"))))
             .otherwise(F.col("p_name")).alias("name"),
@@ -83,7 +88,7 @@ class Tables:
             F.lit(" *)(v"), mod(5), F.lit(" + "), mod(32), F.lit("); Foo"), mod(11), F.lit("::Run(0x"),
             F.lower(F.hex(d * 977)), F.lit(", "), (d * 1009).cast("string"), F.lit("); Init(Widget *w); memcpy(a); do_it(b, \"lit "),
             mod(13), F.lit("\", \"%d\"); if (x) while (y) return z;"))
-        return self.read("documents").select("doc_id", F.concat("text", line).alias("code"))
+        return self.spread("documents").select("doc_id", F.concat("text", line).alias("code"))
 
     def responses(self) -> DataFrame:
         t, turn = F.col("text"), F.col("turn")
@@ -225,7 +230,7 @@ class Tables:
         text = F.concat(F.lit("c3554889e54883ec20cc55"), noise, F.lower(F.hex(F.col("p_name"))),
                         F.lit("0089504e470d0a1a0a"), F.md5(p.cast("string").cast("binary")), F.md5(F.col("p_name").cast("binary")),
                         F.lit("49454e44ae426082fd7bbfa9"))
-        return self.read("part").select(
+        return self.spread("part").select(
             F.concat(F.lit("bin/"), p.cast("string")).alias("path"), (F.lit(4194304) + p * 65536).alias("base"),
             F.unhex(text).alias("content"))
 
@@ -246,7 +251,7 @@ class Tables:
         body = F.expr("repeat('55', p_size)")
         text = F.concat(head, section(1, 6, F.lit(4096) + p * 16, F.lit(192), size),
                         section(8, 3, F.lit(1048576) + p, F.lit(0), size * 2), body)
-        return self.read("part").select(F.concat(F.lit("img/"), p.cast("string")).alias("path"), F.unhex(text).alias("content"))
+        return self.spread("part").select(F.concat(F.lit("img/"), p.cast("string")).alias("path"), F.unhex(text).alias("content"))
 
 
 # Common table expressions with the same content, and what each needs.

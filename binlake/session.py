@@ -31,6 +31,15 @@ def build(master: str | None = None, app: str = "binlake", shuffle_partitions: i
     return b.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all cores; any larger scan unchanged.
+
+    Only for plain scans in front of costly expressions: one small file must not keep the cluster on one core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.isStreaming or scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's frame in the shared checkpoint folder of the cluster.
 
