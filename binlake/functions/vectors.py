@@ -78,15 +78,15 @@ def hash_buckets(texts: Column) -> Column:
     return _shares(F.transform(F.filter(texts, lambda s: s != ""), bucket8), range(8))
 
 
-def fingerprint(disasm: Column, callers: Column, callees: Column, size: Column, pseudocode: Column,
-                strings: Column, constants: Column) -> Column:
-    """The 104 values: 7 mnemonic, 2 degree, 1 size, 78 keyword, 8 string and 8 constant buckets."""
-    return F.concat(
-        mnemonic_histogram(disasm),
-        F.array(log_scale(callers), log_scale(callees), log_scale(size)),
-        keyword_frequencies(pseudocode),
-        hash_buckets(strings),
-        hash_buckets(F.transform(constants, lambda c: c.cast("string"))))
+def text_part(pseudocode: Column, strings: Column, constants: Column) -> Column:
+    """The 78 keyword, 8 string and 8 constant values."""
+    return F.concat(keyword_frequencies(pseudocode), hash_buckets(strings),
+                    hash_buckets(F.transform(constants, lambda c: c.cast("string"))))
+
+
+def assemble(mnemonics: Column, callers: Column, callees: Column, log_size: Column, text: Column) -> Column:
+    """The 104 values: 7 mnemonic, 2 degree, 1 size and 94 text values."""
+    return F.concat(mnemonics, F.array(log_scale(callers), log_scale(callees), log_size), text)
 
 
 def dot(a: Column, b: Column) -> Column:

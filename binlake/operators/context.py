@@ -81,8 +81,8 @@ def gather(functions: DataFrame, calls: DataFrame, starts: DataFrame | None = No
            max_neighbors: int = MAX_NEIGHBORS) -> DataFrame:
     """One row per start: caller and callee lists (at most ``max_neighbors`` each), strings, constants.
 
-    ``knowledge_block`` may bring (binary, addr, knowledge) texts.  The wide pseudocode column joins
-    last and never takes part in the graph joins.
+    ``knowledge_block`` may bring (binary, addr, knowledge) texts.  Pseudocode is reduced to its few
+    strings and numbers where it is scanned; it never enters a join.
     """
     if starts is None:
         starts = functions.select("binary", F.col("addr").alias("start"))
@@ -96,10 +96,10 @@ def gather(functions: DataFrame, calls: DataFrame, starts: DataFrame | None = No
         listed = near.groupBy("binary", "start").agg(F.array_sort(F.collect_list(item)).alias(direction))
         out = (out.join(listed, ["binary", "start"], "left")
                .withColumn(direction, F.coalesce(direction, empty)))
-    body = functions.select("binary", F.col("addr").alias("start"), "pseudocode")
-    out = (out.join(body, ["binary", "start"], "left")
-           .withColumn("strings", T.strings(F.coalesce("pseudocode", F.lit(""))))
-           .withColumn("constants", T.constants(F.coalesce("pseudocode", F.lit("")))).drop("pseudocode"))
+    code = F.coalesce("pseudocode", F.lit(""))
+    body = functions.select("binary", F.col("addr").alias("start"), T.strings(code).alias("strings"),
+                            T.constants(code).alias("constants"))
+    out = out.join(body, ["binary", "start"], "left")
     if knowledge_block is not None:
         known = knowledge_block.select("binary", F.col("addr").alias("start"), "knowledge")
         out = out.join(known, ["binary", "start"], "left")

@@ -16,8 +16,8 @@ def stats(functions: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(N.is_named(F.col("name"))).alias("named"))
 
 
-def degrees(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Distinct callers and callees per function, zero included.
+def edge_degrees(calls: DataFrame) -> DataFrame:
+    """Distinct callers and callees of every function that has any edge.
 
     Both directions come from one pass over the edges: each edge is one row per end, so the
     partial aggregation shrinks hub functions before the shuffle.
@@ -26,11 +26,19 @@ def degrees(functions: DataFrame, calls: DataFrame) -> DataFrame:
     ends = edges.select("binary", F.explode(F.array(
         F.struct(F.col("caller_addr").alias("addr"), F.lit(0).alias("i"), F.lit(1).alias("o")),
         F.struct(F.col("callee_addr").alias("addr"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
-    deg = ends.groupBy("binary", F.col("e.addr").alias("addr")).agg(
+    return ends.groupBy("binary", F.col("e.addr").alias("addr")).agg(
         F.sum("e.i").alias("callers"), F.sum("e.o").alias("callees"))
-    return (functions.select("binary", "addr").join(deg, ["binary", "addr"], "left")
-            .select("binary", "addr", F.coalesce("callers", F.lit(0)).alias("callers"),
-                    F.coalesce("callees", F.lit(0)).alias("callees")))
+
+
+def with_degrees(rows: DataFrame, calls: DataFrame) -> DataFrame:
+    """Any rows keyed by (binary, addr) with their call degrees, zero included."""
+    return (rows.join(edge_degrees(calls), ["binary", "addr"], "left")
+            .withColumn("callers", F.coalesce("callers", F.lit(0)))
+            .withColumn("callees", F.coalesce("callees", F.lit(0))))
+
+
+def degrees(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    return with_degrees(functions.select("binary", "addr"), calls)
 
 
 def search(functions: DataFrame, needle: str, limit: int = 20, binary: str | None = None,

@@ -15,14 +15,18 @@ SLACK = 1e-5
 
 
 def fingerprints(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """104-value vector per function from its listing, pseudocode, size and call degrees."""
+    """104-value vector per function from its listing, pseudocode, size and call degrees.
+
+    Everything that reads text is reduced to numbers where the text is scanned; only these numbers
+    are shuffled to meet the degrees.
+    """
     body = F.coalesce("pseudocode", F.lit(""))
-    deg = graph.degrees(functions, calls)
     listing = F.coalesce("disasm", F.array().cast("array<struct<address:string,text:string>>"))
-    return (functions.join(deg, ["binary", "addr"])
-            .select("binary", "addr", "name", V.fingerprint(
-                listing, F.col("callers"), F.col("callees"), F.col("size"), body,
-                T.strings(body), T.constants(body)).alias("vector")))
+    parts = functions.select(
+        "binary", "addr", "name", V.mnemonic_histogram(listing).alias("_m"), V.log_scale(F.col("size")).alias("_s"),
+        V.text_part(body, T.strings(body), T.constants(body)).alias("_t"))
+    return graph.with_degrees(parts, calls).select("binary", "addr", "name", V.assemble(
+        F.col("_m"), F.col("callers"), F.col("callees"), F.col("_s"), F.col("_t")).alias("vector"))
 
 
 def stats(vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ...functions import addr as A, names as N
 from ...operators import context, graph, knowledge, naming
 from ...sources import export
+from ...session import cut_lineage
 from .. import tables
 from ._register import Catalog
 
@@ -335,19 +336,19 @@ def _starts(t):
 
 @q("functions calls", OUT.format(rel="callee"), NEIGHBORS.format(src="caller_addr", dst="callee_addr"))
 def context_callees(t):
-    return context.neighbors(_starts(t), t.calls(), t.lean(), "callees")
+    return context.neighbors(_starts(t), cut_lineage(t.calls()), t.lean(), "callees")
 
 
 @q("functions calls", OUT.format(rel="caller"), NEIGHBORS.format(src="callee_addr", dst="caller_addr"))
 def context_callers(t):
-    return context.neighbors(_starts(t), t.calls(), t.lean(), "callers")
+    return context.neighbors(_starts(t), cut_lineage(t.calls()), t.lean(), "callers")
 
 
 @q()
 def context_block(t):
     """Context text of every function (checked by brute force in the tests)."""
     k = knowledge.block(knowledge.gather(t.refs(), t.knowledge()))
-    return context.block(context.gather(t.functions(), t.calls(), knowledge_block=k)).select("binary", "start", "summary", "block")
+    return context.block(context.gather(t.functions(), cut_lineage(t.calls()), knowledge_block=k)).select("binary", "start", "summary", "block")
 
 
 KNOWN = """r1 AS (SELECT *, row_number() OVER (PARTITION BY binary, func_addr, ref_type ORDER BY ord, addr) AS pos FROM (
