@@ -104,3 +104,11 @@ def test_complexity_and_symbols(spark):
 def test_instruction_risk(spark):
     risk = I.context_risk(F.lit(None).cast("double"), F.lit("movsb"), F.lit("[rsp]"))
     assert one(spark, "a int", (1,), risk)[0] == 1.0
+
+
+def test_sql_names(spark):
+    from binlake.functions import sqlnames
+    assert len(sqlnames.register(spark)) == 8
+    r = spark.sql("""SELECT round(vector_cosine(array(1D, 0D), array(1D, 1D)), 6) c, vector_cosine(array(0D), array(1D)) z, vector_l2(array(0D, 3D), array(4D, 0D)) d,
+        addr_hex(255) h, is_named('sub_1') n, code_strings('f("%d", "abc", "abc")') s, text_entropy('abab') e, command_words("a 'b c'") w""").first()
+    assert (r.c, r.z, r.d, r.h, r.n, r.s, r.e, r.w) == (0.707107, 0.0, 5.0, "0xff", False, ["abc"], 1.0, ["a", "b c"])
