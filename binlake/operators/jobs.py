@@ -1,7 +1,7 @@
 """Analysis jobs: log lines, latest status, latency."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..plans import blocks
 
@@ -50,3 +50,10 @@ def latency(events: DataFrame, keys: list[str], step: str = "step") -> DataFrame
     out = blocks.running_sums(events, keys, step, sums)
     return out.withColumn("avg_latency_ms", F.when(F.col("processed") > 0, F.col("_total") / F.col("processed"))
                           .otherwise(0.0)).drop("_total")
+
+
+def observed(rows: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation]:
+    """The frame with progress metrics that are collected while it is written (row count by default)."""
+    seen = Observation(name)
+    exprs = [m.alias(k) for k, m in metrics.items()] or [F.count(F.lit(1)).alias("rows")]
+    return rows.observe(seen, *exprs), seen

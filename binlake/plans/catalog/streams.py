@@ -4,7 +4,6 @@ Each query starts its stream, lets it work off everything there is, and returns
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +11,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ...functions import outcomes as O
 from ...operators import runs
+from ...session import shared_folder
 from ...streaming import stateful, stream
 from .. import relations, tables
 from ._register import Catalog
@@ -35,9 +35,7 @@ class Streamed(relations.Tables):
 
 
 def _shared_folder(spark) -> str:
-    """New folder where all executors can write: below the checkpoint folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="binlake-stream-")
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def finished(t, df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:

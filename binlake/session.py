@@ -40,18 +40,22 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.isStreaming or scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's frame in the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can write, from ``spark.checkpoint.dir`` of the session.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only where the session has none (local tests)
-    a fresh temporary folder is taken.
+    Only a local session without that setting (tests) gets a fresh temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="binlake-ckpt-")
-        sc.setCheckpointDir(folder)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="binlake-")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise an iteration's frame in the shared checkpoint folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

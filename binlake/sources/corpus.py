@@ -20,7 +20,10 @@ SECTION = "array<struct<name:string,va:bigint,raw_off:bigint,raw_size:bigint,vsi
 
 
 def read_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, content) of every file below the path."""
+    """(path, length, content) of every non-empty file below the path.
+
+    Spark's file source yields no row for an empty file.
+    """
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", "true").load(path).select("path", "length", "content"))
 

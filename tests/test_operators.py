@@ -325,3 +325,31 @@ def test_stream_surprise_across_batches(spark, tmp_path):
     got = {r.step: r.threshold_after for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.step: r.threshold_after for r in learn.surprise(spark.createDataFrame(rows, "family string, step bigint, error double"), ["family"]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_progress_and_persistence(spark, tmp_path):
+    from binlake.operators import jobs, kb, traces
+    rows, seen = jobs.observed(spark.range(7).toDF("n"), "p", total=F.sum("n"))
+    rows.write.parquet(str(tmp_path / "r"))
+    assert seen.get == {"total": 21}
+    pairs = spark.createDataFrame([("a", 1, "b", 2, None)], "binary_old string, addr_old bigint, binary_new string, addr_new bigint, ts timestamp")
+    kb.append(pairs, str(tmp_path / "kb"))
+    kb.append(pairs, str(tmp_path / "kb"))
+    assert spark.read.parquet(str(tmp_path / "kb")).filter("ts is not null").count() == 2
+    vec = spark.createDataFrame([("a", 1, [1.0])], "binary string, addr bigint, vector array<double>")
+    similarity.save(vec, str(tmp_path / "v"))
+    assert similarity.load(spark, str(tmp_path / "v")).count() == 1
+    counts = spark.createDataFrame([("x", 2)], "pattern string, n bigint")
+    traces.save_patterns(counts, traces.confidence(counts, 2), str(tmp_path / "p"))
+    assert abs(traces.load_patterns(spark, str(tmp_path / "p")).first().confidence - 0.19) < 1e-12
+    learn.append_history(spark.createDataFrame([(1, 0.5)], "step bigint, train_err double"), str(tmp_path / "h"))
+    (tmp_path / "seeds").mkdir()
+    for name, data in (("b", b"22"), ("a", b"1"), ("empty", b"")):
+        (tmp_path / "seeds" / name).write_bytes(data)
+    assert [bytes(r.payload) for r in corpus.read_seeds(spark, str(tmp_path / "seeds")).collect()] == [b"1", b"22"]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "j1.txt").write_text("start\nsaved db -> /out/x.i64\n[2/4 shards]\ntotal wall: 2.5s for 1,234 funcs\n")
+    got = jobs.parse_log(readers.read_log(spark, str(tmp_path / "log"))).first()
+    assert (got.job_id, got.saved_path, got.wall_s, got.funcs, got.shards_done) == ("j1", "/out/x.i64", 2.5, 1234, 2)
+    # the file source has no rows for empty files (stated in read_corpus)
+    assert corpus.read_corpus(spark, str(tmp_path / "seeds")).count() == 2
