@@ -27,37 +27,35 @@ def load(path: str):
 
 
 def _placed(model, text: str, start: int) -> list[tuple[int, int, int]]:
-    """(begin, end, id) of the tokens in characters of the whole text."""
-    pieces = model.encode(text, out_type="immutable_proto").pieces
-    return [(start + p.begin, start + p.end, p.id) for p in pieces]
+    """(begin, end, id) of the tokens, in bytes of the whole text."""
+    return [(start + p.begin, start + p.end, p.id) for p in model.encode(text, return_type="proto").pieces]
 
 
 def count_long(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of the text, from overlapping chunks of it."""
-    begin, end = 0, min(chunk, len(text))
+    end, begin, begin_byte = min(chunk, len(text)), 0, 0
     left = _placed(model, text[:end], 0)
-    from_, total = 0, 0                        # tokens of ``left`` before ``from_`` are counted
+    counted, anchor, at = 0, None, 0        # tokens of ``left`` before ``at`` are counted; ``anchor`` is the last of them
     while end < len(text):
-        width = overlap
+        stop, width = min(len(text), end + chunk), overlap
         while True:
             start = max(begin, end - width)
-            stop = min(len(text), max(end + chunk - width, end + 1))
-            right = _placed(model, text[start:stop], start if start else 0)
-            if start == begin:                 # the overlap is the whole chunk: encode both as one
-                total_at, left, from_ = None, right, from_
+            start_byte = begin_byte + len(text[begin:start].encode())
+            right = _placed(model, text[start:stop], start_byte)
+            places = {t: k for k, t in enumerate(right) if k and t[0] < t[1]}
+            if start == begin:              # the overlap is the whole chunk: both are one now
+                if anchor is not None and anchor not in places:
+                    return len(model.encode(text))
+                at, left = (places[anchor] + 1 if anchor else 0), right
                 break
-            places = {t: k for k, t in enumerate(right) if k and t[0] < t[1] <= end}
-            total_at = next((k for k in range(len(left) - 1, from_ - 1, -1) if left[k] in places), None)
-            if total_at is not None:
-                total += total_at + 1 - from_
-                from_ = places[left[total_at]] + 1
-                left = right
+            shared = next((k for k in range(len(left) - 1, at - 1, -1) if left[k] in places), None)
+            if shared is not None:
+                counted, anchor = counted + shared + 1 - at, left[shared]
+                at, left, begin, begin_byte = places[anchor] + 1, right, start, start_byte
                 break
             width *= 2
-        if total_at is not None:
-            begin = start
         end = stop
-    return total + len(left) - from_
+    return counted + len(left) - at
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP,
