@@ -4,8 +4,8 @@ from __future__ import annotations
 from importlib import import_module
 
 #: (module, query), in the order of the operators.
-ENTRIES = [("fingerprint", "op1_fingerprints"), ("bpe", "op2_bpe"), ("sharding", "op4_sharding"),
-           ("rules", "op5_quality_rules"), ("counts", "op7_token_counts")]
+ENTRIES = [("fingerprint", "op1_fingerprints"), ("bpe", "op2_bpe"), ("ranking", "op3_ranking"), ("sharding", "op4_sharding"),
+           ("rules", "op5_quality_rules"), ("mixing", "op6_mixing"), ("counts", "op7_token_counts"), ("secrets", "op9_secrets")]
 
 
 def registry() -> dict:
