@@ -5,7 +5,8 @@ from importlib import import_module
 
 #: (module, query), in the order of the operators.
 ENTRIES = [("fingerprint", "op1_fingerprints"), ("bpe", "op2_bpe"), ("ranking", "op3_ranking"), ("sharding", "op4_sharding"),
-           ("rules", "op5_quality_rules"), ("mixing", "op6_mixing"), ("counts", "op7_token_counts"), ("secrets", "op9_secrets")]
+           ("rules", "op5_quality_rules"), ("mixing", "op6_mixing"), ("counts", "op7_token_counts"), ("secrets", "op9_secrets"),
+           ("substrings", "op10_substrings")]
 
 
 def registry() -> dict:
