@@ -5,34 +5,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from binlake.llm import bpe, jaccard, mixing, rules, secrets
+from binlake.llm.common import shared_folder
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail their rules go; documents that the base or the line rules reject go."""
-    from binlake.llm import rules
     return rules.stage(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    from binlake.llm import jaccard
     return jaccard.stage(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text."""
-    from binlake.llm import secrets
     return secrets.stage(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources below their target weight go through further epochs, in the order of the mix."""
-    from binlake.llm import mixing
     return mixing.stage(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digests of ids and decoded text."""
-    from binlake.llm import bpe
     return bpe.stage(docs)
 
 
@@ -45,7 +43,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``; what each writes stays in the shared checkpoint folder."""
-    from binlake.llm.common import shared_folder
     folder = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
