@@ -32,6 +32,16 @@ def text_of(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` beside the whole row, so that no other column can clash with names made later."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
+
+
+def as_documents(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``docs`` from whole rows, some with new values."""
+    return df.select(*[(replaced[c] if c in replaced else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def slices(batches: Iterable, column: str, limit: int = SLICE) -> Iterator:
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes at most; a longer value stays alone."""
     import numpy as np

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import documents
+from .common import as_documents, documents, whole_rows
 
 #: Documents of a block, shares of a period (more only if there are more sources), parts of a source.
 BLOCK, PERIOD, SALTS, TEMPER = 8, 1000, 1024, 0.7
@@ -71,7 +71,15 @@ def _slot(b: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, temper: float = TEMPER,
         period: int = PERIOD, repeat: bool = True, salts: int = SALTS) -> DataFrame:
-    """Rows of ``docs`` with epoch, block, release, deadline, slot and position in the mix."""
+    """Rows of ``docs`` with epoch, block, release, deadline, slot and position in the mix (which replace columns of these names)."""
+    out = _mix(whole_rows(docs, "doc_id", "source"), weights, block, temper, period, repeat, salts)
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in PLACE], *PLACE)
+
+
+PLACE = ("epoch", "block", "release", "deadline", "slot", "position")
+
+
+def _mix(docs: DataFrame, weights, block: int, temper: float, period: int, repeat: bool, salts: int) -> DataFrame:
     rows = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
                              "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts))})
     parts = rows.groupBy("_source", "_salt").agg(F.count("*").alias("_n"))
@@ -95,13 +103,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     out = out.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / block)).withColumn("slot", _slot(F.col("block")))
     return out.filter(F.col("slot") < F.col("length")).withColumns({
         "release": release(F.col("block"), F.col("q"), F.col("period")), "deadline": deadline(F.col("block"), F.col("q"), F.col("period")),
-        "position": F.col("slot") * block + F.col("_at") % block}).select(
-        *docs.columns, "epoch", "block", "release", "deadline", "slot", "position")
+        "position": F.col("slot") * block + F.col("_at") % block})
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The mix as rows of documents; every part of the output is in the order of the mix."""
-    return mix(docs).sortWithinPartitions("position").select(*docs.columns)
+    out = _mix(whole_rows(docs, "doc_id", "source"), None, BLOCK, TEMPER, PERIOD, True, SALTS)
+    return as_documents(out.sortWithinPartitions("position"), docs)
 
 
 def op6_mixing(spark, folder):

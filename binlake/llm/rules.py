@@ -10,13 +10,13 @@ Lines that fail are removed; a document that loses more than ``max_loss`` of the
 rejected.
 
 Null and empty texts have no words and are rejected.  Each row is judged alone, so repeated rows, ties and other
-columns change nothing; a null id stays null.
+columns change nothing; a column named like a result is replaced by it; a null id stays null.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SEPARATORS, documents, text_of
+from .common import SEPARATORS, as_documents, documents, text_of, whole_rows
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW, MAX_LOSS = 10, 20, 5, 0.4
 #: Fixed values of the line rules, one pattern each, in a syntax that Java and RE2 share.
@@ -87,9 +87,9 @@ def judged(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> D
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents that pass, without their failed lines."""
-    kept = judged(docs).filter("kept")
-    return kept.withColumn("text", F.when(F.col("n_removed_lines") > 0, F.col("cleaned")).otherwise(F.col("text"))) \
-        .withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    kept = judged(whole_rows(docs, "text")).filter("kept")
+    text = F.when(F.col("n_removed_lines") > 0, F.col("cleaned")).otherwise(F.col("text"))
+    return as_documents(kept, docs, text=text, n_chars=F.length(text).cast("bigint"))
 
 
 def op5_quality_rules(spark, folder):

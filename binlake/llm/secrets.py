@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import documents, text_of
+from .common import as_documents, documents, text_of, whole_rows
 
 #: What each kind matches, and how long its kept part is at least.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -148,8 +148,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents with their secrets masked."""
-    out = scanned(docs).withColumn("text", F.when(F.size("_spans") > 0, masked(F.col("_t"), F.col("_spans"))).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    found = scanned(whole_rows(docs, "text"))
+    text = F.when(F.size("_spans") > 0, masked(F.col("_t"), F.col("_spans"))).otherwise(F.col("text"))
+    return as_documents(found, docs, text=text, n_chars=F.length(text).cast("bigint"))
 
 
 def op9_secrets(spark, folder):
