@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, functions as F
 
 from .common import documents, mix, slices, text_of
-from .postings import BATCH, PACKED, bucket_count, gather, grams, lowest, packed, per_doc, places, word_hashes
+from .postings import BATCH, PACKED, bucket_count, gather, grams, lowest, packed, places, rows_of, word_hashes
 
 WINDOW, SEED = 13, 5
 
@@ -73,7 +73,7 @@ def _seeds_found(h, d, mark):
     group = np.cumsum(first) - 1
     n = np.bincount(group, minlength=first.sum()) if len(h) else np.zeros(0, int)
     hit = (n[group] > 1) | (mark[order] > 0)
-    return per_doc(d[order][hit], h[order][hit], names=["seeds"])
+    return rows_of(d[order][hit], h[order][hit], names=["doc_id", "seeds"])
 
 
 def _windows(h, d, first, low, buckets):
@@ -90,8 +90,8 @@ def _windows_found(h, d, mark):
     order, first, low = lowest(h[~known], d[~known])
     hh, dd = h[~known][order], d[~known][order]
     hit = dd > low
-    return per_doc(np.concatenate([dd[hit], d[known]]), np.concatenate([hh[hit], h[known]]),
-                   np.concatenate([low[hit], mark[known]]), names=["found", "block"])
+    return rows_of(np.concatenate([dd[hit], d[known]]), np.concatenate([hh[hit], h[known]]),
+                   np.concatenate([low[hit], mark[known]]), names=["doc_id", "found", "block"])
 
 
 def _look_up(rows: DataFrame, buckets: int, step, found, schema: str, lists: tuple[str, ...]) -> DataFrame:
@@ -102,7 +102,7 @@ def _look_up(rows: DataFrame, buckets: int, step, found, schema: str, lists: tup
             if len(hashes):
                 yield from _postings(hashes, docs, buckets, _seeds if found is _seeds_found else _windows)
     back = gather(rows.mapInArrow(run, PACKED), found, schema)
-    return back.groupBy("doc_id").agg(*[F.flatten(F.collect_list(x)).alias(x) for x in lists])
+    return back.groupBy("doc_id").agg(*[F.collect_list(x).alias(x) for x in lists])
 
 
 def _seed_step(b):
@@ -191,11 +191,11 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, the kept words and the duplicate spans (in words) of every row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs, text).alias("text"))
     buckets = bucket_count(rows)
-    seeds = _look_up(rows, buckets, _seed_step, _seeds_found, "doc_id bigint, seeds array<bigint>", ("seeds",))
+    seeds = _look_up(rows, buckets, _seed_step, _seeds_found, "doc_id bigint, seeds bigint", ("seeds",))
     some = F.expr("cast(array() as array<bigint>)")
     # both joins read one exchange of the texts
     first = rows.join(seeds, "doc_id", "left").select("doc_id", "text", F.coalesce("seeds", some).alias("seeds"))
-    found = _look_up(first, buckets, _window_step, _windows_found, "doc_id bigint, found array<bigint>, block array<bigint>", ("found", "block"))
+    found = _look_up(first, buckets, _window_step, _windows_found, "doc_id bigint, found bigint, block bigint", ("found", "block"))
     second = rows.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("found", some).alias("found"), F.coalesce("block", some).alias("block"))
     return second.mapInArrow(_parse, PARSED)
 
