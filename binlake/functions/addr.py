@@ -11,7 +11,14 @@ def parse(col) -> Column:
     text = F.trim(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
     return (F.when(text.rlike("^0x[0-9a-fA-F]{1,16}$"),
                    F.conv(F.substring(text, 3, 16), 16, -10).cast("bigint"))
-            .when(text.rlike("^-?[0-9]{1,18}$"), text.try_cast("bigint")))
+            .when(text.rlike("^-?[0-9]{1,18}$"), text.try_cast("bigint"))
+            .when(text.rlike("^[0-9]{19,20}$"), _wrapped(text.try_cast("decimal(20,0)"))))
+
+
+def _wrapped(value: Column) -> Column:
+    """Bit pattern of an unsigned 64-bit decimal; null beyond 64 bits."""
+    return F.when(value < F.lit("9223372036854775808").cast("decimal(20,0)"), value.try_cast("bigint")) \
+        .when(value < F.lit("18446744073709551616").cast("decimal(20,0)"), (value - F.lit("18446744073709551616").cast("decimal(20,0)")).try_cast("bigint"))
 
 
 def parse_loose(col: Column) -> Column:

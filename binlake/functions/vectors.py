@@ -9,17 +9,17 @@ from .binding import let
 
 DIM = 104
 
-# Mnemonic categories 0..6.  Where the published table repeats a mnemonic the later
-# category counts: add -> 1, sub -> 5, ldr, fadd, fmul, fdiv -> 6.
-MNEMONIC_CATEGORIES = {
-    0: "mov str ldp stp ldrb strb ldrh strh ldrsw movz movk adrp lea movzx movsx cmov",
-    1: "add mul div sdiv udiv mod srem urem neg inc dec imul idiv fsub",
+# Mnemonics of the categories 0 to 6, as published; a mnemonic that comes again belongs to the later one.
+MNEMONICS = {
+    0: "mov ldr str ldp stp ldrb strb ldrh strh ldrsw movz movk adrp add lea movzx movsx cmov",
+    1: "add sub mul div sdiv udiv mod srem urem neg inc dec imul idiv fadd fsub fmul fdiv",
     2: "and or xor not shl shr sar lsl lsr asr bic orn",
     3: "cmp tst teq test cmn",
     4: "b bl br blr ret jmp call je jne jz jnz jg jl jge jle cbz cbnz tbz tbnz",
     5: "push pop sub",
     6: "fmla fmul fadd fdiv fcvt scvtf ldr",
 }
+CATEGORY_OF = {word: category for category, words in MNEMONICS.items() for word in words.split()}
 
 # The 78 pseudocode keywords, in vector order.
 KEYWORDS = (
@@ -50,8 +50,8 @@ def _shares(labels: Column, keys) -> Column:
 
 def mnemonic_category(mnemonic: Column) -> Column:
     out = None
-    for cat, words in MNEMONIC_CATEGORIES.items():
-        test = mnemonic.isin(*words.split())
+    for cat in MNEMONICS:
+        test = mnemonic.isin(*[word for word, category in CATEGORY_OF.items() if category == cat])
         out = F.when(test, cat) if out is None else out.when(test, cat)
     return out
 

@@ -49,8 +49,10 @@ def matched(functions: DataFrame, facts: DataFrame, by: str = "addr") -> DataFra
             .groupBy("binary").agg(F.count("*").alias("matched")))
 
 
-def merge(annotations: DataFrame, new_rows: DataFrame) -> DataFrame:
-    return tables.merge(annotations, new_rows.dropDuplicates(["binary", "addr", "key"]), ["binary", "addr", "key"])
+def merge(annotations: DataFrame, new_rows: DataFrame, version: str) -> DataFrame:
+    """Annotations with the new rows' values; of several for one key the one with the highest ``version`` counts."""
+    keys = ["binary", "addr", "key"]
+    return tables.merge(annotations, tables.latest(new_rows, keys, version).drop(version), keys)
 
 
 def read(annotations: DataFrame, prefix: str = PREFIX) -> DataFrame:

@@ -109,11 +109,13 @@ def trace_chain(starts: DataFrame, calls: DataFrame, depth: int = 2, cut_every:
     return reached
 
 
-def upsert_functions(current: DataFrame, incoming: DataFrame, version: str | None = None) -> DataFrame:
-    """Merge function rows by (binary, addr).  A null incoming value keeps what is stored."""
-    rows = tables.latest(incoming, ["binary", "addr"], version).drop(version) if version else \
-        incoming.dropDuplicates(["binary", "addr"])
-    return tables.merge(current, rows, ["binary", "addr"], {"size": 0, "pseudocode": ""})
+def upsert_functions(current: DataFrame, incoming: DataFrame, version: str) -> DataFrame:
+    """Overwrite function rows by (binary, addr) with the incoming row of the highest ``version``.
+
+    Every field is set: a missing size becomes 0, missing pseudocode or disassembly becomes ''.
+    """
+    rows = tables.latest(incoming, ["binary", "addr"], version).drop(version)
+    return tables.overwrite(current, rows, ["binary", "addr"], {"size": 0, "pseudocode": "", "disasm": ""})
 
 
 def upsert_calls(functions: DataFrame, calls: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

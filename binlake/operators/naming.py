@@ -117,12 +117,19 @@ def overview_sample(functions: DataFrame, sample_size: int = 120, pinned: DataFr
             .filter(F.col("pos") <= sample_size).select("binary", "addr", "name", "size", "pos"))
 
 
+# The text around the number of names shown, the total and the list of names.
+OVERVIEW = (
+    "Here are up to ", " functions from a binary (", " total functions):\n\n",
+    "\n\nBased on these function names and sizes:\n1. What does this binary likely do? (2-3 sentences)\n"
+    "2. What are its major subsystems or components?\n3. Anything security-relevant, unusual, or interesting?\n\n"
+    "Be concise and specific. If function names are mostly sub_*, say so and give your best guess from patterns you can see.")
+
+
 def overview_prompt(sample: DataFrame, totals: DataFrame) -> DataFrame:
     """Question text per binary over its (bounded) sample."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "size"))), lambda r: F.concat(
         F.lit("  "), r["name"], F.lit("  ("), r["size"].cast("string"), F.lit(" bytes)")))
     rows = sample.groupBy("binary").agg(F.array_join(lines, "\n").alias("context"), F.count("*").alias("shown"))
     return rows.join(totals.select("binary", "total"), "binary").select("binary", F.concat(
-        F.lit("Up to "), F.col("shown").cast("string"), F.lit(" functions of an image with "),
-        F.format_number("total", 0), F.lit(" functions:\n\n"), F.col("context"),
-        F.lit("\n\nWhat does it likely do, which parts does it have, and what is relevant to security?")).alias("prompt"))
+        F.lit(OVERVIEW[0]), F.col("shown").cast("string"), F.lit(OVERVIEW[1]),
+        F.format_number("total", 0), F.lit(OVERVIEW[2]), F.col("context"), F.lit(OVERVIEW[3])).alias("prompt"))

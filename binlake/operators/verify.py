@@ -147,13 +147,15 @@ def compare_writes(original: DataFrame, recompiled: DataFrame, returns: DataFram
 
 def compare_runs(original: DataFrame, recompiled: DataFrame, returns: DataFrame,
                  tolerance: float = 0.1) -> DataFrame:
-    """Return value and sorted written values of two runs, compared with tolerance.
+    """Return value and sorted final values of two runs, compared with tolerance.
 
+    An address counts with the value written last (by ``ord``).
     Sorted values are not gathered: equal values fill a stretch of positions on either side, so the
     number of equal positions is the overlap of these stretches, summed over values.
     """
     def counted(t: DataFrame, name: str) -> DataFrame:
-        return t.groupBy("pair_id", "value").agg(F.count("*").alias(name))
+        last = t.groupBy("pair_id", "addr").agg(F.max_by("value", "ord").alias("value"))
+        return last.groupBy("pair_id", "value").agg(F.count("*").alias(name))
     both = (counted(original, "no").join(counted(recompiled, "nr"), ["pair_id", "value"], "full_outer")
             .withColumns({"no": F.coalesce("no", F.lit(0)), "nr": F.coalesce("nr", F.lit(0))}))
     ends = blocks.running_sums(both, PAIR, "value", {"eo": F.col("no"), "er": F.col("nr")})

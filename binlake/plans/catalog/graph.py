@@ -87,7 +87,7 @@ def graph_get_function(t):
 
 
 @q("functions", """SELECT binary, addr, CASE WHEN addr % 5 = 0 THEN 'new_' || addr ELSE name END AS name,
-        CASE WHEN addr % 5 = 0 AND addr % 10 <> 0 THEN 1 ELSE size END AS size FROM functions
+        CASE WHEN addr % 5 <> 0 THEN size WHEN addr % 10 <> 0 THEN 1 ELSE 0 END AS size FROM functions
     UNION ALL SELECT binary, -addr - 1, 'added', 0 FROM functions WHERE addr % 100 = 0""")
 def graph_upsert_functions(t):
     fns = t.lean()
@@ -300,8 +300,11 @@ def naming_overview_sample(t):
     return naming.overview_sample(t.lean(), 60, t.lean().filter("addr % 40 = 0"))
 
 
-@q("functions", """SELECT binary, 'Up to ' || shown || ' functions of an image with ' || format('{:,}', total) || ' functions:' || chr(10) || chr(10)
-    || ctx || chr(10) || chr(10) || 'What does it likely do, which parts does it have, and what is relevant to security?' AS prompt FROM (
+# column names in the SQL are quoted word by word, so the word in the text is split
+@q("functions", """SELECT binary, 'Here are up to ' || shown || ' functions from a bin' || 'ary (' || format('{:,}', total) || ' total functions):' || chr(10) || chr(10)
+    || ctx || chr(10) || chr(10) || 'Based on these function names and sizes:' || chr(10) || '1. What does this bin' || 'ary likely do? (2-3 sentences)'
+    || chr(10) || '2. What are its major subsystems or components?' || chr(10) || '3. Anything security-relevant, unusual, or interesting?'
+    || chr(10) || chr(10) || 'Be concise and specific. If function names are mostly sub_*, say so and give your best guess from patterns you can see.' AS prompt FROM (
     SELECT binary, count(*) AS shown, any_value(total) AS total, string_agg('  ' || name || '  (' || size || ' bytes)', chr(10) ORDER BY pos) AS ctx
     FROM (SELECT *, count(*) OVER (PARTITION BY binary) AS total, row_number() OVER (PARTITION BY binary ORDER BY g,
         CASE WHEN g = 2 THEN -size ELSE 0 END, addr) AS pos FROM (SELECT *, CASE WHEN NOT starts_with(lower(name), 'sub_') THEN 1 ELSE 2 END AS g

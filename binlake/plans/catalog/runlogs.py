@@ -237,7 +237,7 @@ def learn_signature(t):
 
 TOKS = "CASE event_type WHEN 'click' THEN 3 WHEN 'error' THEN 8 WHEN 'view' THEN 5 ELSE 3 END"
 FAMS = ", ".join(flag(f"fam = '{f}'") for f in C.FAMILY_ORDER)
-BITS = ", ".join(flag("fam IN (" + ", ".join(f"'{f}'" for f, b in C.INTENTS.items() if b[i] == "1") + ")") for i in range(6))
+BITS = ", ".join(flag("fam IN (" + ", ".join(f"'{f}'" for f, b in C.INTENTS.items() if b[i]) + ")") for i in range(6))
 
 
 @q("commands", f"""SELECT step, {PROGRAM} AS program, {shown(', '.join([FAMS, BITS, f'least({TOKS} / 8, 1)', 'least(length(command) / 80, 1)',
@@ -308,8 +308,8 @@ def annotate_matched(t):
 @q("emu_runs", """SELECT binary, addr, 'dyn_' || key AS key, CASE WHEN key = 'status' AND addr % 3 = 0 THEN 'manual' ELSE value END AS value FROM fa""", FACTS)
 def annotate_merge(t):
     rows = _status_facts(t)[1].withColumn("key", F.concat(F.lit("dyn_"), "key"))
-    new = rows.filter("key = 'dyn_status' and addr % 3 = 0").withColumn("value", F.lit("manual"))
-    return annotate.merge(rows, new)
+    new = rows.filter("key = 'dyn_status' and addr % 3 = 0").withColumn("v", F.explode(F.array(F.lit(2), F.lit(1))))
+    return annotate.merge(rows, new.withColumn("value", F.when(F.col("v") == 2, "manual").otherwise("stale")), "v")
 
 
 @q("emu_runs", """SELECT binary, addr, 'dyn_' || key AS key, value FROM fa WHERE addr % 3 <> 0

@@ -121,7 +121,9 @@ def stream_upsert(t):
     """Function rows from the event stream merged into a table, batch by batch."""
     root = _shared_folder(t.spark)
     rows = live(t).ev().select(F.concat(F.lit("bin"), (F.col("user_id") % 10).cast("string")).alias("binary"), F.col("k").alias("addr"),
-                               F.concat(F.lit("fn_"), F.col("k").cast("string")).alias("name"), (F.col("k") * 2).alias("size"))
+                               (F.col("k") * 2).alias("size"), F.explode(F.array(F.lit(2), F.lit(1))).alias("v"))
+    # each function comes twice in a batch; the lower version must lose
+    rows = rows.withColumn("name", F.concat(F.when(F.col("v") == 2, "fn_").otherwise("stale_"), F.col("addr").cast("string")))
     empty = t.spark.createDataFrame([], "binary string, addr bigint, name string, size bigint")
-    stream.run_available(stream.upsert(rows, f"{root}/functions", empty, f"{root}/ckpt"))
+    stream.run_available(stream.upsert(rows, f"{root}/functions", empty, f"{root}/ckpt", "v"))
     return t.spark.read.schema(empty.schema).parquet(f"{root}/functions").filter(N.is_named(F.col("name")))

@@ -33,6 +33,25 @@ def merge(current: DataFrame, incoming: DataFrame, keys: list[str], defaults: di
     return out.select(*fields)
 
 
+def overwrite(current: DataFrame, incoming: DataFrame, keys: list[str], defaults: dict | None = None) -> DataFrame:
+    """Keyed upsert: an incoming row sets every field it may have; what it lacks becomes the field's default.
+
+    Fields that are neither incoming nor in ``defaults`` keep the stored value.  ``incoming`` has one row per key.
+    """
+    defaults = defaults or {}
+    new = incoming.select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in incoming.columns if c not in keys])
+    fields = []
+    for c in current.columns:
+        if c in keys or not (c in incoming.columns or c in defaults):
+            fields.append(F.col(c))
+            continue
+        value = F.col(f"_n_{c}") if c in incoming.columns else F.lit(None)
+        if c in defaults:
+            value = F.coalesce(value, F.lit(defaults[c]))
+        fields.append(F.when(F.col("_new"), value).otherwise(F.col(c)).alias(c))
+    return current.join(new, keys, "full_outer").select(*fields)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -37,15 +37,16 @@ def latency(events: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(F.when(F.col("ok"), F.col("latency_ms"))).alias("avg_latency_ms"))
 
 
-def upsert(updates: DataFrame, path: str, current_schema: DataFrame, checkpoint: str) -> DataStreamWriter:
+def upsert(updates: DataFrame, path: str, current_schema: DataFrame, checkpoint: str, version: str) -> DataStreamWriter:
     """Merge function rows of each micro-batch into the table at ``path``.
 
-    The merge is a function of table and batch, so a batch that is run again changes nothing.
+    ``version`` names an offset or sequence column: of several updates of one function in a batch the highest wins,
+    in whatever order the rows come, so a batch that is run again changes nothing.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         tables.rewrite(spark, path, "binary", batch,
-                       lambda current: graph.upsert_functions(current, batch), current_schema)
+                       lambda current: graph.upsert_functions(current, batch, version), current_schema)
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 

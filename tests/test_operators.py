@@ -296,19 +296,20 @@ def test_table_rewrite_and_stream_upsert(spark, tmp_path):
     ddl = "binary string, addr bigint, name string, size bigint"
     empty, path = spark.createDataFrame([], ddl), str(tmp_path / "t")
     def put(rows):
-        new = spark.createDataFrame(rows, ddl)
-        tables.rewrite(spark, path, "binary", new, lambda cur: graph.upsert_functions(cur, new), empty)
-    put([("a", 1, "x", 5), ("b", 1, "y", 6)])
-    put([("a", 1, "x2", None), ("a", 2, "z", 7)])
-    put([("a", 1, "x2", None), ("a", 2, "z", 7)])  # a rerun changes nothing
+        new = spark.createDataFrame(rows, ddl + ", v int")
+        tables.rewrite(spark, path, "binary", new, lambda cur: graph.upsert_functions(cur, new, "v"), empty)
+    put([("a", 1, "x", 5, 1), ("b", 1, "y", 6, 1)])
+    put([("a", 1, "x2", None, 2), ("a", 1, "stale", 9, 1), ("a", 2, "z", 7, 1)])
+    put([("a", 2, "z", 7, 1), ("a", 1, "stale", 9, 1), ("a", 1, "x2", None, 2)])  # the batch again, in another order
     got = sorted(tuple(r) for r in spark.read.schema(ddl).parquet(path).select("binary", "addr", "name", "size").collect())
-    assert got == [("a", 1, "x2", 5), ("a", 2, "z", 7), ("b", 1, "y", 6)]
+    assert got == [("a", 1, "x2", 0), ("a", 2, "z", 7), ("b", 1, "y", 6)]
     assert tables.drop_partition(spark, path, "binary", "a") == 2
     assert spark.read.schema(ddl).parquet(path).count() == 1
     src = str(tmp_path / "in")
-    spark.createDataFrame([("c", 9, "n", 1)], ddl).write.parquet(src)
-    ups = spark.readStream.schema(ddl).parquet(src)
-    stream.run_available(stream.upsert(ups, path, empty, str(tmp_path / "ck")))
+    spark.createDataFrame([("c", 9, "n", 1, 3), ("c", 9, "m", 1, 2)], ddl + ", v int").write.parquet(src)
+    ups = spark.readStream.schema(ddl + ", v int").parquet(src)
+    stream.run_available(stream.upsert(ups, path, empty, str(tmp_path / "ck"), "v"))
+    assert spark.read.schema(ddl).parquet(path).filter("binary = 'c'").first().name == "n"
     assert spark.read.schema(ddl).parquet(path).count() == 2
 
 
