@@ -87,9 +87,11 @@ def judged(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> D
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents that pass, without their failed lines."""
-    kept = judged(whole_rows(docs, "text")).filter("kept")
-    text = F.when(F.col("n_removed_lines") > 0, F.col("cleaned")).otherwise(F.col("text"))
-    return as_documents(kept, docs, text=text, n_chars=F.length(text).cast("bigint"))
+    # behind the explode, so that the optimizer doesn't copy the whole judgement into a filter below
+    judgement = judged(whole_rows(docs, "text")).select(F.explode(F.array(F.struct(
+        "_row", "text", "kept", "cleaned", F.col("n_removed_lines").alias("removed")))).alias("x")).filter("x.kept").select("x.*")
+    text = F.when(F.col("removed") > 0, F.col("cleaned")).otherwise(F.col("text"))
+    return as_documents(judgement, docs, text=text, n_chars=F.length(text).cast("bigint"))
 
 
 def op5_quality_rules(spark, folder):
