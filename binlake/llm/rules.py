@@ -4,7 +4,7 @@ Base measures of a whole text: words, characters in words, symbols, repeated lin
 windows; a text fails the base with under 10 words or with over a fifth of its words in repeated windows.
 
 Line rules: every line with a word is held against three rules.  *Punctuation*: it ends with terminal punctuation
-(quotes and brackets may follow), and marks such as ``#`` or ``!!`` do not stand after every few words.  *Navigation*: no
+(quotes and brackets may follow) or, if it breaks off, has a sentence that ends before, and marks such as ``#`` or ``!!`` do not stand after every few words.  *Navigation*: no
 chain of menu separators, no menu word alone.  *Boilerplate*: no licence, consent, copyright or sign-up phrase.
 Lines that fail are removed; a document that loses more than ``max_loss`` of the characters of its lines is
 rejected.
@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SEPARATORS, as_documents, documents, text_of, whole_rows
 
-MIN_WORDS, REPEAT_PERCENT, WINDOW, MAX_LOSS = 10, 20, 5, 0.4
+MIN_WORDS, REPEAT_PERCENT, WINDOW, MAX_LOSS = 10, 20, 5, 0.5
 #: Fixed values of the line rules, one pattern each, in a syntax that Java and RE2 share.
 TERMINAL = r"[.!?…。！？][\x22'”’»)\]]*[\x20\x09-\x0D]*$"
+SENTENCE_END = r"[.!?…。！？][\x22'”’»)\]]*\x20"
 NOISE = r"[#*$%&|<>~^=_]{2,}|!!|\?\?"
 MENU = r"[^|»>·•][|»>·•][^|»>·•]"
 MENU_WORD = (r"(?i)^[\x20\x09-\x0D]*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|"
@@ -57,7 +58,7 @@ def _covered(hashes: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails one of the three rules."""
     n = F.length(line)
-    return ~line.rlike(TERMINAL) | (F.regexp_count(line, F.lit(NOISE)) * 40 > n) \
+    return ~(line.rlike(TERMINAL) | line.rlike(SENTENCE_END)) | (F.regexp_count(line, F.lit(NOISE)) * 40 > n) \
         | (F.regexp_count(line, F.lit(MENU)) >= 3) | line.rlike(MENU_WORD) | line.rlike(BOILERPLATE)
 
 
@@ -111,7 +112,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
       GROUP BY doc_id),
 b AS (SELECT doc_id, ls, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
              len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-             list_filter(ls, lambda x: regexp_matches(x, '{_q(TERMINAL)}') AND len(regexp_extract_all(x, '{_q(NOISE)}')) * 40 <= len(x)
+             list_filter(ls, lambda x: (regexp_matches(x, '{_q(TERMINAL)}') OR regexp_matches(x, '{_q(SENTENCE_END)}')) AND len(regexp_extract_all(x, '{_q(NOISE)}')) * 40 <= len(x)
                 AND len(regexp_extract_all(x, '{_q(MENU)}')) < 3 AND NOT regexp_matches(x, '{_q(MENU_WORD)}')
                 AND NOT regexp_matches(x, '{_q(BOILERPLATE)}')) AS good FROM w)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words,

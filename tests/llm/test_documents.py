@@ -184,7 +184,7 @@ def test_shards(odd, parts):
 # 5
 
 @pytest.mark.parametrize("line,fails", [
-    ("A plain sentence with an end.", False), ("He said \"yes.\"", False), ("No end here", True), ("Home | About | News | Contact.", True),
+    ("A plain sentence with an end.", False), ("He said \"yes.\"", False), ("No end here", True), ("It ends. Then it breaks off", False), ("Home | About | News | Contact.", True),
     ("Sign in", True), ("All rights reserved.", True), ("THIS!! IS!! LOUD!! TALK!!", True), ("One bar | here is fine.", False)])
 def test_lines(spark, line, fails):
     df = spark.createDataFrame([(line,)], "x string")

@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 def cleaned(text):
     """Text without failed lines, or None if rejected."""
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    good = [x for x in lines if re.search(rules.TERMINAL, x) and len(re.findall(rules.NOISE, x)) * 40 <= len(x)
+    good = [x for x in lines if (re.search(rules.TERMINAL, x) or re.search(rules.SENTENCE_END, x)) and len(re.findall(rules.NOISE, x)) * 40 <= len(x)
             and len(re.findall(rules.MENU, x)) < 3 and not re.search(rules.MENU_WORD, x) and not re.search(rules.BOILERPLATE, x)]
     whole = sum(map(len, lines))
     if base(text)[5] or 1 - sum(map(len, good)) / max(whole, 1) > rules.MAX_LOSS:
