@@ -1,7 +1,7 @@
 """Session settings shared by jobs, tests and the bench."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +43,13 @@ def spread(scan: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can write, from ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting (tests) gets a fresh temporary folder.
+    Only a local session without that setting (tests) gets a fresh folder below its warehouse.
     """
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="binlake-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints/{uuid.uuid4().hex}"
     return folder
 
 
