@@ -17,8 +17,8 @@ BODIES = {
     "addr_hex(a BIGINT) RETURNS STRING": "concat('0x', lower(hex(a)))",
     "is_named(n STRING) RETURNS BOOLEAN": "n IS NOT NULL AND NOT startswith(n, 'sub_')",
     "code_strings(c STRING) RETURNS ARRAY<STRING>":
-        f"transform(slice(array_distinct(filter(regexp_extract_all(c, r'{text.QUOTED}', 1), "
-        f"s -> length(s) >= 2 AND NOT rlike(s, r'{text.FORMAT_ONLY}'))), 1, 8), s -> substring(s, 1, 40))",
+        f"array_distinct(filter(regexp_extract_all(c, r'{text.QUOTED}', 1), "
+        f"s -> length(s) >= 2 AND NOT rlike(s, r'{text.FORMAT_ONLY}')))",
 }
 
 

@@ -41,20 +41,23 @@ def line_count(col: Column) -> Column:
     return occurrences(col, "\n") + 1
 
 
-def strings(col: Column, max_strings: int = 8, max_len: int = 40) -> Column:
-    """Distinct string literals in first-seen order, format-only ones dropped."""
+def strings(col: Column, max_strings: int | None = None, max_len: int | None = None) -> Column:
+    """Distinct string literals in first-seen order, format-only ones dropped; cut only where a limit is given."""
     found = F.filter(matches(col, QUOTED, 1), lambda s: (F.length(s) >= 2) & ~s.rlike(FORMAT_ONLY))
-    return F.transform(F.slice(F.array_distinct(found), 1, max_strings),
-                       lambda s: F.substring(s, 1, max_len))
+    out = F.array_distinct(found)
+    if max_strings is not None:
+        out = F.slice(out, 1, max_strings)
+    return out if max_len is None else F.transform(out, lambda s: F.substring(s, 1, max_len))
 
 
-def constants(col: Column, max_constants: int = 6) -> Column:
-    """Distinctive numbers, hex literals first, as DECIMAL(38,0)."""
+def constants(col: Column, max_constants: int | None = None) -> Column:
+    """Distinctive numbers, hex literals first, as DECIMAL(38,0); cut only where a limit is given."""
     hexes = F.transform(matches(col, HEX_LITERAL, 1), addr.hex_decimal)
     decs = F.transform(matches(col, DEC_LITERAL), lambda s: s.try_cast("decimal(38,0)"))
     common = F.array(*[F.lit(str(v)).cast("decimal(38,0)") for v in COMMON_CONSTANTS])
     kept = F.filter(F.concat(hexes, decs), lambda v: v.isNotNull() & ~F.array_contains(common, v))
-    return F.slice(F.array_distinct(kept), 1, max_constants)
+    out = F.array_distinct(kept)
+    return out if max_constants is None else F.slice(out, 1, max_constants)
 
 
 def eligible(col: Column) -> Column:

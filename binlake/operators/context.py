@@ -97,8 +97,8 @@ def gather(functions: DataFrame, calls: DataFrame, starts: DataFrame | None = No
         out = (out.join(listed, ["binary", "start"], "left")
                .withColumn(direction, F.coalesce(direction, empty)))
     code = F.coalesce("pseudocode", F.lit(""))
-    body = functions.select("binary", F.col("addr").alias("start"), T.strings(code).alias("strings"),
-                            T.constants(code).alias("constants"))
+    body = functions.select("binary", F.col("addr").alias("start"), T.strings(code, 8, 40).alias("strings"),
+                            T.constants(code, 6).alias("constants"))
     out = out.join(body, ["binary", "start"], "left")
     if knowledge_block is not None:
         known = knowledge_block.select("binary", F.col("addr").alias("start"), "knowledge")

@@ -15,31 +15,31 @@ def joined(col, sep="|"):
     return F.array_join(F.transform(col, lambda x: x.cast("string")), sep)
 
 
-def firsts(source: str, key: str, items: str, keep: str, n: int, value: str = "s") -> str:
-    """SQL for 'distinct in first-seen order, first n, joined' over a list expression."""
+def firsts(source: str, key: str, items: str, keep: str) -> str:
+    """SQL for 'distinct in first-seen order, joined' over a list expression."""
     return f"""SELECT {key}, coalesce(out, '') AS items FROM (SELECT DISTINCT {key} FROM {source}) LEFT JOIN (
-        SELECT {key}, string_agg({value}, '|' ORDER BY p) AS out FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY p) AS r
-        FROM (SELECT {key}, s, min(p) AS p FROM (SELECT {key}, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (
-            SELECT {key}, {items} AS l FROM {source})) WHERE {keep} GROUP BY {key}, s)) WHERE r <= {n} GROUP BY {key}) USING ({key})"""
+        SELECT {key}, string_agg(s, '|' ORDER BY p) AS out FROM (
+            SELECT {key}, s, min(p) AS p FROM (SELECT {key}, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (
+                SELECT {key}, {items} AS l FROM {source})) WHERE {keep} GROUP BY {key}, s) GROUP BY {key}) USING ({key})"""
 
 
 QUOTED = """regexp_extract_all({c}, '"([^"]{{1,200}})"', 1)"""
 KEEP = r"""length(s) >= 2 AND NOT regexp_full_match(s, '["%# +\-0-9.*hlLzjt]*[diouxXeEfFgAcspn%]')"""
 
 
-@q("", firsts("pages", "page_id", QUOTED.format(c="html"), KEEP, 8, "substr(s, 1, 40)"))
+@q("", firsts("pages", "page_id", QUOTED.format(c="html"), KEEP))
 def text_strings_pages(t):
     return t.spread("pages").select("page_id", joined(T.strings(F.col("html"))).alias("items"))
 
 
-@q("code", firsts("code", "doc_id", QUOTED.format(c="code"), KEEP, 8, "substr(s, 1, 40)"))
+@q("code", firsts("code", "doc_id", QUOTED.format(c="code"), KEEP))
 def text_strings_code(t):
     return t.code().select("doc_id", joined(T.strings(F.col("code"))).alias("items"))
 
 
 @q("code", firsts("code", "doc_id", r"""list_transform(regexp_extract_all(code, '\b0x([0-9a-fA-F]{2,})\b', 1), lambda x: CAST(CAST('0x' || x AS BIGINT) AS VARCHAR))
     || list_transform(regexp_extract_all(code, '\b(-?[0-9]{4,})\b', 1), lambda x: CAST(CAST(x AS HUGEINT) AS VARCHAR))""",
-    "s NOT IN ('0', '1', '-1', '2', '4', '8', '255', '65535', '4294967295', '18446744073709551615')", 6))
+    "s NOT IN ('0', '1', '-1', '2', '4', '8', '255', '65535', '4294967295', '18446744073709551615')"))
 def text_constants(t):
     return t.code().select("doc_id", joined(T.constants(F.col("code"))).alias("items"))
 
