@@ -7,7 +7,7 @@ from ..functions import addr as A, outcomes as O
 from ..plans import blocks
 
 # Fixed values.
-CORPUS_CAP, CRASH_BONUS = 2000, 3.0
+CRASH_BONUS = 3.0
 SEED_INPUTS = (b"", b"A", b"BX", b"C%s", b"D8")
 
 
@@ -44,14 +44,13 @@ def coverage(runs: DataFrame, keys: list[str], crashed: Column) -> DataFrame:
     return out.withColumn("reward", F.col("new_coverage") + F.when(crashed, CRASH_BONUS).otherwise(0.0))
 
 
-def corpus(covered: DataFrame, keys: list[str], cap: int = CORPUS_CAP) -> DataFrame:
-    """Distinct inputs that earned new coverage, in order of discovery, up to the corpus size."""
+def corpus(covered: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
+    """Distinct inputs that earned new coverage, in order of discovery; the first only where a corpus size is given."""
     seeds = [F.lit(s) for s in SEED_INPUTS]
     first = (covered.filter((F.col("new_coverage") > 0) & ~F.col("payload").isin(*seeds))
              .groupBy(*keys, "payload").agg(F.min("step").alias("step")))
-    w = Window.partitionBy(*keys).orderBy("step")
-    return (first.withColumn("pos", F.row_number().over(w))
-            .filter(F.col("pos") <= cap - len(SEED_INPUTS)))
+    placed = blocks.dense_index(first, keys, "step", "pos").withColumn("pos", F.col("pos").cast("int"))
+    return placed if cap is None else placed.filter(F.col("pos") <= cap - len(SEED_INPUTS))
 
 
 def fuzz_crash_key(exit_code: Column, cov_ids: Column) -> Column:

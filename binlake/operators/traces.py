@@ -9,7 +9,7 @@ from ..plans import blocks
 # Fixed values.
 STACK_TOP = 0x7FFF0000 + 0x10000
 NEAR_BASE = 0x7FFF0000 + 0x1000
-LAST_TRACES, LAST_SIGNATURE_TRACES, RISK_BAR = 100, 10, 1.0
+RISK_BAR = 1.0
 KEY = ["trace_id"]
 
 
@@ -83,8 +83,10 @@ def risk_scores(found: DataFrame) -> DataFrame:
                                    F.count_if(F.col("weight") > 0).alias("indicators"))
 
 
-def last_traces(rows: DataFrame, n: int, order: str = "trace_id") -> DataFrame:
-    """Rows of the last ``n`` traces; their ids are found first and are at most ``n`` values."""
+def last_traces(rows: DataFrame, n: int | None, order: str = "trace_id") -> DataFrame:
+    """Rows of the last ``n`` traces, all without ``n``; the ids are found first and are at most ``n`` values."""
+    if n is None:
+        return rows
     ids = rows.select(order).distinct().orderBy(F.desc(order)).limit(n)
     return rows.join(F.broadcast(ids), order, "left_semi")
 
@@ -100,8 +102,8 @@ def with_risk(rows: DataFrame) -> DataFrame:
             .withColumn("risk", F.coalesce("risk", F.lit(I.UNKNOWN_RISK))))
 
 
-def risk_areas(rows: DataFrame, confidence: DataFrame | None = None, last: int = LAST_TRACES) -> DataFrame:
-    """Addresses whose risk over the last traces exceeds 1, worst first score ``min(risk/10, 1)``."""
+def risk_areas(rows: DataFrame, confidence: DataFrame | None = None, last: int | None = None) -> DataFrame:
+    """Addresses whose risk over all traces, or the ``last`` ones, exceeds 1; score ``min(risk/10, 1)``."""
     risk = (with_risk(last_traces(rows, last)).groupBy("address").agg(F.sum("context_risk").alias("risk"))
             .filter(F.col("risk") > RISK_BAR))
     if confidence is not None:
@@ -114,8 +116,8 @@ def risk_areas(rows: DataFrame, confidence: DataFrame | None = None, last: int =
                        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "risk")
 
 
-def signatures(rows: DataFrame, last: int = LAST_SIGNATURE_TRACES) -> DataFrame:
-    """Signature rules met by any instruction of the last traces, once per trace and rule."""
+def signatures(rows: DataFrame, last: int | None = None) -> DataFrame:
+    """Signature rules met by any instruction of all traces, or the ``last`` ones, once per trace and rule."""
     m, ops = F.col("mnemonic"), F.col("operands")
     rules = []
     for pattern, signature, severity, mnemonics_, words in I.SIGNATURES:

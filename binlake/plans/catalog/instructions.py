@@ -86,7 +86,7 @@ def traces_risk(t):
 
 
 @q("instr", """SELECT address, round(least(1, risk / 10), 6) AS risk_score, CASE WHEN address % 32 = 0 THEN 0.5 ELSE 0 END::DOUBLE AS confidence, round(risk, 6) AS risk FROM (SELECT address, sum(ctx) AS risk FROM rk
-    WHERE trace_id IN (SELECT DISTINCT trace_id FROM instr ORDER BY trace_id DESC LIMIT 100) GROUP BY address) WHERE round(risk, 9) > 1""", RISK)
+    GROUP BY address) WHERE round(risk, 9) > 1""", RISK)
 def traces_risk_areas(t):
     rows = t.instr()
     conf = rows.filter("address % 32 = 0").select(F.concat(F.lit("addr_"), F.col("address").cast("string")).alias("pattern"), F.lit(0.5).alias("confidence")).distinct()
@@ -99,10 +99,9 @@ def traces_risk_areas(t):
     ('stack_buffer_overflow', 'gets() call (no bounds checking)', 'critical', 'call', 'gets'),
     ('stack_buffer_overflow', 'strcpy() call (no bounds checking)', 'critical', 'call', 'strcpy'),
     ('use_after_free', 'use after free() call', 'high', 'call', 'free')) r(pattern, signature, severity, ms, word)
-    WHERE list_contains(string_split(ms, ' '), mnemonic) AND regexp_matches(operands, word)
-    AND trace_id IN (SELECT DISTINCT trace_id FROM instr ORDER BY trace_id DESC LIMIT 50)""")
+    WHERE list_contains(string_split(ms, ' '), mnemonic) AND regexp_matches(operands, word)""")
 def traces_signatures(t):
-    return traces.signatures(t.instr(), 50)
+    return traces.signatures(t.instr())
 
 
 PATTERNS = INDICATORS + """, pt AS (SELECT pattern, count(*) AS n FROM (SELECT a || ',' || b || ',' || mnemonic AS pattern FROM (
