@@ -10,7 +10,6 @@ from ..plans.blocks import trailing
 START, RATE, HISTORY, WARM_UP, TARGET, LOW, HIGH = 0.1, 0.01, 1000, 50, 0.8, 0.001, 10.0
 WINDOW, MASTERED, HIGH_ERROR, PROGRESS, NOISE = 60, 0.02, 0.08, 0.05, 0.35
 MAX_BLOCKS, COOLDOWN = 24, 300
-LIBRARY_CAP, PATH_CAP, SEEN_CHARS = 2000, 5000, 4000
 LIBRARY_SEEDS = ("echo hello", "ls -la", "pwd", "whoami", "uname -a", "cat /etc/os-release",
                  "ls /usr/bin | head", "seq 1 5")
 PATH_SEEDS = ("~", "/tmp", "/etc/hostname", "/proc/cpuinfo")
@@ -174,26 +173,31 @@ def ema(rows: DataFrame, keys: list[str], step: str = "step", value: str = "valu
     return blocks.clamped_scan(idx, keys, "idx", start).select(*cols, F.col("after").alias("ema"))
 
 
-def library(runs: DataFrame, keys: list[str], cap: int = LIBRARY_CAP) -> DataFrame:
-    """Commands that worked, in order of first success, up to the library size (seeds included)."""
+def library(runs: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
+    """Commands that worked, in order of first success; the first only where a library size (seeds included) is given."""
     good = (runs.filter((F.col("exit_code") == 0) & ~F.col("command").isin(*LIBRARY_SEEDS))
             .groupBy(*keys, "command").agg(F.min("step").alias("step")))
-    return _first(good, keys, cap - len(LIBRARY_SEEDS))
+    ranked = blocks.dense_index(good, keys, "step", "rank").withColumn("rank", F.col("rank").cast("int"))
+    return ranked if cap is None else ranked.filter(F.col("rank") <= cap - len(LIBRARY_SEEDS))
 
 
-def harvested_paths(runs: DataFrame, keys: list[str], cap: int = PATH_CAP, seen_chars: int = SEEN_CHARS) -> DataFrame:
-    """Path-like tokens of the output an agent saw (its first ``seen_chars`` characters)."""
-    hits = F.posexplode(F.regexp_extract_all(F.substring("stdout", 1, seen_chars), F.lit("/[A-Za-z0-9_./-]+"), 0))
+def harvested_paths(runs: DataFrame, keys: list[str], cap: int | None = None, seen_chars: int | None = None) -> DataFrame:
+    """Path-like tokens of the output, in order of first sight; ``seen_chars`` limits what of an output is looked at.
+
+    A campaign is never sorted as a whole: counts of new paths are summed over steps, and only the paths of
+    one step are ordered.
+    """
+    seen = F.col("stdout") if seen_chars is None else F.substring("stdout", 1, seen_chars)
+    hits = F.posexplode(F.regexp_extract_all(seen, F.lit("/[A-Za-z0-9_./-]+"), 0))
     first = (runs.select(*keys, "step", hits.alias("pos", "path")).filter(~F.col("path").isin(*PATH_SEEDS))
              .groupBy(*keys, "path").agg(F.min(F.struct("step", "pos")).alias("_at"))
              .select(*keys, "path", "_at.step", "_at.pos"))
-    w = Window.partitionBy(*keys).orderBy("step", "pos")
-    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap - len(PATH_SEEDS))
-
-
-def _first(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("step")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    fresh = first.groupBy(*keys, "step").agg(F.count("*").alias("_n"))
+    before = blocks.running_sums(fresh, keys, "step", {"_upto": F.col("_n")}).select(*keys, "step", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "step").orderBy("pos"))
+    out = (first.withColumn("_r", inside).join(before, [*keys, "step"])
+           .withColumn("rank", (F.col("_before") + F.col("_r")).cast("int")).drop("_before", "_r"))
+    return out if cap is None else out.filter(F.col("rank") <= cap - len(PATH_SEEDS))
 
 
 def _unit_hash(seed: str, keys: list[str], step: str) -> Column:

@@ -261,15 +261,17 @@ def runs_command_outcome_features(t):
 
 
 @q("commands", """SELECT campaign, command, step, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY campaign ORDER BY step) AS INT) AS rank FROM (
-    SELECT campaign, command, min(step) AS step FROM commands WHERE exit_code = 0 GROUP BY ALL)) WHERE rank <= 1992""")
+    SELECT campaign, command, min(step) AS step FROM commands WHERE exit_code = 0 GROUP BY ALL))""")
 def learn_library(t):
     return learn.library(t.commands(), KEYS)
 
 
-@q("commands", """SELECT campaign, path, step FROM (SELECT campaign, path, min(step) AS step FROM (SELECT campaign, step,
-    unnest(regexp_extract_all(substr(stdout, 1, 4000), '/[A-Za-z0-9_./-]+')) AS path FROM commands) WHERE path NOT IN ('~', '/tmp', '/etc/hostname', '/proc/cpuinfo') GROUP BY ALL)""")
+@q("commands", """SELECT campaign, path, seen.s AS step, CAST(row_number() OVER (PARTITION BY campaign ORDER BY seen) AS INT) AS rank FROM (
+    SELECT campaign, path, min({'s': step, 'p': pos}) AS seen FROM (SELECT campaign, step, unnest(l) AS path, generate_subscripts(l, 1) AS pos
+    FROM (SELECT campaign, step, regexp_extract_all(stdout, '/[A-Za-z0-9_./-]+') AS l FROM commands))
+    WHERE path NOT IN ('~', '/tmp', '/etc/hostname', '/proc/cpuinfo') GROUP BY ALL)""")
 def learn_harvested_paths(t):
-    return learn.harvested_paths(t.commands(), KEYS).select("campaign", "path", "step")
+    return learn.harvested_paths(t.commands(), KEYS).select("campaign", "path", "step", "rank")
 
 
 # annotations -------------------------------------------------------------------------------------
