@@ -157,3 +157,44 @@ def op9_secrets(spark, folder):
     return scanned(documents(spark, folder).select("doc_id", "text")).select(
         "doc_id", *[F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(as_text("_base"), 256).alias("base_sha256"), as_text("_spans").alias("spans"))
+
+
+def _sql_hits(kind: int, pattern: str, least: int, group: int = 0) -> str:
+    p, size = pattern.replace("'", "''"), lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: len(x))), 0)"
+    return f"""SELECT doc_id, {kind} AS k, {size('g[1:i]')} + {size('h[1:i - 1]')} AS s, {size('g[1:i]')} + {size('h[1:i]')} AS e, h[i] AS hit
+    FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g,
+        regexp_extract_all(t, '{p}', {group}) AS part FROM d WHERE regexp_matches(t, '{p}'))) WHERE len(part[i]) >= {least}"""
+
+
+def _sql_case(value) -> str:
+    return "CASE " + " ".join(f"WHEN enc = {k} THEN {value(x)}" for k, x in enumerate(ENCODINGS)) + " END"
+
+
+_TAIL = "exp(-0.717 * abs({0}) - 0.416 * ({0}) * ({0}))"
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_sql_hits(0, ASSIGN, ASSIGN_MIN, 2)} UNION ALL {_sql_hits(1, ACCESS, ACCESS_MIN)} UNION ALL {_sql_hits(2, HEX, 1)}),
+t0 AS (SELECT doc_id, s, e, replace(replace(rtrim(hit, '='), '-', '+'), '_', '/') AS bare FROM ({_sql_hits(3, TOKEN, 1)})),
+t1 AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(bare, '{pattern}')" + (" AND regexp_matches(bare, '[a-z]') AND regexp_matches(bare, '[A-Z]')" if name == "base64" else "") + f" THEN {k}" for k, (name, pattern, _) in enumerate(ENCODINGS))} END AS enc
+    FROM t0 WHERE regexp_matches(bare, '[0-9]') AND regexp_matches(bare, '[A-Za-z]')),
+t2 AS (SELECT *, len(bare) AS n, {_sql_case(lambda x: len(x[2]))} AS k, {_sql_case(lambda x: f"'{x[2]}'")} AS alphabet FROM t1 WHERE enc IS NOT NULL),
+t3 AS (SELECT *, list_transform(string_split(CASE WHEN enc = 0 THEN lower(bare) ELSE bare END, ''), lambda c: instr(alphabet, c) - 1) AS v FROM t2),
+t4 AS (SELECT *, k * list_sum(list_transform(range(k), lambda x: pow(len(list_filter(v, lambda y: y = x)), 2))) / n - n AS chi,
+    len(list_filter(v, lambda x: x >= k // 2)) AS up, 1 + len(list_filter(range(2, n + 1), lambda i: (v[i] >= k // 2) <> (v[i - 1] >= k // 2))) AS runs,
+    list_avg(v) AS mean FROM t3),
+t5 AS (SELECT *, 2.0::DOUBLE * up * (n - up) / n + 1 AS mu, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS spread,
+    list_sum(list_transform(range(2, n + 1), lambda i: (v[i] - mean) * (v[i - 1] - mean))) AS together,
+    (pow(greatest(chi, 0) / (k - 1), 1.0::DOUBLE / 3) - (1 - 2.0::DOUBLE / (9 * (k - 1)))) / sqrt(2.0::DOUBLE / (9 * (k - 1))) AS high FROM t4),
+t6 AS (SELECT doc_id, s, e, least(1, 3 * least(CASE WHEN high <= 0 THEN 1 ELSE {_TAIL.format("high")} / 2 END,
+    CASE WHEN (mu - 1) * (mu - 2) / (n - 1) <= 0 THEN 0 ELSE {_TAIL.format("(runs - mu) / sqrt((mu - 1) * (mu - 2) / (n - 1))")} END,
+    CASE WHEN spread <= 0 THEN 0 ELSE {_TAIL.format("together / spread * sqrt(n)")} END)) AS p FROM t5),
+t7 AS (SELECT *, p * avg(e - s) OVER (PARTITION BY doc_id) / (e - s) AS q, count(*) OVER (PARTITION BY doc_id) AS m FROM t6),
+t8 AS (SELECT *, q <= {FDR} * row_number() OVER (PARTITION BY doc_id ORDER BY q) / m AS fails FROM t7),
+r AS (SELECT doc_id, 3 AS k, s, e FROM (SELECT *, max(q) FILTER (fails) OVER (PARTITION BY doc_id) AS bar FROM t8) x WHERE q > coalesce(bar, -1)
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND b.e >= x.e)),
+a AS (SELECT doc_id, k, s, e FROM b UNION ALL SELECT * FROM r),
+o AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans
+    FROM (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e AS span FROM a) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (doc_id)"""

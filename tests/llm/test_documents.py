@@ -346,3 +346,21 @@ def test_substrings(spark, odd):
     for x in got:
         assert all(s.end - s.begin >= 13 and s.block < x.doc_id for s in x.spans)
     assert substrings.deduplicated(odd[1]).count() == len(odd[0])
+
+
+def test_secrets_by_sql(spark):
+    """The whole operator, battery included, against its SQL on texts full of keys and names."""
+    import base64
+
+    import duckdb
+    r = random.Random(4)
+    names = ["someVeryLongCamelCaseIdentifierNumber2", "1234567890abcdefABCDEFabcdef1234567890", "ABABABABABABABAB2A2A2A2A2A2A", "password=hunter2hunter", "0123456789abcdef" * 2]
+    makers = [lambda: r.choice(names), lambda: base64.b64encode(r.randbytes(30)).decode(), lambda: base64.urlsafe_b64encode(r.randbytes(22)).decode(),
+              lambda: base64.b32encode(r.randbytes(25)).decode()]
+    rows = [(i, " é ".join(r.choice(makers)() for _ in range(r.randrange(6)))) for i in range(200)]
+    got = secrets.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", secrets.as_text("_spans").alias("spans")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {x[0]: x[-1] for x in con.execute(secrets.SQL).fetchall()}
+    assert {x.doc_id: x.spans for x in got} == want and sum(v.count("random") for v in want.values()) > 100
