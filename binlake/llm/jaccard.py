@@ -105,9 +105,10 @@ def _counted(h, d, mark):
     any_settled = np.zeros(len(n), bool)
     np.logical_or.at(any_settled, group, settled[order])
     hit = ((n > 1) | any_settled)[group] & ~settled[order]
-    found, count = np.unique(dd[order][hit], return_counts=True)
+    # one row per token, so that rows grow with the postings and not with nodes times buckets; Spark adds them up
+    found = dd[order][hit]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found, d[known]]).astype(np.int64)),
-                                       pa.array(np.concatenate([count, -mark[known]]).astype(np.int64))], names=["node", "shared"])
+                                       pa.array(np.concatenate([np.ones(len(found), np.int64), -mark[known]]).astype(np.int64))], names=["node", "shared"])
 
 
 def _ids(b):
