@@ -3,14 +3,16 @@
 A source of weight ``w`` sends blocks of ``block`` documents.  Its b-th block (from 0) is released at slot
 ``floor(b / w)`` and due before slot ``ceil((b + 1) / w)``.  In each slot the released block with the earliest
 deadline goes.  As the weights sum to one, every block meets its window, so after any number of slots t each source
-has sent ``w t`` blocks within less than one.  Weights are whole shares of a period, so the schedule of one period,
-made on a single row, serves all blocks; rows get their slot by arithmetic and are never sorted as a whole.
+has sent ``w t`` blocks within less than one.  Weights are whole shares of 10^15 and windows are computed in
+decimals, so this holds for the weights asked for and not for rounded ones.  One row walks through the slots and
+keeps what ranges of slots start from; the ranges are scheduled apart, and rows meet their block in a join.
 
 The mix goes on until each source has sent all its documents once; sources that are done earlier start further
 epochs, so documents of sources under their weight repeat.  With ``repeat=False`` they fall silent instead and every
 document comes once.
 
-Default weights are the counts of the sources to the power ``temper``.  A null source counts as the source ''.
+Default weights are the counts of the sources to the power ``temper``.  A source of weight 0 sends nothing; one that
+``weights`` doesn't name gets the ``period``-th part of the weights that are named.  A null source counts as the source ''.
 Within a source, documents go in an order of hashes.  A source may hold any share of the rows: its rows are numbered
 in parts (source, salt of the id) and the parts' starts are added.  Repeated rows are separate documents; null ids
 and texts are kept; an empty table gives an empty mix; other columns are carried along.
@@ -21,52 +23,85 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import as_documents, documents, whole_rows
 
-#: Documents of a block, shares of a period (more only if there are more sources), parts of a source.
-BLOCK, PERIOD, SALTS, TEMPER = 8, 1000, 1024, 0.7
+#: Documents of a block, slots of a range, parts of a source.  Weights are whole shares of WHOLE.
+BLOCK, PERIOD, SALTS, TEMPER, WHOLE = 8, 1000, 1024, 0.7, 10 ** 15
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None = None, temper: float = TEMPER, period: int = PERIOD) -> DataFrame:
-    """(source, n) -> one row: sources in order, each with n and its whole share q, and the period, the sum of shares."""
+    """(source, n) -> one row: sources in order, each with n and its whole weight q, and the period, the sum of weights."""
     if weights:
+        if not all(0 <= v < float("inf") for v in weights.values()):
+            raise ValueError("weights must be finite and not negative")
         table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-        weight = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0))
+        weight = F.try_element_at(table, F.col("source"))
     else:
         weight = F.pow("n", temper)
     rows = counts.withColumn("w", weight).groupBy().agg(
-        F.sum("w").alias("all"), F.array_sort(F.collect_list(F.struct("source", "n", "w"))).alias("c"))
-    q = F.transform("c", lambda x: F.struct(
-        x["source"].alias("source"), x["n"].alias("n"), F.greatest(F.lit(1), F.round(x["w"] / F.col("all") * period).cast("int")).alias("q")))
-    return rows.select(q.alias("c")).withColumn("period", F.aggregate("c", F.lit(0), lambda a, x: a + x["q"])).filter(F.size("c") > 0)
+        F.sum("w").alias("known"), F.array_sort(F.collect_list(F.struct("source", "n", "w"))).alias("c"))
+    rows = rows.withColumn("rest", F.when(F.col("known") > 0, F.col("known") / period).otherwise(1.0))
+    rows = rows.withColumn("c", F.filter(F.transform("c", lambda x: F.struct(
+        x["source"].alias("source"), x["n"].alias("n"), F.coalesce(x["w"], F.col("rest")).alias("w"))), lambda x: x["w"] > 0))
+    rows = rows.withColumn("all", F.aggregate("c", F.lit(0.0), lambda a, x: a + x["w"])).filter(F.size("c") > 0)
+    q = F.transform("c", lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"), F.greatest(
+        F.lit(1).cast("bigint"), F.round(x["w"] / F.col("all") * WHOLE).cast("bigint")).alias("q")))
+    return rows.select(q.alias("c")).withColumn("period", F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["q"]))
+
+
+def _wide(x: Column) -> Column:
+    return x.cast("decimal(19,0)")
 
 
 def release(b: Column, q: Column, period: Column) -> Column:
-    return F.floor(b * period / q).cast("bigint")
+    return F.call_function("div", _wide(b) * _wide(period), _wide(q))
 
 
 def deadline(b: Column, q: Column, period: Column) -> Column:
-    return F.ceil((b + 1) * period / q).cast("bigint")
+    return F.call_function("div", _wide(b + 1) * _wide(period) + _wide(q) - 1, _wide(q))
 
 
 def schedule(counts: DataFrame, weights: dict[str, float] | None = None, temper: float = TEMPER, period: int = PERIOD) -> DataFrame:
-    """(source, n) -> (source, n, q, period, slots): the slots of a source's blocks in one period, earliest deadline first."""
-    row = shares(counts, weights, temper, period)
-    begin = F.struct(F.transform("c", lambda x: F.lit(0)).alias("sent"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def slot(s: Column, t: Column) -> Column:
-        waiting = F.transform(s["sent"], lambda b, i: F.when(
-            release(b, F.col("c")[i]["q"], F.col("period")) <= t,
-            F.struct(deadline(b, F.col("c")[i]["q"], F.col("period")).alias("due"), i.alias("i"))))
-        next_ = F.array_min(F.filter(waiting, lambda x: x.isNotNull()))["i"]
-        return F.transform(F.array(next_), lambda k: F.struct(
-            F.transform(s["sent"], lambda b, i: b + F.when(i == k, 1).otherwise(0)).alias("sent"),
-            F.concat(s["out"], F.array(k)).alias("out")))[0]
-    row = row.withColumn("turns", F.aggregate(F.sequence(F.lit(0), F.col("period") - 1), begin, slot, lambda s: s["out"]))
-    return row.select("turns", "period", F.posexplode("c").alias("i", "x")).select("x.*", "period", F.filter(
-        F.transform("turns", lambda k, t: F.when(k == F.col("i"), t)), lambda t: t.isNotNull()).alias("slots"))
-
-
-def _slot(b: Column) -> Column:
-    return F.floor(b / F.col("q")) * F.col("period") + F.get("slots", (b % F.col("q")).cast("int"))
+    """(source, n) -> (i, source, n, q, period): the weight of each source is q / period."""
+    return shares(counts, weights, temper, period).select("period", F.posexplode("c").alias("i", "x")).select("i", "x.*", "period")
+
+
+def _waiting(i: Column, b: Column, q: Column, last: Column) -> Column:
+    """Block b of source i, in the order of the choice."""
+    p = F.col("period")
+    return F.struct(deadline(b, q, p).alias("due"), i.alias("i"), release(b, q, p).alias("from"), b.alias("b"), q.alias("q"), last.alias("last"))
+
+
+def _step(r: Column, t: Column, then) -> Column:
+    """``then(state r, waiting blocks after slot t, the block sent in it)``: of the released blocks the one with the earliest deadline goes."""
+    sent = F.array_min(F.filter(r["s"], lambda x: x["from"] <= t))
+    # an aggregate over one value computes it once and, unlike transform, does not copy the state
+    return F.aggregate(F.array(sent), r, lambda r, x: then(r, F.concat(
+        F.slice(r["s"], F.lit(1), x["i"]), F.array(_waiting(x["i"], x["b"] + 1, x["q"], x["last"])), F.slice(r["s"], x["i"] + 2, F.size(r["s"]))), x))
+
+
+def blocks(row: DataFrame, block: int = BLOCK, size: int = PERIOD) -> DataFrame:
+    """The row of ``shares`` -> (i, block, slot) of all slots until each source has sent its documents once.
+
+    One row walks through the slots and keeps the waiting blocks at the start of each range of ``size`` slots and
+    nothing else of it; the ranges are then scheduled apart from each other.
+    """
+    none, zero = F.expr("cast(array() as array<array<bigint>>)"), F.lit(0).cast("bigint")
+    waiting = lambda b: F.transform("c", lambda x, i: _waiting(i, b(i), x["q"], F.floor((x["n"] - 1) / block)))
+    slots = lambda k: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: k * size + j)
+    end = F.array_max(F.transform("c", lambda x: deadline(F.floor((x["n"] - 1) / block), x["q"], F.col("period"))))
+    walked = F.aggregate(
+        F.sequence(zero, F.floor((end - 1) / size)), F.struct(waiting(lambda i: zero).alias("s"), zero.alias("length"), none.alias("starts")),
+        lambda a, k: F.aggregate(
+            slots(k), F.struct(a["s"].alias("s"), a["length"].alias("length")),
+            lambda r, t: _step(r, t, lambda r, s, x: F.struct(s.alias("s"), F.when(x["b"] == x["last"], t + 1).otherwise(r["length"]).alias("length"))),
+            lambda r: F.struct(r["s"].alias("s"), r["length"].alias("length"), F.concat(a["starts"], F.array(F.transform(a["s"], lambda x: x["b"]))).alias("starts"))),
+        lambda a: F.struct(a["length"].alias("length"), a["starts"].alias("starts")))
+    parts = int(row.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = row.withColumn("w", F.explode(F.array(walked))).select("c", "period", "w.length", F.posexplode("w.starts").alias("k", "sent")) \
+        .filter(F.col("k") * size < F.col("length")).repartition(parts, "k")
+    first = F.struct(waiting(lambda i: F.col("sent")[i]).alias("s"), F.expr("cast(array() as array<struct<i:int,block:bigint,slot:bigint>>)").alias("out"))
+    out = F.aggregate(slots(F.col("k").cast("bigint")), first, lambda r, t: _step(r, t, lambda r, s, x: F.struct(
+        s.alias("s"), F.concat(r["out"], F.array(F.struct(x["i"].alias("i"), x["b"].alias("block"), t.alias("slot")))).alias("out"))), lambda r: r["out"])
+    return ranges.select("length", F.explode(out).alias("x")).filter("x.slot < length").select("x.*")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, temper: float = TEMPER,
@@ -85,8 +120,8 @@ def _mix(docs: DataFrame, weights, block: int, temper: float, period: int, repea
     parts = rows.groupBy("_source", "_salt").agg(F.count("*").alias("_n"))
     counts = parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("n"))
     plan = schedule(counts, weights, temper, period)
-    plan = plan.withColumn("end", _slot(F.floor((F.col("n") - 1) / block)) + 1)
-    plan = plan.withColumn("length", F.max("end").over(Window.partitionBy("period")))
+    # the mix ends before this slot
+    plan = plan.withColumn("end", F.max(deadline(F.floor((F.col("n") - 1) / block), F.col("q"), F.col("period"))).over(Window.partitionBy("period")))
     earlier = Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n") \
         .join(plan.withColumnRenamed("source", "_source"), "_source").hint("shuffle_hash")
@@ -94,14 +129,16 @@ def _mix(docs: DataFrame, weights, block: int, temper: float, period: int, repea
     out = rows.withColumn("_k", F.row_number().over(inside) - 1).join(starts, ["_source", "_salt"])
     index = F.col("start") + F.col("_k")
     if repeat:
-        # blocks before slot ``length``, and with them the epochs of this row
-        blocks = (F.floor(F.col("length") / F.col("period")) + 1) * F.col("q")
-        out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((blocks * block - 1 - index) / F.col("n")))))
+        # blocks released before slot ``end``, and with them the epochs of this row
+        sent = F.call_function("div", _wide(F.col("end")) * _wide(F.col("q")), _wide(F.col("period"))) + 1
+        out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(
+            F.lit(0).cast("bigint"), F.floor((sent * block - 1 - index) / F.col("n"))))))
     else:
         out = out.withColumn("epoch", F.lit(0).cast("bigint"))
     at = index + F.col("epoch") * F.col("n")
-    out = out.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / block)).withColumn("slot", _slot(F.col("block")))
-    return out.filter(F.col("slot") < F.col("length")).withColumns({
+    out = out.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / block))
+    out = out.join(blocks(shares(counts, weights, temper, period), block, period).hint("shuffle_hash"), ["i", "block"])
+    return out.withColumns({
         "release": release(F.col("block"), F.col("q"), F.col("period")), "deadline": deadline(F.col("block"), F.col("q"), F.col("period")),
         "position": F.col("slot") * block + F.col("_at") % block})
 

@@ -236,6 +236,21 @@ def test_mix_follows_weights(spark, weights):
     assert once.count() <= len(rows) and len({r.position for r in out}) == len(out)
 
 
+def test_mix_follows_weights_below_a_period(spark):
+    """Weights far under a thousandth hold unrounded, over many ranges; a weight of 0 sends nothing."""
+    df = table(spark, [(k, "t", "a") for k in range(300)] + [(1000 + k, "t", "b") for k in range(3)] + [(2000, "t", "c")])
+    weights = {"a": 1999.5, "b": 1.0, "c": 0}
+    out = sorted((r.slot, r.source, r.release, r.deadline) for r in mixing.mix(df, weights, block=1).collect())
+    assert [x[0] for x in out] == list(range(len(out))) and all(a <= s < d for s, _, a, d in out)
+    sent = collections.Counter()
+    for slot, source, *_ in out:
+        sent[source] += 1
+        assert all(abs(sent[s] - w / 2000.5 * (slot + 1)) < 1 for s, w in weights.items())
+    assert sent["b"] == 3 and not sent["c"]
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"a": -1.0})
+
+
 # 8
 
 def linked_by_hand(texts, k=4, percent=85):
