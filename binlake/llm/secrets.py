@@ -1,7 +1,7 @@
 """Secret scans, with DataFrame functions only.
 
 Base: assignments to secret names, access keys and hex runs by pattern.  Method: long tokens get an encoding from
-their alphabet (hex, base32, base64) and go through a battery of randomness tests over its symbols: chi-squared
+their alphabet (hex, base32 and base36 of one case, base64) and go through a battery of randomness tests over its symbols: chi-squared
 uniformity, runs about the middle of the alphabet, serial correlation.  The smallest of the three p-values, times
 three, is the token's.  Ordinary names fail these tests, random keys pass.  Which tokens count as failed is decided
 over all tokens of the document at a false-discovery rate (Benjamini and Hochberg), where p-values are weighted by
@@ -29,6 +29,14 @@ ENCODINGS = (
     ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: With the alphabets of one case beside them, smallest first.  The SQL of op9_secrets has those of ENCODINGS only.
+ALL_ENCODINGS = (
+    *ENCODINGS[:2],
+    ("base32 lower", r"^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36 lower", r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36 upper", r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ENCODINGS[2],
+)
 FDR = 0.05
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 MASK = "[SECRET]"
@@ -80,14 +88,14 @@ def _p_value(symbols: Column, k: int) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
-def _battery(token: Column) -> Column:
-    """p-value of a token under its encoding; null where its alphabet shows none."""
+def _battery(token: Column, digit: bool = True) -> Column:
+    """p-value of a token under its encoding; null where its alphabet shows none, as for words of one case."""
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
     both = bare.rlike("[a-z]") & bare.rlike("[A-Z]")
     out = F.lit(None).cast("double")
-    for name, pattern, alphabet in reversed(ENCODINGS):
-        fits = bare.rlike(pattern) & mixed & (both if name == "base64" else F.lit(True))
+    for name, pattern, alphabet in reversed(ALL_ENCODINGS):
+        fits = bare.rlike(pattern) & (mixed if name != "base64" else mixed & both if digit else both)
         out = F.when(fits, _let(_symbols(F.lower(bare) if name == "hex" else bare, alphabet), _tests(len(alphabet)))).otherwise(out)
     return out
 
@@ -100,9 +108,9 @@ def _tests(k: int):
     return lambda symbols: _p_value(symbols, k)
 
 
-def _random(text: Column, rate: float) -> Column:
+def _random(text: Column, rate: float, digit: bool = True) -> Column:
     """Spans of tokens that the battery does not tell from random ones."""
-    tokens = F.transform(_hits(text, TOKEN, 3), lambda x: F.struct(x["s"], x["k"], x["e"], _battery(x["part"]).alias("p")))
+    tokens = F.transform(_hits(text, TOKEN, 3), lambda x: F.struct(x["s"], x["k"], x["e"], _battery(x["part"], digit).alias("p")))
     known = F.filter(tokens, lambda x: x["p"].isNotNull())
 
     def decide(c: Column) -> Column:
@@ -115,8 +123,11 @@ def _random(text: Column, rate: float) -> Column:
     return _let(known, decide)
 
 
-def scanned(docs: DataFrame, text: str = "text", rate: float = FDR) -> DataFrame:
-    """``docs`` with ``_spans``: (start, kind, end) of base and added spans, in order of start and kind."""
+def scanned(docs: DataFrame, text: str = "text", rate: float = FDR, digit: bool = True) -> DataFrame:
+    """``docs`` with ``_spans``: (start, kind, end) of base and added spans, in order of start and kind.
+
+    Without ``digit``, tokens of letters in both cases are tested too, which the SQL leaves out.
+    """
     t = F.col("_t")
     none = F.expr(f"cast(array() as {SPAN})")
     short = lambda n: lambda x: F.length(x["part"]) >= n
@@ -126,7 +137,7 @@ def scanned(docs: DataFrame, text: str = "text", rate: float = FDR) -> DataFrame
                           plain(_hits(t, ASSIGN, 0, (2, short(ASSIGN_MIN))))).otherwise(none),
         "_access": F.when(F.contains(t, F.lit("AKIA")), plain(_hits(t, ACCESS, 1, (0, short(ACCESS_MIN))))).otherwise(none),
         "_hex": F.when(t.rlike(HEX), plain(_hits(t, HEX, 2))).otherwise(none),
-        "_random": F.when(t.rlike(TOKEN), _random(t, rate)).otherwise(none)})
+        "_random": F.when(t.rlike(TOKEN), _random(t, rate, digit)).otherwise(none)})
     df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     added = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["s"] <= r["s"]) & (b["e"] >= r["e"])))
     return df.withColumn("_spans", F.array_sort(F.concat("_base", added)))
@@ -148,7 +159,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents with their secrets masked."""
-    found = scanned(whole_rows(docs, "text"))
+    found = scanned(whole_rows(docs, "text"), digit=False)
     text = F.when(F.size("_spans") > 0, masked(F.col("_t"), F.col("_spans"))).otherwise(F.col("text"))
     return as_documents(found, docs, text=text, n_chars=F.length(text).cast("bigint"))
 
