@@ -5,7 +5,8 @@ windows; a text fails the base with under 10 words or with over a fifth of its w
 
 Line rules: every line with a word is held against three rules.  *Punctuation*: it ends with terminal punctuation
 (quotes and brackets may follow) or, if it breaks off, has a sentence that ends before, and marks such as ``#`` or ``!!`` do not stand after every few words.  *Navigation*: no
-chain of menu separators, no menu word alone.  *Boilerplate*: no licence, consent, copyright or sign-up phrase.
+chain of menu separators that is dense for the line's length, no menu word alone.  *Boilerplate*: licence, consent,
+copyright or sign-up phrases are less than a fortieth of the line, so one phrase fails a line of some 500 characters.
 Lines that fail are removed; a document that loses more than ``max_loss`` of the characters of its lines is
 rejected.
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import SEPARATORS, as_documents, documents, text_of, whole_rows
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW, MAX_LOSS = 10, 20, 5, 0.5
+#: A line fails if it has a separator for each MENU_SPAN characters, or if phrases are one part in PHRASE_SHARE of it.
+MENU_SPAN, PHRASE_SHARE = 100, 40
 #: Fixed values of the line rules, one pattern each, in a syntax that Java and RE2 share.
 TERMINAL = r"[.!?…。！？][\x22'”’»)\]]*[\x20\x09-\x0D]*$"
 SENTENCE_END = r"[.!?…。！？][\x22'”’»)\]]*\x20"
@@ -57,9 +60,10 @@ def _covered(hashes: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails one of the three rules."""
-    n = F.length(line)
+    n, bars = F.length(line), F.regexp_count(line, F.lit(MENU))
+    phrases = n - F.length(F.regexp_replace(line, BOILERPLATE, ""))
     return ~(line.rlike(TERMINAL) | line.rlike(SENTENCE_END)) | (F.regexp_count(line, F.lit(NOISE)) * 40 > n) \
-        | (F.regexp_count(line, F.lit(MENU)) >= 3) | line.rlike(MENU_WORD) | line.rlike(BOILERPLATE)
+        | ((bars >= 3) & (bars * MENU_SPAN >= n)) | line.rlike(MENU_WORD) | (line.rlike(BOILERPLATE) & (phrases * PHRASE_SHARE >= n))
 
 
 def judged(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:

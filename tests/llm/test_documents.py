@@ -191,6 +191,18 @@ def test_lines(spark, line, fails):
     assert df.select(rules.line_fails(F.col("x")).alias("f")).first().f is fails
 
 
+@pytest.mark.parametrize("extra,times,fails", [
+    ("See the privacy policy for more. ", 1, False), ("It is licensed under the old terms. ", 1, False), ("a | b | c | d is a list. ", 1, False),
+    ("See the privacy policy. ", 400, True), ("a | b | c | d is a list. ", 400, True)])
+def test_one_long_line(spark, extra, times, fails):
+    """A clean text of 20,000 characters on one line keeps its few phrases and bars; one full of them fails."""
+    r = random.Random(12)
+    line = " ".join(words(r, 10) + "." for _ in range(250)) + " " + extra * times + " ".join(words(r, 10) + "." for _ in range(250))
+    df = spark.createDataFrame([(1, line)], "doc_id bigint, text string")
+    assert len(line) > 20000 and df.select(rules.line_fails(F.col("text")).alias("f")).first().f is fails
+    assert rules.judged(df).first().kept is not fails
+
+
 def base(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     c = collections.Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
