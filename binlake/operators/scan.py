@@ -169,14 +169,16 @@ def _assets(content: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def carve(blobs: DataFrame, max_assets: int = MAX_ASSETS, min_len: int = MIN_ASSET) -> DataFrame:
-    """Embedded assets of each blob, by signature order and offset, one per distinct 64-byte start."""
-    small = blobs.filter(F.length("content") <= MAX_BLOB)
-    hits = (small.select("path", F.explode(_assets("content")).alias("h")).select("path", "h.*")
+def carve(blobs: DataFrame, max_assets: int | None = MAX_ASSETS, min_len: int = MIN_ASSET, max_blob: int | None = MAX_BLOB) -> DataFrame:
+    """Embedded assets of each blob, by signature order and offset, one per distinct 64-byte start; None lifts a limit."""
+    if max_blob is not None:
+        blobs = blobs.filter(F.length("content") <= max_blob)
+    hits = (blobs.select("path", F.explode(_assets("content")).alias("h")).select("path", "h.*")
             .filter(F.col("size") >= min_len))
     first = hits.groupBy("path", "prefix").agg(F.min(F.struct("sig", "offset", "name", "size")).alias("h"))
     w = Window.partitionBy("path").orderBy("sig", "offset")
-    return (first.select("path", "h.*").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= max_assets))
+    out = first.select("path", "h.*").withColumn("pos", F.row_number().over(w))
+    return out if max_assets is None else out.filter(F.col("pos") <= max_assets)
 
 
 def carved_bytes(blobs: DataFrame, assets: DataFrame) -> DataFrame:

@@ -102,14 +102,14 @@ def scan_profile(t):
 
 @q("blobs", """SELECT path, 'png' AS name, i AS offset, length(h) // 2 - i - 4 AS size FROM (SELECT path, h, (position('89504e470d0a1a0a' IN h) - 1) // 2 AS i FROM blobs)""")
 def scan_carve_png(t):
-    return scan.carve(t.blobs()).filter("name = 'png'").select("path", "name", "offset", "size")
+    return scan.carve(t.blobs(), None, max_blob=None).filter("name = 'png'").select("path", "name", "offset", "size")
 
 
 @q()
 def scan_carve(t):
     """All assets of every blob with their bytes' digest (checked by brute force in the tests)."""
     b = t.blobs()
-    return scan.carved_bytes(b, scan.carve(b)).select("path", "pos", "name", "offset", "size", F.md5("payload").alias("digest"))
+    return scan.carved_bytes(b, scan.carve(b, None, max_blob=None)).select("path", "pos", "name", "offset", "size", F.md5("payload").alias("digest"))
 
 
 def _hits(t):

@@ -261,6 +261,13 @@ def test_carving(spark):
     assert [r.offset for r in scan.carve(df).orderBy("pos").collect()] == [i * 74 for i in range(24)]
 
 
+def test_carve_query_without_limits(spark):
+    from binlake.plans.catalog import corpus as queries
+    raw = b"".join(b"\x89PNG\r\n\x1a\n" + bytes([i]) * 60 for i in range(30))
+    tables = type("Tables", (), {"blobs": lambda self: spark.createDataFrame([("p", bytearray(raw))], "path string, content binary")})()
+    assert queries.scan_carve_png(tables).count() == 30 and scan.carve(tables.blobs(), None, max_blob=len(raw) - 1).count() == 0
+
+
 def test_shard_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"shard_start": 0, "shard_end": 100, "elapsed_s": 1.0, "funcs": [{"ea": 17, "name": "sub_11", "size": 4}]}')
     (tmp_path / "b.json").write_text("{broken")
