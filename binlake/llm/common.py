@@ -32,6 +32,12 @@ def text_of(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def small_letters(word: Column) -> Column:
+    """A-Z of a word as a-z, all else as it is; plain ASCII takes the fast way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(
+        F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of ``docs`` beside the whole row, so that no other column can clash with names made later."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
