@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from . import commands, text
+from . import commands, tablefns, text
 
 # Fixed SQL bodies of small expressions.
 DOT = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
@@ -28,4 +28,5 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udf.register("text_entropy", text._entropy)
     spark.udf.register("command_words", commands.tokens)
-    return [h.split("(")[0] for h in BODIES] + ["text_entropy", "command_words"]
+    tablefns.register(spark)
+    return [h.split("(")[0] for h in BODIES] + ["text_entropy", "command_words", *tablefns.TABLE_FUNCTIONS]

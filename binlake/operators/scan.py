@@ -88,7 +88,11 @@ def _x86_hits(va: pd.Series, off: pd.Series, lead: pd.Series, own: pd.Series, da
 
 def x86_prologues(blobs: DataFrame, size: int = CHUNK) -> DataFrame:
     """x86-64 function starts (path, addr), independent of the chunk size."""
-    rows = chunks(blobs, size, before=1, after=3)
+    return x86_starts(chunks(blobs, size, before=1, after=3))
+
+
+def x86_starts(rows: DataFrame) -> DataFrame:
+    """x86-64 function starts of chunks with 1 byte before and 3 behind."""
     hit = _x86_hits("va", "off", "lead", "own", "data")
     return rows.select("path", F.explode(hit).alias("addr")).distinct()
 
@@ -115,7 +119,12 @@ def _arm64_hits(va: pd.Series, data: pd.Series) -> pd.DataFrame:
 
 def arm64_words(blobs: DataFrame, size: int = CHUNK) -> DataFrame:
     """AArch64 prologues, call targets and block heads as rows (path, kind, addr)."""
-    rows = chunks(blobs, max(4, size // 4 * 4)).select("path", _arm64_hits("va", "data").alias("h"))
+    return arm64_hits(chunks(blobs, max(4, size // 4 * 4)))
+
+
+def arm64_hits(rows: DataFrame) -> DataFrame:
+    """AArch64 words of chunks of whole words."""
+    rows = rows.select("path", _arm64_hits("va", "data").alias("h"))
     def tagged(kind: str) -> Column:
         return F.transform(F.col(f"h.{kind}"), lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("addr")))
     tall = F.flatten(F.array(*[tagged(k) for k in WORD_KINDS]))
@@ -136,7 +145,12 @@ def strings(blobs: DataFrame, size: int = CHUNK, min_len: int = 5) -> DataFrame:
 
     Only runs that touch a chunk edge are stitched, at most two rows per chunk.
     """
-    found = (chunks(blobs, size).select("path", "va", "own", F.explode(_runs(min_len)("data")).alias("r"))
+    return strings_of(chunks(blobs, size), min_len)
+
+
+def strings_of(rows: DataFrame, min_len: int = 5) -> DataFrame:
+    """``strings`` of chunks without bytes around them."""
+    found = (rows.select("path", "va", "own", F.explode(_runs(min_len)("data")).alias("r"))
              .select("path", (F.col("va") + F.col("r.pos")).alias("addr"), F.col("r.text").alias("text"),
                      ((F.col("r.pos") == 0) | (F.col("r.pos") + F.length("r.text") == F.col("own"))).alias("edge")))
     inner = found.filter(~F.col("edge") & (F.length("text") >= min_len)).select("path", "addr", "text")
@@ -150,37 +164,57 @@ def strings(blobs: DataFrame, size: int = CHUNK, min_len: int = 5) -> DataFrame:
     return inner.unionByName(joined.filter(F.length("text") >= min_len))
 
 
+def assets_in(raw: bytes, lead: int = 0, own: int | None = None) -> list[dict]:
+    """Assets whose signature starts in the ``own`` bytes behind ``lead``, by signature order and offset."""
+    out, stop_at = [], len(raw) if own is None else lead + own
+    for i, (name, magic, limit) in enumerate(ASSETS):
+        for m in re.finditer(re.escape(magic), raw):
+            if not lead <= m.start() < stop_at:
+                continue
+            end = min(m.start() + limit, len(raw))
+            if name in ASSET_ENDS:
+                marker, skip, keep = ASSET_ENDS[name]
+                stop = raw.find(marker, m.start() + skip, end)
+                end = min(stop + keep, end) if stop >= 0 else end
+            out.append({"sig": i, "name": name, "offset": m.start() - lead, "size": end - m.start(), "prefix": raw[m.start():min(end, m.start() + PREFIX)]})
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StructType().add("sig", T.IntegerType()).add("name", T.StringType())
               .add("offset", T.LongType()).add("size", T.LongType()).add("prefix", T.BinaryType())))
 def _assets(content: pd.Series) -> pd.Series:
-    out = []
-    for raw in content:
-        hits = []
-        for i, (name, magic, limit) in enumerate(ASSETS):
-            for m in re.finditer(re.escape(magic), raw):
-                end = min(m.start() + limit, len(raw))
-                if name in ASSET_ENDS:
-                    marker, skip, keep = ASSET_ENDS[name]
-                    stop = raw.find(marker, m.start() + skip, end)
-                    end = min(stop + keep, end) if stop >= 0 else end
-                hits.append({"sig": i, "name": name, "offset": m.start(), "size": end - m.start(),
-                             "prefix": raw[m.start():min(end, m.start() + PREFIX)]})
-        out.append(hits)
-    return pd.Series(out)
+    return pd.Series([assets_in(raw) for raw in content])
 
 
 def carve(blobs: DataFrame, max_assets: int | None = MAX_ASSETS, min_len: int = MIN_ASSET, max_blob: int | None = MAX_BLOB) -> DataFrame:
     """Embedded assets of each blob, by signature order and offset, one per distinct 64-byte start; None lifts a limit."""
     if max_blob is not None:
         blobs = blobs.filter(F.length("content") <= max_blob)
-    hits = (blobs.select("path", F.explode(_assets("content")).alias("h")).select("path", "h.*")
-            .filter(F.col("size") >= min_len))
-    first = hits.groupBy("path", "prefix").agg(F.min(F.struct("sig", "offset", "name", "size")).alias("h"))
+    return _first_assets(blobs.select("path", F.explode(_assets("content")).alias("h")).select("path", "h.*"), max_assets, min_len)
+
+
+def _first_assets(hits: DataFrame, max_assets: int | None, min_len: int) -> DataFrame:
+    first = hits.filter(F.col("size") >= min_len).groupBy("path", "prefix").agg(F.min(F.struct("sig", "offset", "name", "size")).alias("h"))
     w = Window.partitionBy("path").orderBy("sig", "offset")
     out = first.select("path", "h.*").withColumn("pos", F.row_number().over(w))
     return out if max_assets is None else out.filter(F.col("pos") <= max_assets)
 
 
+@F.pandas_udf(_assets.returnType)
+def _chunk_assets(off: pd.Series, lead: pd.Series, own: pd.Series, data: pd.Series) -> pd.Series:
+    return pd.Series([[{**h, "offset": h["offset"] + at} for h in assets_in(raw, skip, n)] for at, skip, n, raw in zip(off, lead, own, data)])
+
+
+#: Bytes behind a chunk that ``carve_chunks`` needs: the largest asset.
+ASSET_BYTES = max(limit for _, _, limit in ASSETS)
+
+
+def carve_chunks(rows: DataFrame, max_assets: int | None = None, min_len: int = MIN_ASSET) -> DataFrame:
+    """``carve`` for chunks with at least ``ASSET_BYTES`` behind them: files of any size, in bounded memory."""
+    hits = rows.select("path", F.explode(_chunk_assets("off", "lead", "own", "data")).alias("h"))
+    return _first_assets(hits.select("path", "h.*"), max_assets, min_len)
+
+
 def carved_bytes(blobs: DataFrame, assets: DataFrame) -> DataFrame:
     return assets.join(blobs.select("path", "content"), "path").withColumn(
         "payload", F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))

@@ -1,17 +1,10 @@
 """Function fingerprints and exact cosine search."""
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T, vectors as V
-from . import graph
-
-DIGITS = 6
-SLACK = 1e-5
+from . import graph, pivots as P
 
 
 def fingerprints(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -42,116 +35,30 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _unit(block: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in block]) if len(block) else np.zeros((0, 1))
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _pivots(index: DataFrame, count: int) -> np.ndarray:
-    """A fixed number of index vectors, chosen by hash; the only vectors that visit the driver."""
-    rows = (index.filter(V.dot(F.col("vector"), F.col("vector")) > 0)
-            .orderBy(F.xxhash64("binary", "addr"), "binary", "addr").limit(count).select("vector").collect())
-    return _unit(pd.Series([r[0] for r in rows]))
+def topk(index: DataFrame, queries: DataFrame, k: int = 10, min_similarity: float = 0.0,
+         exclude_same: bool = True, pivots: int | None = None, block_rows: int = 2048, counted: dict | None = None) -> DataFrame:
+    """Exact top-k by cosine (rounded to 6 digits, ties by binary and addr) for every query.
 
+    ``index`` and ``queries`` have (binary, addr, vector).  A tree of pivots (by default as many as the root of the index has rows) cuts the
+    index into cells; a query visits them best bound first until none left can beat its k-th best (``pivots.exact``).  No candidate is
+    capped.  ``counted`` gets the number of copied vectors and of rounds.
+    """
+    return P.exact(index, queries, k, min_similarity, exclude_same, pivots, block_rows, counted)
 
-def _to_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and angle to it; all-zero vectors go to cell -1."""
-    @F.pandas_udf("struct<cell:int,angle:double>")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        u = _unit(vectors)
-        sims = np.clip(u @ pivots.T, -1, 1)
-        zero = ~u.any(axis=1)
-        return pd.DataFrame({"cell": np.where(zero, -1, sims.argmax(axis=1)).astype("int32"),
-                             "angle": np.where(zero, 0.0, np.arccos(sims.max(axis=1)))})
-    return df.withColumn("_c", nearest("vector")).select("*", "_c.cell", "_c.angle").drop("_c")
 
+def approximate_topk(index: DataFrame, queries: DataFrame, k: int = 10, min_similarity: float = 0.0, exclude_same: bool = True,
+                     tables: int = 8, probes: int = 3, bucket_rows: int = 256, block_rows: int = 2048) -> DataFrame:
+    """Top-k among rows that share a bucket of random hyperplanes with the query, ranked exactly; ``search_recall`` measures it."""
+    return P.approximate(index, queries, k, min_similarity, exclude_same, tables, probes, bucket_rows, block_rows)
 
-def topk(index: DataFrame, queries: DataFrame, k: int = 10, min_similarity: float = 0.0,
-         exclude_same: bool = True, pivots: int = 64, block_rows: int = 2048) -> DataFrame:
-    """Exact top-k by cosine (rounded to 6 digits, ties by binary and addr) for every query.
 
-    ``index`` and ``queries`` have (binary, addr, vector).  Index rows are cut into cells around
-    pivots.  A cell's angular radius bounds every similarity in it, so a query only visits the
-    cells that can still hold one of its k best; cells and their visitors are split into blocks of at
-    most ``block_rows`` rows, each pair of blocks being one small matrix product that keeps k rows
-    per query.  No candidate is capped, and no side is broadcast.
-    """
-    spark = index.sparkSession
-    pv = _pivots(index, pivots)
-    if not len(pv):
-        pv = np.zeros((1, 1))
-    idx = index.select("binary", "addr", "vector")
-    if pv.shape[1] == 1 and not pv.any():
-        cells = idx.withColumn("cell", F.lit(-1)).withColumn("angle", F.lit(0.0))
-    else:
-        cells = _to_cells(idx, pv)
-    per_cell = (cells.groupBy("cell", "binary").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
-                .groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max("r").alias("r")))
-    stat = sorted((r["cell"], r["n"], r["top"], r["r"]) for r in per_cell.collect())
-    ids = np.array([s[0] for s in stat], dtype="int64")
-    have = np.array([s[1] - (s[2] if exclude_same else 0) for s in stat])
-    radius = np.array([s[3] for s in stat])
-    subs = {int(c): max(1, math.ceil(n / block_rows)) for c, n, _, _ in stat}
-
-    @F.pandas_udf("array<int>")
-    def visits(vectors: pd.Series) -> pd.Series:
-        u = _unit(vectors)
-        out = []
-        for row in u:
-            if not row.any() or pv.shape[1] != len(row):
-                out.append(ids.tolist())
-                continue
-            theta = np.arccos(np.clip(pv @ row, -1, 1))
-            t = np.where(ids >= 0, theta[ids], np.pi / 2)
-            best = np.where(ids >= 0, np.cos(np.maximum(0, t - radius)), 0.0)
-            worst = np.where(ids >= 0, np.cos(np.minimum(np.pi, t + radius)), 0.0)
-            order = np.argsort(-worst, kind="stable")
-            enough = np.searchsorted(np.cumsum(have[order]), k)
-            bar = worst[order[enough]] if enough < len(order) else -1.0
-            out.append(ids[best >= max(bar, min_similarity) - SLACK].tolist())
-        return pd.Series(out)
-
-    def lookup(table: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("cell"))
-
-    q = queries.select(F.col("binary").alias("q_binary"), F.col("addr").alias("q_addr"), "vector")
-    visiting = q.withColumn("cell", F.explode(visits("vector")))
-    if not subs:
-        subs = {-1: 1}
-    seen = {r["cell"]: max(1, math.ceil(r["n"] / block_rows))
-            for r in visiting.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    qblocks = {c: seen.get(c, 1) for c in subs}
-
-    right = (visiting.withColumn("qb", F.pmod(F.xxhash64("q_binary", "q_addr"), lookup(qblocks).cast("bigint")).cast("int"))
-             .withColumn("sub", F.explode(F.sequence(F.lit(0), lookup(subs) - 1))))
-    left = (cells.drop("angle").withColumn("sub", F.pmod(F.xxhash64("binary", "addr"), lookup(subs).cast("bigint")).cast("int"))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), lookup(qblocks) - 1))))
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = ["q_binary", "q_addr", "binary", "addr", "similarity"]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=cols)
-        a = a.sort_values(["binary", "addr"]).reset_index(drop=True)
-        sims = np.round(_unit(b["vector"]) @ _unit(a["vector"]).T, DIGITS)
-        if exclude_same:
-            sims[b["q_binary"].to_numpy()[:, None] == a["binary"].to_numpy()[None, :]] = -2.0
-        keep = min(k, len(a))
-        floor = np.partition(sims, len(a) - keep, axis=1)[:, len(a) - keep]
-        rows, hits = np.nonzero((sims >= floor[:, None]) & (sims >= min_similarity) & (sims > -2.0))
-        out = pd.DataFrame({"r": rows, "h": hits, "similarity": sims[rows, hits]})
-        out = (out.sort_values(["r", "similarity", "h"], ascending=[True, False, True])
-               .groupby("r", sort=False).head(k))
-        return pd.DataFrame({
-            "q_binary": b["q_binary"].to_numpy()[out["r"]], "q_addr": b["q_addr"].to_numpy()[out["r"]],
-            "binary": a["binary"].to_numpy()[out["h"]], "addr": a["addr"].to_numpy()[out["h"]],
-            "similarity": out["similarity"].to_numpy() + 0.0})
-
-    part = ["cell", "sub", "qb"]
-    scored = (left.groupBy(*part).cogroup(right.groupBy(*part)).applyInPandas(
-        score, "q_binary string, q_addr bigint, binary string, addr bigint, similarity double"))
-    w = Window.partitionBy("q_binary", "q_addr").orderBy(F.desc("similarity"), "binary", "addr")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def search_recall(ranked: DataFrame, index: DataFrame, queries: DataFrame, every: int = 50, **search) -> DataFrame:
+    """found, wanted and recall of ``ranked`` against the exact search, over the queries whose address ``every`` divides."""
+    asked = queries.filter(F.col("addr") % every == 0)
+    best = topk(index, asked, **search).select("q_binary", "q_addr", "binary", "addr")
+    got = ranked.select("q_binary", "q_addr", "binary", "addr", F.lit(True).alias("got"))
+    return best.join(got, ["q_binary", "q_addr", "binary", "addr"], "left").agg(
+        F.count("got").alias("found"), F.count("*").alias("wanted")).withColumn("recall", F.col("found") / F.greatest(F.lit(1), "wanted"))
 
 
 def within(index: DataFrame, queries: DataFrame, binary: str, k: int = 10) -> DataFrame:

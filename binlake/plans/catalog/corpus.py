@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import scan
-from ...sources import corpus
+from ...sources import byteranges, corpus
 from ._register import Catalog
 
 QUERIES = Catalog()
@@ -52,6 +52,49 @@ def corpus_section_of(t):
     return corpus.section_of(pts, corpus.sections(files)).select("path", "addr", "name")
 
 
+def _name(kind: str):
+    """The name that a file of ``kind`` was stored under, from its whole path."""
+    return F.regexp_extract("path", f"({kind}/[0-9]+)$", 1)
+
+
+@q("", """SELECT 'img/' || p_partkey AS path, 'ELF' AS format, 'ELF (Linux)' AS kind, CASE p_partkey % 3 WHEN 0 THEN 'x86_64' WHEN 1 THEN 'arm64' ELSE 'arm' END AS arch,
+       CASE p_partkey % 3 WHEN 0 THEN 'x86_64' WHEN 1 THEN 'arm64' ELSE 'arm32' END AS hint, 192 + p_size AS length FROM part
+    UNION ALL SELECT 'exe/' || p_partkey, 'PE', 'PE (Windows)', CASE p_partkey % 4 WHEN 0 THEN 'x86_64' WHEN 1 THEN 'arm64' WHEN 2 THEN 'x86' ELSE 'arm' END, NULL, 512 + p_size FROM part
+    UNION ALL SELECT 'nso/' || p_partkey, 'NSO', 'Unknown', 'x86_64', 'arm64', 256 + 2 * p_size FROM part
+    UNION ALL SELECT 'mac/' || p_partkey, 'generic', 'Mach-O (macOS)', 'x86_64', NULL, 4 + length(encode(p_name)) FROM part
+    UNION ALL SELECT 'sh/' || p_partkey, 'generic', 'Script', 'x86_64', NULL, 2 + length(encode(p_name)) FROM part""".replace("length(encode(p_name))", "strlen(p_name)"))
+def files_sniff(t):
+    """Five kinds of files, stored and then told by their headers."""
+    names = corpus.described(t.spark, t.stored(t.images().select("path", "content"), t.executables()))
+    return names.select(F.regexp_extract("path", "([a-z]+/[0-9]+)$", 1).alias("path"), "format", "kind", "arch", "hint", "length")
+
+
+FILE_SECTIONS = f"""se AS (SELECT 'img/' || p_partkey AS path, 0 AS image_base, 'sec0' AS name, 4096 + p_partkey * 16 AS va, 192 AS raw_off, p_size AS raw_size, p_size AS vsize, true AS is_code FROM part
+    UNION ALL SELECT 'img/' || p_partkey, 0, 'sec1', 1048576 + p_partkey, 0, 0, p_size * 2, false FROM part
+    UNION ALL SELECT 'exe/' || p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 5368709120 ELSE 4194304 END, '.t' || p_partkey % 100, 4096 + p_partkey * 16, 512, p_size, p_size + 7, p_partkey % 2 = 0 FROM part
+    UNION ALL SELECT 'nso/' || p_partkey, {corpus.NSO_BASE}, unnest(['.text', '.rodata', '.data', '.bss']), unnest([0, p_size, 2 * p_size, 2 * p_size + 1]), unnest([256, 256 + p_size, 256 + 2 * p_size - 1, 0]),
+        unnest([p_size, p_size - 1, 1, 0]), unnest([p_size, p_size - 1, 1, p_partkey % 50]), unnest([true, false, false, false]) FROM part)"""
+
+
+@q("", "SELECT * FROM se", FILE_SECTIONS)
+def files_sections(t):
+    found = corpus.file_sections(corpus.described(t.spark, t.stored(t.images().select("path", "content"), t.executables())))
+    return found.withColumn("path", F.regexp_extract("path", "([a-z]+/[0-9]+)$", 1))
+
+
+@q("", """SELECT 'img/' || p_partkey AS path, va_start, repeat('55', greatest(0, p_size - 3)) AS bytes FROM (SELECT *, 4099 + p_partkey * 16 AS va_start FROM part) WHERE p_size > 3""")
+def files_read_ranges(t):
+    files = corpus.described(t.spark, t.stored(t.images().select("path", "content")))
+    p = F.regexp_extract("path", "([0-9]+)$", 1).cast("bigint")
+    ranges = files.select("path", (p * 16 + 4099).alias("va_start"), (p * 16 + 2000000).alias("va_end"))
+    return corpus.read_file_ranges(corpus.file_sections(files), ranges).select(_name("img").alias("path"), "va_start", F.hex("bytes").alias("bytes"))
+
+
+def _blob_chunks(t, **around):
+    base = 4194304 + F.regexp_extract("path", "([0-9]+)$", 1).cast("bigint") * 65536
+    return byteranges.chunks(t.spark, t.stored(t.blobs()), base, 4096, **around)
+
+
 X86 = """px AS (SELECT DISTINCT path, addr FROM bytes WHERE (b = '55' AND (prev IS NULL OR prev IN ('c3', 'c2', 'cc', '90', '00', 'cb', 'cf') OR addr % 16 = 0))
     OR substr(h, CAST(2 * pos + 1 AS INT), 6) IN ('4883ec', '4881ec') OR substr(h, CAST(2 * pos + 1 AS INT), 8) = '554889e5')"""
 
@@ -61,6 +104,11 @@ def scan_x86_prologues(t):
     return scan.x86_prologues(t.blobs())
 
 
+@q("bytes", "SELECT path, addr FROM px", X86)
+def files_x86_prologues(t):
+    return scan.x86_starts(_blob_chunks(t, before=1, after=3)).withColumn("path", _name("bin"))
+
+
 def jump(shift: int, width: int) -> str:
     imm = f"((w >> {shift}) & {(1 << width) - 1})"
     return f"addr + 4 * ({imm} - CASE WHEN {imm} >= {1 << (width - 1)} THEN {1 << width} ELSE 0 END)"
@@ -78,6 +126,11 @@ def scan_arm64_words(t):
     return scan.arm64_words(t.blobs())
 
 
+@q("words", "SELECT * FROM aw", ARM)
+def files_arm64_words(t):
+    return scan.arm64_hits(_blob_chunks(t)).withColumn("path", _name("bin"))
+
+
 @q("bytes words", "SELECT path, addr FROM px UNION SELECT path, addr FROM aw WHERE kind <> 'block_head'", X86 + ", " + ARM)
 def scan_entry_points(t):
     return scan.entry_points(scan.x86_prologues(t.blobs()), scan.arm64_words(t.blobs()).filter("kind <> 'block_head'"))
@@ -92,6 +145,28 @@ def scan_strings(t):
     return scan.strings(t.blobs())
 
 
+@q("bytes", "SELECT * FROM ru WHERE length(text) >= 5", RUNS)
+def files_strings(t):
+    return scan.strings_of(_blob_chunks(t)).withColumn("path", _name("bin"))
+
+
+@q("bytes", "SELECT * FROM ru WHERE length(text) >= 5", RUNS)
+def sql_strings(t):
+    """The table function in a lateral join."""
+    return t.sql("SELECT b.path, s.addr, s.text FROM {blobs} b, LATERAL binary_strings(b.content, b.base, 5) s", blobs=t.blobs())
+
+
+@q("", "SELECT * EXCLUDE (image_base) FROM se", FILE_SECTIONS)
+def sql_sections(t):
+    images = t.images().select("path", "content").unionByName(t.executables())
+    return t.sql("SELECT b.path, s.* FROM {images} b, LATERAL binary_sections(b.content) s", images=images)
+
+
+@q("blobs", """SELECT path, 'png' AS name, i AS offset, length(h) // 2 - i - 4 AS size FROM (SELECT path, h, (position('89504e470d0a1a0a' IN h) - 1) // 2 AS i FROM blobs)""")
+def sql_assets_png(t):
+    return t.sql("SELECT b.path, a.name, a.offset, a.size FROM {blobs} b, LATERAL binary_assets(b.content, 32) a WHERE a.name = 'png'", blobs=t.blobs())
+
+
 @q("", """SELECT page_id, length(encode(html)) AS size, lower(left(hex(encode(html)), 32)) AS first_bytes, round(length(regexp_replace(a, '[^\\x20-\\x7E]', '', 'g')) / least(1000, length(hex(encode(html))) // 2), 6) AS printable_ratio
     FROM (SELECT *, array_to_string([CASE WHEN substr(hx, CAST(2 * i + 1 AS INT), 2) BETWEEN '20' AND '7E' THEN 'a' ELSE chr(1) END for i in range(0, least(1000, length(hx) // 2))], '') AS a
     FROM (SELECT *, hex(encode(html)) AS hx FROM pages))""".replace("length(encode(html)) AS size", "length(hex(encode(html))) // 2 AS size"))
@@ -112,6 +187,14 @@ def scan_carve(t):
     return scan.carved_bytes(b, scan.carve(b, None, max_blob=None)).select("path", "pos", "name", "offset", "size", F.md5("payload").alias("digest"))
 
 
+@q("blobs", """SELECT path, 'png' AS name, i AS offset, length(h) // 2 - i - 4 AS size, md5(unhex(substr(h, CAST(2 * i + 1 AS INT), CAST(length(h) - 2 * i - 8 AS INT)))) AS digest
+    FROM (SELECT path, h, (position('89504e470d0a1a0a' IN h) - 1) // 2 AS i FROM blobs)""")
+def files_carve_png(t):
+    found = scan.carve_chunks(_blob_chunks(t, after=scan.ASSET_BYTES)).filter("name = 'png'")
+    read = byteranges.slices(found.withColumn("pieces", byteranges.piece(F.col("offset"), F.col("size"))))
+    return read.select(_name("bin").alias("path"), "name", "offset", "size", F.md5("data").alias("digest"))
+
+
 def _hits(t):
     """Function starts of one image per brand: addresses 64 apart, with uneven gaps."""
     return t.lean().select(F.col("binary").alias("path"), (F.col("addr") * 64 + F.col("size") % 7).alias("addr"))

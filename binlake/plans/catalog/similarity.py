@@ -71,6 +71,16 @@ def similarity_topk(t):
     return similarity.topk(t.vectors(), t.vectors(), 5)
 
 
+@q("vectors", "SELECT binary, count(*) AS queries, true AS enough FROM vectors WHERE addr % 50 = 0 GROUP BY binary")
+def similarity_topk_approximate(t):
+    """Approximate search for all rows; its recall is measured against the exact search for one query in fifty of each binary."""
+    found = similarity.approximate_topk(t.vectors(), t.vectors(), 5)
+    v = t.vectors()
+    recall = similarity.search_recall(found, v, v, k=5)
+    asked = v.filter(F.col("addr") % 50 == 0).groupBy("binary").agg(F.count("*").alias("queries"))
+    return asked.join(F.broadcast(recall.select((F.col("recall") >= 0.9).alias("enough"))))
+
+
 @q("vectors", """SELECT 'B1' AS binary, count(*) AS hits, round(sum(similarity), 4) AS total FROM (SELECT round(list_cosine_similarity(q.vector, v.vector), 6) AS similarity,
     row_number() OVER (PARTITION BY q.binary, q.addr ORDER BY round(list_cosine_similarity(q.vector, v.vector), 6) DESC, v.addr) AS rank
     FROM vectors q JOIN vectors v ON v.binary = 'B1' WHERE list_cosine_similarity(q.vector, v.vector) >= 0) WHERE rank <= 3""")

@@ -6,10 +6,23 @@ table expression of the same content, used by the cross-check queries.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import spread
+from ..functions import tablefns
+from ..session import shared_folder, spread
+from ..sources import byteranges
+
+
+def le(value, width: int):
+    """Hex text of a number, lowest byte first."""
+    text = F.lpad(F.hex(value.cast("bigint")), width * 2, "0")
+    return F.concat(*[F.substring(text, width * 2 - 2 * i - 1, 2) for i in range(width)])
+
+
+def zeros(n: int):
+    return F.lit("00" * n)
 
 
 class Tables:
@@ -234,14 +247,42 @@ class Tables:
             F.concat(F.lit("bin/"), p.cast("string")).alias("path"), (F.lit(4194304) + p * 65536).alias("base"),
             F.unhex(text).alias("content"))
 
+    def stored(self, *blobs: DataFrame) -> str:
+        """A fresh folder below the shared one with a file for each (path, content)."""
+        folder = f"{shared_folder(self.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+        rows = blobs[0].select("path", "content")
+        for more in blobs[1:]:
+            rows = rows.unionByName(more.select("path", "content"))
+        byteranges.store(rows, folder).write.format("noop").mode("overwrite").save()
+        return folder
+
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        """SQL over the frames, which it names in braces, with the registered table functions."""
+        tablefns.register(self.spark)
+        return self.spark.sql(text, **frames)
+
+    def executables(self) -> DataFrame:
+        """Minimal PE and NSO images, Mach-O heads and scripts, one of each per part."""
+        p, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+        four = lambda *values: F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), (p % 4 + 1).cast("int"))
+        name = F.rpad(F.hex(F.concat(F.lit(".t"), (p % 100).cast("string"))), 16, "0")
+        base = F.when(p % 4 < 2, le(F.lit(0x140000000), 8)).otherwise(F.concat(zeros(4), le(F.lit(0x400000), 4)))
+        exe = F.concat(
+            F.lit("4d5a"), zeros(58), le(F.lit(128), 4), zeros(64), F.lit("50450000"), le(four(0x8664, 0xAA64, 0x14C, 0x1C0), 2), le(F.lit(1), 2), zeros(12),
+            le(F.lit(240), 2), zeros(2), le(F.lit(0x20B), 2), zeros(22), base, zeros(208), name, le(size + 7, 4), le(p * 16 + 4096, 4), le(size, 4),
+            le(F.lit(512), 4), zeros(12), le(four(0x20, 0x40, 0x20, 0x40), 4), zeros(80), F.expr("repeat('90', p_size)"))
+        def segment(off, va, n):
+            return F.concat(le(off, 4), le(va, 4), le(n, 4))
+        nso = F.concat(
+            F.lit("4e534f30"), zeros(12), segment(F.lit(256), F.lit(0), size), zeros(4), segment(size + 256, size, size - 1), zeros(4),
+            segment(2 * size + 255, 2 * size, F.lit(1)), le(p % 50, 4), zeros(192), F.expr("repeat('1f2003d5', p_size)").substr(F.lit(1), (4 * size).cast("int")))
+        kinds = {"exe": exe, "nso": nso, "mac": F.concat(F.lit("feedfacf"), F.hex("p_name")), "sh": F.concat(F.lit("2321"), F.hex("p_name"))}
+        return self.spread("part").select(F.explode(F.array(*[F.struct(
+            F.concat(F.lit(f"{k}/"), p.cast("string")).alias("path"), F.unhex(v).alias("content")) for k, v in kinds.items()])).alias("x")).select("x.*")
+
     def images(self) -> DataFrame:
         """Minimal 64-bit ELF files with one code and one zero-filled section per part."""
         p = F.col("p_partkey")
-        def le(value, width: int):
-            text = F.lpad(F.hex(value.cast("bigint")), width * 2, "0")
-            return F.concat(*[F.substring(text, width * 2 - 2 * i - 1, 2) for i in range(width)])
-        def zeros(n: int):
-            return F.lit("00" * n)
         machine = F.when(p % 3 == 0, 62).when(p % 3 == 1, 183).otherwise(40)
         head = F.concat(F.lit("7f454c460201"), zeros(12), le(machine, 2), zeros(20), le(F.lit(64), 8), zeros(10),
                         le(F.lit(64), 2), le(F.lit(2), 2), zeros(2))

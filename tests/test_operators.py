@@ -119,6 +119,35 @@ def test_topk_matches_brute_force(spark, block_rows, pivots):
         assert [x[:2] for x in have] == [x[:2] for x in want] and np.allclose([x[2] for x in have], [x[2] for x in want])
 
 
+def _clusters(spark, n, dim=6, seed=1):
+    """About the root of n clusters, as many rows in each, and one vector that a third of the rows share."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(int(n ** 0.5), dim))
+    rows = [(f"b{i % 7}", i, [float(x) for x in (centres[0] if i % 3 == 0 else centres[i % len(centres)] + rng.normal(scale=0.01, size=dim))]) for i in range(n)]
+    return spark.createDataFrame(rows, "binary string, addr bigint, vector array<double>")
+
+
+def test_topk_copies_grow_slower_than_pairs(spark):
+    """Vectors moved to blocks: far from n * n, and growing with a power well below two."""
+    moved = []
+    for n in (600, 2400):
+        df, counted = _clusters(spark, n), {}
+        assert similarity.topk(df, df, 3, counted=counted, block_rows=32).count() == 3 * n
+        moved.append(counted["copied"])
+        assert counted["rounds"] <= 8
+    assert moved[1] < 2400 * 2400 / 40 and moved[1] < moved[0] * 4 ** 1.6
+
+
+def test_approximate_topk(spark):
+    df = _clusters(spark, 1500)
+    found = similarity.approximate_topk(df, df, 5, bucket_rows=64, block_rows=100)
+    assert found.groupBy("q_addr").agg(F.count("*").alias("n"), F.max("rank").alias("r")).filter("n <> r OR n > 5").isEmpty()
+    row = similarity.search_recall(found, df, df, every=10, k=5).first()
+    assert row.wanted == 750 and row.recall >= 0.9
+    few = similarity.search_recall(similarity.approximate_topk(df, df, 5, tables=1, probes=0, bucket_rows=8), df, df, every=10, k=5).first()
+    assert few.recall < row.recall and few.found == round(few.recall * few.wanted)
+
+
 def _series(spark, values):
     return spark.createDataFrame([("f", i, float(v)) for i, v in enumerate(values)], "family string, step bigint, error double")
 
