@@ -20,6 +20,10 @@ DIGITS = 6
 SLACK = 1e-5
 #: Pivots grow with the root of the index up to this number; they and one row of statistics each visit the driver.
 MOST_PIVOTS = 1 << 17
+#: Rows of a leaf on average, at least: smaller ones save less than they cost.
+LEAF_ROWS = 1024
+#: Cells of a query's first round of visits, and how many times more each further one has.
+FIRST, FACTOR = 4, 4
 RANKED = "q_binary string, q_addr bigint, binary string, addr bigint, similarity double"
 
 
@@ -92,10 +96,9 @@ class Tree:
         return out
 
 
-def grown(index: DataFrame, pivots: int | None) -> tuple[Tree | None, DataFrame]:
+def grown(index: DataFrame, count: int) -> tuple[Tree | None, DataFrame]:
     """The tree over the vectors that aren't zero, and these with their leaf.  Pivots are chosen by hash."""
     index = index.filter(V.dot(F.col("vector"), F.col("vector")) > 0)
-    count = min(MOST_PIVOTS, pivots or 1 + math.isqrt(index.count()))
     chosen = (index.orderBy(F.xxhash64("binary", "addr"), "binary", "addr").limit(count).select("vector").collect())
     if not chosen:
         return None, index.withColumn("leaf", F.lit(0))
@@ -111,14 +114,18 @@ def grown(index: DataFrame, pivots: int | None) -> tuple[Tree | None, DataFrame]
     return tree, placed.select("binary", "addr", "vector", "leaf")
 
 
-def few_copies(index: DataFrame, k: int, block_rows: int) -> DataFrame:
+def measured(index: DataFrame) -> tuple[int, int, int]:
+    """Numbers of rows, of vectors of zeros and of the copies of the commonest vector."""
+    zero = F.max(V.dot(F.col("vector"), F.col("vector")) == 0)
+    copies = index.groupBy(F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n"), zero.alias("zero"))
+    return tuple(x or 0 for x in copies.agg(F.sum("n"), F.sum(F.when(F.col("zero"), F.col("n"))), F.max("n")).first())
+
+
+def few_copies(index: DataFrame, k: int) -> DataFrame:
     """Of each vector the copies that can be among a query's k best: k of a binary, 2k in all.
 
-    Copies tie, so the first ones by binary and address win, whichever one binary is left out.  Only done where a vector has more copies than a block.
+    Copies tie, so the first ones by binary and address win, whichever one binary is left out.
     """
-    hot = index.groupBy(F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
-    if hot.isEmpty():
-        return index
     own = Window.partitionBy("vector", "binary").orderBy("addr")
     every = Window.partitionBy("vector").orderBy("binary", "addr")
     return (index.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
@@ -183,28 +190,35 @@ def _visits(tree: Tree, done: int, step: int):
 
 def exact(index: DataFrame, queries: DataFrame, k: int, least: float, exclude_same: bool, pivots: int | None, block_rows: int,
           counted: dict | None = None) -> DataFrame:
-    """Exact k best per query.  Rounds of visits double in width, so a query visits at most some twice the cells it needs.
+    """Exact k best per query.  Rounds of visits grow in width by a factor, which bounds the cells that a query visits beyond those it needs.
 
     ``counted``, if given, gets the number of vectors that were copied to a block, and of rounds.
     """
-    index = few_copies(index.select("binary", "addr", "vector"), k, block_rows)
+    index = index.select("binary", "addr", "vector")
+    n, zeros, most = measured(index)
+    if most > block_rows:
+        index = few_copies(index, k)
     asked = queries.select(F.col("binary").alias("q_binary"), F.col("addr").alias("q_addr"), F.col("vector").alias("vector"))
-    tree, cells = grown(index, pivots)
+    length = V.dot(F.col("vector"), F.col("vector"))
+    none = [asked.filter(length == 0), asked.filter(length > 0)]
+    tree, cells = grown(index, pivots or 1 + min(MOST_PIVOTS, math.isqrt(n), n // LEAF_ROWS))
     # vectors of zeros have similarity 0 with all: the first rows win, as among copies
     own = Window.partitionBy("binary").orderBy("addr")
     def firsts(rows):
         first = rows.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k).orderBy("binary", "addr").limit(2 * k)
         return first.select("binary", "addr", F.lit(1).alias("one"))
-    length = V.dot(F.col("vector"), F.col("vector"))
     def with_zero(q, rows):
         met = q.select("q_binary", "q_addr", F.lit(1).alias("one")).join(F.broadcast(firsts(rows)), "one")  # at most 2k rows
         met = met.filter(F.col("q_binary") != F.col("binary")) if exclude_same else met
         return met.select("q_binary", "q_addr", "binary", "addr", F.lit(0.0).alias("similarity")).filter(F.col("similarity") >= least)
-    best = with_zero(asked.filter(length == 0), index).unionByName(with_zero(asked.filter(length > 0), index.filter(length == 0)))
-    best = cut_lineage(ranked(best, k))
-    active = cut_lineage(asked.filter(length > 0))
-    done, step, copied, rounds = 0, 2, 0, 0
-    while tree is not None:
+    best = asked.sparkSession.createDataFrame([], RANKED)
+    if not none[0].isEmpty():
+        best = best.unionByName(with_zero(none[0], index))
+    if zeros:
+        best = best.unionByName(with_zero(none[1], index.filter(length == 0)))
+    best, active = ranked(best, k), none[1]
+    done, step, copied, rounds = 0, FIRST, 0, 0
+    while tree is not None and done < len(tree.leaves):
         full = best.filter(F.col("rank") == k).select("q_binary", "q_addr", F.col("similarity").alias("bar"))
         waiting = active.join(full, ["q_binary", "q_addr"], "left").withColumn("bar", F.greatest(F.coalesce("bar", F.lit(-1.0)), F.lit(float(least))))
 
@@ -214,12 +228,12 @@ def exact(index: DataFrame, queries: DataFrame, k: int, least: float, exclude_sa
             break
         left, right, part, copies = meeting(cells, active.withColumn("leaf", F.explode("cells")).drop("cells"), ["leaf"], block_rows)
         found = scored(left, right, part, k, least, exclude_same)
-        best = cut_lineage(ranked(best.drop("rank").unionByName(found), k))
+        best = cut_lineage(ranked(best.drop("rank").unionByName(found), k).select("q_binary", "q_addr", "binary", "addr", "similarity", "rank"))
         active = active.select("q_binary", "q_addr", "vector")
-        done, step, copied, rounds = done + step, 2 * step, copied + copies, rounds + 1
+        done, step, copied, rounds = done + step, FACTOR * step, copied + copies, rounds + 1
     if counted is not None:
         counted.update(copied=copied, rounds=rounds)
-    return best.select("q_binary", "q_addr", "binary", "addr", "similarity", "rank")
+    return cut_lineage(best.select("q_binary", "q_addr", "binary", "addr", "similarity", "rank")) if rounds == 0 else best
 
 
 def planes(dim: int, tables: int, bits: int, seed: int = 17) -> np.ndarray:
@@ -233,9 +247,12 @@ def approximate(index: DataFrame, queries: DataFrame, k: int, least: float, excl
     The number of bits grows with the log of the index, so a bucket holds ``bucket_rows`` rows on average.  A query also visits, per table, the
     ``probes`` buckets behind the hyperplanes that it lies closest to.  Large buckets are cut into blocks; none is capped.
     """
-    index = few_copies(index.select("binary", "addr", "vector"), k, block_rows)
+    index = index.select("binary", "addr", "vector")
+    n, _, most = measured(index)
+    if most > block_rows:
+        index = few_copies(index, k)
     first = index.select(F.size("vector")).first()
-    bits = max(1, min(24, math.ceil(math.log2(max(2, index.count() / bucket_rows)))))
+    bits = max(1, min(24, math.ceil(math.log2(max(2, n / bucket_rows)))))
     normal = planes(first[0] if first else 1, tables, bits, seed)
     weight = 1 << np.arange(bits)
 

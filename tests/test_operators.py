@@ -132,7 +132,7 @@ def test_topk_copies_grow_slower_than_pairs(spark):
     moved = []
     for n in (600, 2400):
         df, counted = _clusters(spark, n), {}
-        assert similarity.topk(df, df, 3, counted=counted, block_rows=32).count() == 3 * n
+        assert similarity.topk(df, df, 3, pivots=int(n ** 0.5), counted=counted, block_rows=32).count() == 3 * n
         moved.append(counted["copied"])
         assert counted["rounds"] <= 8
     assert moved[1] < 2400 * 2400 / 40 and moved[1] < moved[0] * 4 ** 1.6
