@@ -163,8 +163,11 @@ def mine(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives:
             least, most = _limits([scores.get(i, []) for i in ids.tolist()], low, high)
             slots = scan(alike, Anchors(ids, labels, vectors, least, most, False, negatives), exact)
             merged = slots.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("merged"))
-            inside = F.filter("merged", lambda x: (low * F.col("p") <= -100 * x["minus"]) & (-100 * x["minus"] <= high * F.col("p")))
-            got = best.select("anchor", F.col("id").alias("positive_id"), F.col("score").alias("p")).join(merged, "anchor").select(
+            inside = F.filter("merged", lambda x: (-x["minus"]).between(F.col("lower"), F.col("upper")))
+            # hundredths apart, so that no product overflows
+            window = [F.expr(f"score div 100 * {low} + (score % 100 * {low} + 99) div 100").alias("lower"),
+                      F.expr(f"score div 100 * {high} + score % 100 * {high} div 100").alias("upper")]
+            got = best.filter("score >= 0").select("anchor", F.col("id").alias("positive_id"), F.col("score").alias("p"), *window).join(merged, "anchor").select(
                 F.col("anchor").alias("anchor_id"), "positive_id", F.col("p").alias("positive_score"), F.posexplode(F.slice(inside, 1, negatives)).alias("k", "x"))
             got = cut(got.select("anchor_id", "positive_id", (F.col("k") + 1).alias("rank"), F.col("x.id").alias("negative_id"), "positive_score",
                                  (-F.col("x.minus")).alias("negative_score")))
