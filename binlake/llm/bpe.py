@@ -1,12 +1,12 @@
 """Byte-pair encoding and decoding of whole texts in a stream.
 
 Encoding.  A text is cut where a cut can never change the result: before a space that a non-space follows (no
-pre-token contains such a place) and around added tokens.  Pieces go through the merge list; results of frequent
-pieces are kept in a memo of bounded size.  A pre-token of any length is encoded by a transducer that reads byte
-after byte: the last token of the encoding of each prefix is the one whose pair with the token before it encodes to
-itself, so prefixes form a tree, and only the last ``lookahead`` prefixes can still be continued, where ``lookahead``
+pre-token contains such a place) and around added tokens.  Every pre-token, of whatever length, is encoded by a transducer that reads it byte
+by byte: the last token of the encoding of each prefix is the one that stays apart from the last token of the prefix before it,
+so prefixes form a tree, and only the last ``lookahead`` prefixes can still be continued, where ``lookahead``
 is the longest token the merge list can build.  Tokens that all of these share are stable; they are emitted and
-forgotten.
+forgotten.  Whether two tokens stay apart is told by the merges that built their facing sides: none of the pairs that face each
+other at some time may merge before one of its sides is merged away.  Results of frequent pieces are kept in a memo of bounded size.
 
 Decoding keeps the bytes of an unfinished character only, and replaces malformed bytes by U+FFFD.
 
@@ -19,19 +19,20 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, map_arrow, text_of
+from .common import documents, map_arrow, released, text_of
 
 #: The pre-token pattern of byte-level BPE, and white space as Unicode defines it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Pieces remembered in each of two generations; texts are cut to windows of so many characters.
-MEMO, WINDOW = 150_000, 1 << 16
-#: Pre-tokens of more bytes go through the transducer.
+MEMO, WINDOW = 300_000, 1 << 16
+#: Longer pieces are not remembered.
 LONG = 96
-NEVER = 1 << 60
+NEVER, SHORT = 1 << 60, (2, 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,6 +69,22 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.cut = re.compile(f" (?=[^{WHITE}])")
         self.pair = lru_cache(1 << 16)(self._stays)
+        # what each token is merged from, and when; of several rules the first
+        self.rank, self.parts = {}, {}
+        for pair, (rank, new) in sorted(self.merges.items(), key=lambda x: x[1][0]):
+            if new not in self.parts:
+                self.rank[new], self.parts[new] = rank, pair
+        #: Bytes -> the token that they encode to, for those that encode to one token.
+        self.whole = {bytes([b]): i for b, i in enumerate(self.byte_ids)}
+        for new, (a, b) in self.parts.items():
+            if self.whole.get(self.tokens[a]) == a and self.whole.get(self.tokens[b]) == b and self._stays(a, b, self.rank[new]):
+                self.whole[self.tokens[new]] = new
+        #: Sizes of tokens by their last three bytes, longest first.
+        ends: dict[bytes, set[int]] = {}
+        for t in self.whole:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        self.sizes = {tail: (*sorted(n, reverse=True), *SHORT) for tail, n in ends.items()}
         self.memo = _Memo(self)
 
     # -- encoding
@@ -89,71 +106,86 @@ class ByteBPE:
                 ranks[k] = get((ids[k], ids[k + 1]), (NEVER, 0))
         return ids
 
-    def _stays(self, a: int, b: int) -> bool:
-        """Whether the two tokens side by side encode to themselves."""
-        return self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-
-    def transduce(self, data: Iterable[int]) -> Iterator[int]:
-        """Token ids of a byte stream, each as soon as no continuation can change it."""
-        recent = bytearray()                       # the last ``lookahead`` bytes
-        last: dict[int, tuple[int, int] | None] = {0: None}   # prefix length -> (its last token, length of the prefix before)
-        done, n = 0, 0
-        for byte in data:
-            recent.append(byte)
-            n += 1
-            del recent[:-self.lookahead]
-            for size in range(min(len(recent), n - done), 0, -1):
-                before = n - size
-                if before not in last:
-                    continue
-                token = self.ids.get(bytes(recent[-size:]))
-                if token is None:
-                    continue
-                previous = last[before]
-                if previous is None and self._alone(token) or previous is not None and self.pair(previous[0], token):
-                    last[n] = (token, before)
-                    break
-            if n - done >= 2 * self.lookahead and n % self.lookahead == 0:
-                yield from self._stable(last, done, n)
-                done = min(last)
+    def _stays(self, a: int, b: int, until: int = NEVER) -> bool:
+        """Whether two tokens side by side stay apart, before the merge of rank ``until``."""
+        left, right, rank, parts, rule = until, until, self.rank, self.parts, self.merges.get   # when a and b are merged away
+        while True:
+            met = rule((a, b))
+            # of equal rules the leftmost goes first
+            if met is not None and met[0] < left and met[0] <= right and met[0] < until:
+                return False
+            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                left, a = ra, parts[a][1]
+            else:
+                right, b = rb, parts[b][0]
+
+    def _last(self, data: bytes, n: int, last: dict[int, tuple]) -> tuple:
+        """Last token of the encoding of the first ``n`` bytes and the prefix in front of it; ``last`` keeps what was found."""
+        found = last.get(n)
+        if found is not None:
+            return found
+        whole, stays = self.whole.get, self.pair
+        for size in self.sizes.get(data[n - 3:n], SHORT) if n > 2 else SHORT:
+            if size <= n:
+                token = whole(data[n - size:n])
+                if token is not None:
+                    before = n - size
+                    previous, at = last.get(before) or self._last(data, before, last)
+                    if at >= 0 and (previous is None or stays(previous, token)):
+                        found = last[n] = token, before
+                        return found
+        # only in a stream: a prefix whose last token would reach behind what is stable, and which can't be continued
+        found = last[n] = None, -1
+        return found
+
+    def _path(self, data: bytes, n: int, last: dict[int, tuple]) -> list[int]:
         out = []
-        while n > done:
-            token, n = last[n]
+        while n:
+            token, n = self._last(data, n, last)
             out.append(token)
-        yield from reversed(out)
-
-    @lru_cache(1 << 16)  # noqa: B019
-    def _alone(self, token: int) -> bool:
-        return self.merge(self.tokens[token]) == [token]
-
-    def _stable(self, last: dict, done: int, n: int) -> list[int]:
-        """Tokens up to the last prefix on every live path; what lies before it is forgotten."""
-        paths = None
-        live = {n - k for k in range(self.lookahead)} & last.keys()
-        for p in live:
-            path = []
-            while p > done:
-                path.append(p)
-                p = last[p][1]
-            paths = set(path) if paths is None else paths & set(path)
-        end = max(paths, default=done)
-        out, p = [], end
-        while p > done:
-            token, p = last[p]
-            out.append(token)
-        for p in [p for p in last if p < end]:
-            del last[p]
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def transduce(self, data: Iterable[int], block: int = 0) -> Iterator[int]:
+        """Token ids of a stream of bytes, each as soon as no continuation can change it.
+
+        Keeps the prefixes behind the last stable one: at most ``lookahead`` and a path that hasn't become stable.
+        """
+        block, stream = block or 2 * self.lookahead, iter(data)
+        held, last = b"", {0: (None, 0)}
+        while more := bytes(islice(stream, block)):
+            if len(held) >= self.lookahead and (end := self._stable(held, last)):
+                out = self._path(held, end, last)
+                yield from out
+                held = held[end:]
+                last = {0: (out[-1], 0)} | {n - end: (t, before - end) for n, (t, before) in last.items() if before >= end}
+            held += more
+        yield from self._path(held, len(held), last)
+
+    def _stable(self, data: bytes, last: dict[int, tuple]) -> int:
+        """The longest prefix on the path of every prefix that can still be continued; 0 if there is none."""
+        for n in range(1, len(data) + 1):
+            self._last(data, n, last)
+        live = set(range(len(data) - self.lookahead + 1, len(data) + 1))
+        while len(live) > 1:
+            n = max(live)
+            live.remove(n)
+            live.add(last[n][1])
+        return live.pop()
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece between two cuts, as 32-bit integers."""
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):   # letters are one pre-token
+            return array("i", self.transduce(piece.encode())).tobytes()
         parts = self.find(piece)
         if len(parts) > 1:
             return b"".join(map(self.memo.__getitem__, parts)) if len(piece) <= LONG else b"".join(map(self.piece, parts))
         if not parts:
             return b""
-        data = parts[0].encode()
-        return array("i", self.merge(data) if len(data) <= LONG else self.transduce(data)).tobytes()
+        return array("i", self.transduce(parts[0].encode())).tobytes()
 
     def windows(self, text: str) -> Iterator[str]:
         """The text in windows that end at cuts; a longer run without any stays whole."""
@@ -243,7 +275,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", block: int = 1 << 16)
                     parts = () if flat is None else (flat[k:k + block].tolist() for k in range(0, len(flat), block))
                     texts.append("".join(coder.decode(parts)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(released(run), schema)
 
 
 def vocabulary() -> str:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, documents, mix, slices, text_of
+from .common import cut, documents, mix, released, slices, text_of
 from .postings import BATCH, PACKED, bucket_count, gather, grams, lowest, packed, places, ragged, word_hashes
 
 WORDS, PERCENT = 4, 85
@@ -124,7 +124,7 @@ def described(rows: DataFrame, k: int = WORDS) -> DataFrame:
             h, owner, n = shingles(b.column("text").to_pylist(), k)
             s = signatures(h, owner, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (n, *s))], names=["doc_id", "n", "s1", "s2"])
-    df = rows.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
+    df = rows.mapInArrow(released(run), "doc_id bigint, n bigint, s1 bigint, s2 bigint")
     return df.groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("doc_id", "x.*")
 
 
@@ -145,7 +145,7 @@ def shared_of_texts(rows: DataFrame, buckets: int, k: int, percent: int, salt: i
             t, o = _first(h[keep], owner[keep], np.where(once, n, 0), salt, percent)
             if len(t):
                 yield from _counting(t, sums[o], buckets)
-    return _shared(rows.mapInArrow(run, PACKED))
+    return _shared(rows.mapInArrow(released(run), PACKED))
 
 
 def shared_of_sets(sets: DataFrame, buckets: int, percent: int, salt: int) -> DataFrame:
@@ -160,7 +160,7 @@ def shared_of_sets(sets: DataFrame, buckets: int, percent: int, salt: int) -> Da
                 t, o = _first(h, np.repeat(np.arange(len(n)), n), n, salt, percent)
                 if len(t):
                     yield from _counting(t, _ids(b)[o], buckets)
-    return _shared(sets.mapInArrow(run, PACKED))
+    return _shared(sets.mapInArrow(released(run), PACKED))
 
 
 def _enough(percent: int):
@@ -197,7 +197,7 @@ def sets_of(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             tokens = ragged(h, owner, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), tokens], names=["doc_id", "n", "tokens"]).filter(pa.array(keep))
     maybe, _ = split(rows, nodes)
-    return maybe.join(nodes.select("doc_id", "s1", "s2"), "doc_id").mapInArrow(run, "doc_id bigint, n bigint, tokens array<bigint>")
+    return maybe.join(nodes.select("doc_id", "s1", "s2"), "doc_id").mapInArrow(released(run), "doc_id bigint, n bigint, tokens array<bigint>")
 
 
 def keys_of(sets: DataFrame, percent: int) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix
+from .common import give_back, mix
 
 #: Characters of input for which one bucket is made, and bytes of text handled at once.
 BUCKET_CHARS, BATCH = 4 << 20, 8 << 20
@@ -88,7 +88,10 @@ def gather(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         cols = [np.concatenate([np.asarray(c.flatten()) for c in table.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("hash", "doc", "mark")]
-        return pa.Table.from_batches([fn(cols[0].view(np.uint64), cols[1], cols[2])])
+        out = pa.Table.from_batches([fn(cols[0].view(np.uint64), cols[1], cols[2])])
+        del cols, table
+        give_back()
+        return out
     return rows.groupBy("bucket").applyInArrow(run, schema)
 
 

@@ -115,11 +115,46 @@ def test_encoding_is_the_library_s(odd):
 
 
 def test_transducer_keeps_little():
-    coder = bpe.load(bpe.vocabulary())
-    data = b"ab" * 20_000 + b"q" * 5000
-    assert list(coder.transduce(data)) == coder.merge(data[:0]) + list(coder.transduce(data))
-    first = next(iter(coder.transduce(itertools.chain(b"the" * 400, itertools.repeat(97)))))     # an endless stream still yields
-    assert isinstance(first, int)
+    """Streams of any kind in small blocks give the merge list's result; what is held stays within a few lookaheads."""
+    coder, r = bpe.load(bpe.vocabulary()), random.Random(7)
+    streams = [b"ab" * 4000, b"a" * 3000, " ".join(PIECES).encode() * 60, bytes(r.choice(b"abcther ing\xc3\xa9") for _ in range(4000)),
+               b"internationalization" * 150]
+    held = []
+    stable = coder._stable
+    coder._stable = lambda data, last: held.append((len(data), len(last))) or stable(data, last)
+    try:
+        for data in streams:
+            want = coder.merge(data)
+            for block in (0, 1, 37):
+                assert list(coder.transduce(data, block)) == want
+                assert max(n for x in held for n in x) <= 5 * coder.lookahead
+                held.clear()
+        first = next(iter(coder.transduce(itertools.chain(b"the" * 400, itertools.repeat(97)))))     # an endless stream still yields
+        assert isinstance(first, int)
+    finally:
+        del coder._stable
+
+
+def test_every_token_leaves_through_the_transducer(monkeypatch):
+    coder = bpe.ByteBPE(bpe.vocabulary())
+    seen, run = [], coder.transduce
+    monkeypatch.setattr(coder, "transduce", lambda data: seen.append(data) or run(data))
+    monkeypatch.setattr(coder, "merge", None)
+    texts = ["some words and 12 numbers", "it's --- a   test", "漢字 é"]
+    got = [array.array("i", b"".join(coder.encode(t))).tolist() for t in texts]
+    assert b"".join(coder.tokens[i] for ids in got for i in ids) == "".join(texts).encode()
+    assert b"".join(seen) == "".join(texts).encode()
+
+
+def test_tokens_that_stay_apart():
+    """The walk over the facing sides against merging, for pairs of many kinds."""
+    coder, r = bpe.load(bpe.vocabulary()), random.Random(3)
+    ids = list(coder.whole.values())
+    small = [i for i in ids if len(coder.tokens[i]) < 4]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(3000)] + [(r.choice(small), r.choice(small)) for _ in range(3000)] + [(i, i) for i in small[:1500]]
+    for a, b in pairs:
+        assert coder._stays(a, b) == (coder.merge(coder.tokens[a] + coder.tokens[b]) == [a, b])
+    assert all(coder.merge(coder.tokens[i]) == [i] for i in ids[::50])
 
 
 def test_counts_are_the_library_s(odd):
