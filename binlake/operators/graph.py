@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import addr as A, names as N
-from ..plans import tables
+from ..plans import blocks, tables
 from ..plans.ranges import range_join
 from ..session import cut_lineage
 
@@ -85,37 +85,74 @@ def get_function(functions: DataFrame, calls: DataFrame, wanted: DataFrame) -> D
     return (functions.join(want, ["binary", "addr"], "left_semi").join(near, ["binary", "addr"], "left"))
 
 
-def trace_chain(starts: DataFrame, calls: DataFrame, depth: int = 2, cut_every: int = 4) -> DataFrame:
-    """Functions reachable in 1..depth calls from each start, distinct; a start on a cycle reaches itself.
+def _packed_starts(starts: DataFrame) -> DataFrame:
+    """(binary, start, word, bit): the starts of each binary numbered in the order of their addresses, 64 to a word."""
+    numbered = blocks.dense_index(starts.select("binary", "start").distinct(), ["binary"], "start", "_i")
+    return numbered.select("binary", "start", F.expr("(_i - 1) div 64").alias("word"), ((F.col("_i") - 1) % 64).cast("int").alias("bit"))
+
 
-    ``starts`` has (binary, start).  Each round joins the frontier with the edges and drops what
-    was reached before; the lineage is cut through the checkpoint folder every few rounds.
+def _reach_sets(packed: DataFrame, calls: DataFrame, depth: int, cut_every: int = 2) -> DataFrame:
+    """(binary, addr, word, bits): for each function the set of starts that reach it in 1..depth calls.
+
+    A search from all starts at once.  A round sends the words of the functions reached last along their edges and ORs what meets, so it makes at most one
+    row per edge and word, however many starts there are; bits that a function had before are not sent again.
     """
     edges = calls.select("binary", F.col("caller_addr").alias("addr"), F.col("callee_addr").alias("to"))
-    frontier = starts.select("binary", "start", F.col("start").alias("addr")).distinct()
+    key, bits = ["binary", "addr", "word"], F.bit_or("bits").alias("bits")
+    frontier = packed.groupBy("binary", F.col("start").alias("addr"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     reached = None
     for hop in range(1, depth + 1):
-        step = (frontier.join(edges, ["binary", "addr"])
-                .select("binary", "start", F.col("to").alias("addr")).distinct())
-        fresh = step if reached is None else step.join(reached, ["binary", "start", "addr"], "left_anti")
-        if hop % cut_every == 0 and hop < depth:
-            fresh = cut_lineage(fresh)
-            reached = cut_lineage(reached.unionByName(fresh))
-            if fresh.isEmpty():
-                break
+        step = frontier.join(edges, ["binary", "addr"]).groupBy("binary", F.col("to").alias("addr"), "word").agg(bits)
+        if reached is not None and hop < depth:
+            old = reached.withColumnRenamed("bits", "old")
+            fresh = step.join(old, key, "left").select(*key, F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("bigint")))).alias("bits")).filter("bits <> 0")
         else:
-            reached = fresh if reached is None else reached.unionByName(fresh)
-        frontier = fresh
+            fresh = step
+        cut = hop % cut_every == 0 and hop < depth
+        frontier = cut_lineage(fresh) if cut else fresh
+        reached = frontier if reached is None else reached.unionByName(frontier).groupBy(*key).agg(bits)
+        if cut:
+            reached = cut_lineage(reached)
+            if frontier.isEmpty():
+                break
     return reached
 
 
+def trace_chain(starts: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
+    """Functions reachable in 1..depth calls from each start, distinct; a start on a cycle reaches itself.
+
+    ``starts`` has (binary, start).  The search works on sets of starts; pairs are made from its result alone.
+    """
+    packed = _packed_starts(starts)
+    pairs = _reach_sets(packed, calls, depth).select("binary", "addr", "word", F.explode(F.expr(
+        "filter(sequence(0, 63), b -> shiftright(bits, b) & 1L = 1L)")).alias("bit"))
+    return pairs.join(packed, ["binary", "word", "bit"]).select("binary", "start", "addr")
+
+
+def reach_counts(starts: DataFrame, calls: DataFrame, depth: int = 2) -> DataFrame:
+    """(binary, start, reach): number of functions that each start reaches; no pair of start and function is made."""
+    packed = _packed_starts(starts)
+    per_bit = F.array(*[F.sum(F.shiftright("bits", b).bitwiseAND(F.lit(1).cast("bigint"))) for b in range(64)])
+    counts = _reach_sets(packed, calls, depth).groupBy("binary", "word").agg(per_bit.alias("n"))
+    return packed.join(counts, ["binary", "word"], "left").select("binary", "start", F.coalesce(F.get("n", F.col("bit")), F.lit(0)).alias("reach"))
+
+
+FUNCTION_KEYS, FUNCTION_DEFAULTS = ["binary", "addr"], {"size": 0, "pseudocode": "", "disasm": ""}
+
+
+def function_rows(incoming: DataFrame, version: str) -> DataFrame:
+    """The row of the highest version per function, every field set."""
+    rows = tables.latest(incoming, FUNCTION_KEYS, version)
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in FUNCTION_DEFAULTS.items() if c in rows.columns})
+
+
 def upsert_functions(current: DataFrame, incoming: DataFrame, version: str) -> DataFrame:
     """Overwrite function rows by (binary, addr) with the incoming row of the highest ``version``.
 
     Every field is set: a missing size becomes 0, missing pseudocode or disassembly becomes ''.
     """
-    rows = tables.latest(incoming, ["binary", "addr"], version).drop(version)
-    return tables.overwrite(current, rows, ["binary", "addr"], {"size": 0, "pseudocode": "", "disasm": ""})
+    rows = tables.latest(incoming, FUNCTION_KEYS, version).drop(version)
+    return tables.overwrite(current, rows, FUNCTION_KEYS, FUNCTION_DEFAULTS)
 
 
 def upsert_calls(functions: DataFrame, calls: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -40,8 +40,7 @@ def graph_degrees(t):
 def function_overview(t):
     fns, calls = t.lean(), t.calls()
     starts = fns.select("binary", F.col("addr").alias("start"))
-    reach = (graph.trace_chain(starts, calls, 2).groupBy("binary", F.col("start").alias("addr"))
-             .agg(F.count("*").alias("reach")))
+    reach = graph.reach_counts(starts, calls, 2).withColumnRenamed("start", "addr")
     return (graph.degrees(fns, calls).join(fns, ["binary", "addr"]).join(reach, ["binary", "addr"], "left")
             .select("binary", "addr", "name", "callers", "callees", F.coalesce("reach", F.lit(0)).alias("reach"),
                     N.is_named(F.col("name")).alias("is_named")))

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ...functions import outcomes as O
 from ...operators import runs
 from ...session import shared_folder
-from ...streaming import stateful, stream
+from ...streaming import progress, stateful, stream
 from .. import relations, tables
 from ._register import Catalog
 from .graph import N
@@ -124,6 +124,21 @@ def stream_upsert(t):
                                (F.col("k") * 2).alias("size"), F.explode(F.array(F.lit(2), F.lit(1))).alias("v"))
     # each function comes twice in a batch; the lower version must lose
     rows = rows.withColumn("name", F.concat(F.when(F.col("v") == 2, "fn_").otherwise("stale_"), F.col("addr").cast("string")))
-    empty = t.spark.createDataFrame([], "binary string, addr bigint, name string, size bigint")
-    stream.run_available(stream.upsert(rows, f"{root}/functions", empty, f"{root}/ckpt", "v"))
-    return t.spark.read.schema(empty.schema).parquet(f"{root}/functions").filter(N.is_named(F.col("name")))
+    path, schema = f"{root}/functions", rows.schema
+    stream.run_available(stream.upsert(rows, path, f"{root}/ckpt", "v"))
+    return stream.upserted(t.spark, path, schema, "v").drop("v").filter(N.is_named(F.col("name")))
+
+
+@q("ev", """SELECT 'events of all users' AS query, count(*) AS input_rows, count(DISTINCT user_id) AS state_rows, 'ended' AS outcome, 0 AS late_rows FROM ev""")
+def stream_progress(t):
+    """What a listener recorded of a stream that has ended."""
+    root, name = _shared_folder(t.spark), "events of all users"
+    seen = progress.Progress({name}).watch(t.spark)
+    try:
+        counts = live(t).ev().groupBy("user_id").count()
+        stream.run_available(counts.writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save())
+                             .queryName(name).option("checkpointLocation", f"{root}/ckpt"))
+        progress.settled(t.spark)
+    finally:
+        seen.stop(t.spark)
+    return progress.per_job(seen.table(t.spark)).select("query", "input_rows", "state_rows", "outcome", "late_rows")

@@ -1,10 +1,7 @@
-"""Keyed merges and rewrites of Parquet tables partitioned by one column."""
+"""Keyed merges of frames."""
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -50,42 +47,3 @@ def overwrite(current: DataFrame, incoming: DataFrame, keys: list[str], defaults
             value = F.coalesce(value, F.lit(defaults[c]))
         fields.append(F.when(F.col("_new"), value).otherwise(F.col(c)).alias(c))
     return current.join(new, keys, "full_outer").select(*fields)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def rewrite(spark: SparkSession, path: str, partition: str, touched: DataFrame,
-            change: Callable[[DataFrame], DataFrame], empty: DataFrame) -> None:
-    """Replace the partitions named in ``touched`` by ``change(current rows of these partitions)``.
-
-    The new rows are first written beside the table, then swapped in with a dynamic partition
-    overwrite; a rerun after a lost driver starts from the untouched table again.
-    """
-    present = exists(spark, path)
-    base = spark.read.schema(empty.schema).parquet(path) if present else empty
-    keys = touched.select(partition).distinct()
-    staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    (change(base.join(keys, partition, "left_semi"))
-     .write.mode("overwrite").partitionBy(partition).parquet(staged))
-    (spark.read.schema(empty.schema).parquet(staged)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
-    _drop_folder(spark, staged)
-
-
-def drop_partition(spark: SparkSession, path: str, partition: str, value: str) -> int:
-    """Delete one partition of the table; returns the number of rows it held."""
-    if not exists(spark, path):
-        return 0
-    n = spark.read.parquet(path).filter(F.col(partition) == value).count()
-    from urllib.parse import quote
-    _drop_folder(spark, f"{path.rstrip('/')}/{partition}={quote(value, safe=' ')}")
-    return n

@@ -1,11 +1,14 @@
 """Streaming aggregates and sinks on job, crash and live-call logs."""
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from ..operators import graph
-from ..plans import tables
+from ..plans import versioned
 
 
 def jobs(events: DataFrame) -> DataFrame:
@@ -37,19 +40,24 @@ def latency(events: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(F.when(F.col("ok"), F.col("latency_ms"))).alias("avg_latency_ms"))
 
 
-def upsert(updates: DataFrame, path: str, current_schema: DataFrame, checkpoint: str, version: str) -> DataStreamWriter:
-    """Merge function rows of each micro-batch into the table at ``path``.
+def upsert(updates: DataFrame, path: str, checkpoint: str, version: str) -> DataStreamWriter:
+    """Append the function rows of each micro-batch to the versioned table at ``path``; ``upserted`` reads it.
 
-    ``version`` names an offset or sequence column: of several updates of one function in a batch the highest wins,
-    in whatever order the rows come, so a batch that is run again changes nothing.
+    ``version`` names an offset or sequence column: the highest one of a function wins, in whatever order rows and batches come.  A
+    batch is stored under the stream's and its own number, so one that is run again changes nothing, wherever it broke off.
     """
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        tables.rewrite(spark, path, "binary", batch,
-                       lambda current: graph.upsert_functions(current, batch, version), current_schema)
+        versioned.append(graph.function_rows(batch, version), path, f"{stream}-{batch_id:012d}")
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def upserted(spark: SparkSession, path: str, schema: StructType, version: str) -> DataFrame:
+    """The functions of a table that ``upsert`` feeds; ``schema`` is its rows' with the version."""
+    return versioned.current(spark, path, schema, graph.FUNCTION_KEYS, version)
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process everything there is and stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -84,6 +84,30 @@ def test_trace_chain_depths(spark):
         assert got == sorted((i % 9) for i in range(1, min(depth, 9) + 1))
 
 
+def test_reach_of_many_starts(spark):
+    """All functions as starts, around a hub that all call: as brute force finds, in few rows per hop."""
+    import random
+    r = random.Random(8)
+    n = 300
+    calls = {(k, 0) for k in range(1, n)} | {(0, k) for k in range(1, 40)} | {(r.randrange(n), r.randrange(n)) for _ in range(200)} | {(5, 5)}
+    df = spark.createDataFrame([("b", a, c) for a, c in calls] + [("other", 1, 2)], "binary string, caller_addr bigint, callee_addr bigint")
+    starts = spark.createDataFrame([("b", k) for k in range(n)] * 2 + [("other", 1), ("other", 2)], "binary string, start bigint")
+    for depth in (1, 2, 3, 5):
+        want = set()
+        for s in range(n):
+            front = {s}
+            for _ in range(depth):
+                front = {c for a, c in calls if a in front}
+                want |= {("b", s, c) for c in front}
+        got = [tuple(x) for x in graph.trace_chain(starts, df, depth).filter("binary = 'b'").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        counts = {(x.binary, x.start): x.reach for x in graph.reach_counts(starts, df, depth).collect()}
+        assert counts.pop(("other", 1)) == 1 and counts.pop(("other", 2)) == 0
+        assert counts == {("b", s): sum(x[1] == s for x in want) for s in range(n)}
+        rows = graph._reach_sets(graph._packed_starts(starts), df, depth).count()
+        assert rows <= (len({c for _, c in calls}) + 1) * (n // 64 + 1)
+
+
 def test_context_block_text(spark):
     fns = spark.createDataFrame([("b", 1, "main", 'log("ready"); x = 4660; y = 0x1F4;'), ("b", 2, "helper", None), ("b", 3, "sub_3", None)],
                                 "binary string, addr bigint, name string, pseudocode string")
@@ -328,25 +352,79 @@ def test_exports(spark, tmp_path):
     assert (tmp_path / "src" / "src" / "file=A_f_x.c").is_dir()
 
 
-def test_table_rewrite_and_stream_upsert(spark, tmp_path):
-    ddl = "binary string, addr bigint, name string, size bigint"
-    empty, path = spark.createDataFrame([], ddl), str(tmp_path / "t")
-    def put(rows):
-        new = spark.createDataFrame(rows, ddl + ", v int")
-        tables.rewrite(spark, path, "binary", new, lambda cur: graph.upsert_functions(cur, new, "v"), empty)
-    put([("a", 1, "x", 5, 1), ("b", 1, "y", 6, 1)])
-    put([("a", 1, "x2", None, 2), ("a", 1, "stale", 9, 1), ("a", 2, "z", 7, 1)])
-    put([("a", 2, "z", 7, 1), ("a", 1, "stale", 9, 1), ("a", 1, "x2", None, 2)])  # the batch again, in another order
-    got = sorted(tuple(r) for r in spark.read.schema(ddl).parquet(path).select("binary", "addr", "name", "size").collect())
-    assert got == [("a", 1, "x2", 0), ("a", 2, "z", 7), ("b", 1, "y", 6)]
-    assert tables.drop_partition(spark, path, "binary", "a") == 2
-    assert spark.read.schema(ddl).parquet(path).count() == 1
+ROWS = "binary string, addr bigint, name string, size bigint, v int"
+
+
+def _functions(spark, path):
+    return sorted(tuple(r)[:4] for r in stream.upserted(spark, path, spark.createDataFrame([], ROWS).schema, "v").collect())
+
+
+def test_stream_upsert_merges_on_read(spark, tmp_path):
+    path, src = str(tmp_path / "t"), str(tmp_path / "in")
+    batches = [[("a", 1, "x", 5, 1), ("b", 1, "y", 6, 1)], [("a", 1, "x2", None, 2), ("a", 1, "stale", 9, 1), ("a", 2, "z", 7, 1)],
+               [("a", 2, "z", 7, 1), ("c", 9, "n", 1, 3), ("c", 9, "m", 1, 2)]]
+    for rows in batches:
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("append").parquet(src)
+    ups = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(src)
+    stream.run_available(stream.upsert(ups, path, str(tmp_path / "ck"), "v"))
+    want = [("a", 1, "x2", 0), ("a", 2, "z", 7), ("b", 1, "y", 6), ("c", 9, "n", 1)]
+    assert _functions(spark, path) == want
+    # the same batches through the same stream again, as after a loss of its progress
+    import shutil
+    shutil.rmtree(tmp_path / "ck")
+    stream.run_available(stream.upsert(ups, path, str(tmp_path / "ck"), "v"))
+    assert _functions(spark, path) == want and len(list((tmp_path / "t" / "batches").iterdir())) == 3
+
+
+def test_versioned_table_survives_failures(spark, tmp_path):
+    from binlake.plans import versioned
+    path, schema, keys = str(tmp_path / "t"), spark.createDataFrame([], ROWS).schema, ["binary", "addr"]
+    def put(name, *rows):
+        return versioned.append(spark.createDataFrame(rows, ROWS), path, name)
+    assert _functions(spark, path) == []
+    assert put("1", ("a", 1, "x", 5, 1), ("b", 1, "y", 6, 1))
+    assert not put("1", ("a", 1, "other", 5, 9))
+    # a batch whose writer was lost before its marker isn't seen, and is written anew
+    put("2", ("a", 1, "half", 5, 5))
+    (tmp_path / "t" / "batches" / "2" / "_SUCCESS").unlink()
+    assert _functions(spark, path) == [("a", 1, "x", 5), ("b", 1, "y", 6)]
+    assert put("2", ("a", 1, "x2", 5, 2))
+    want = [("a", 1, "x2", 5), ("b", 1, "y", 6)]
+    assert _functions(spark, path) == want
+    # a compaction lost between its rows and its marker changes nothing, and the next one succeeds
+    name = versioned.compact(spark, path, schema, keys, "v")
+    (tmp_path / "t" / "bases" / name / "_SUCCESS").unlink()
+    assert versioned.vacuum(spark, path) == [] and _functions(spark, path) == want
+    assert versioned.compact(spark, path, schema, keys, "v") == name
+    put("3", ("a", 1, "late", 5, 1), ("c", 1, "z", 1, 1))
+    assert _functions(spark, path) == [*want, ("c", 1, "z", 1)]
+    assert sorted(versioned.vacuum(spark, path)) == ["batches/1", "batches/2"] and _functions(spark, path) == [*want, ("c", 1, "z", 1)]
+    assert versioned.compact(spark, path, schema, keys, "v") > name and versioned.compact(spark, path, schema, keys, "v") is None
+    # a deletion holds for what comes late, not for newer rows
+    assert versioned.delete(spark, path, "d", "binary", "a", 3) and not versioned.delete(spark, path, "d", "binary", "a", 9)
+    put("4", ("a", 2, "late", 5, 3), ("a", 3, "new", 5, 4))
+    assert _functions(spark, path) == [("a", 3, "new", 5), ("b", 1, "y", 6), ("c", 1, "z", 1)]
+
+
+def test_progress_of_streams(spark, tmp_path):
+    from binlake.streaming import progress
     src = str(tmp_path / "in")
-    spark.createDataFrame([("c", 9, "n", 1, 3), ("c", 9, "m", 1, 2)], ddl + ", v int").write.parquet(src)
-    ups = spark.readStream.schema(ddl + ", v int").parquet(src)
-    stream.run_available(stream.upsert(ups, path, empty, str(tmp_path / "ck"), "v"))
-    assert spark.read.schema(ddl).parquet(path).filter("binary = 'c'").first().name == "n"
-    assert spark.read.schema(ddl).parquet(path).count() == 2
+    for k in range(3):
+        spark.createDataFrame([(k, x) for x in range(10)], "k int, x int").coalesce(1).write.mode("append").parquet(src)
+    def run(name, df):
+        rows = df.writeStream.outputMode("update").format("noop").queryName(name).option("checkpointLocation", str(tmp_path / name))
+        stream.run_available(rows)
+    seen = progress.Progress({"kept", "broken"}).watch(spark)
+    read = spark.readStream.schema("k int, x int").option("maxFilesPerTrigger", 1).parquet(src)
+    run("kept", read.groupBy("k").count())
+    run("other", read.groupBy("k").count())
+    with pytest.raises(Exception, match="by zero|DIVIDE"):
+        run("broken", read.select(F.expr("1 / (k - 1)")))
+    progress.settled(spark)
+    seen.stop(spark)
+    got = {r.query: r for r in progress.per_job(seen.table(spark)).collect()}
+    assert got.keys() == {"kept", "broken"} and got["broken"].outcome == "failed"
+    assert (got["kept"].input_rows, got["kept"].state_rows, got["kept"].outcome) == (30, 3, "ended") and got["kept"].batches >= 3
 
 
 def test_stream_surprise_across_batches(spark, tmp_path):
