@@ -87,7 +87,7 @@ def get_function(functions: DataFrame, calls: DataFrame, wanted: DataFrame) -> D
 
 def _packed_starts(starts: DataFrame) -> DataFrame:
     """(binary, start, word, bit): the starts of each binary numbered in the order of their addresses, 64 to a word."""
-    numbered = blocks.dense_index(starts.select("binary", "start").distinct(), ["binary"], "start", "_i")
+    numbered = blocks.dense_index(starts.select("binary", "start").distinct(), ["binary"], "start", "_i", sparse=True)
     return numbered.select("binary", "start", F.expr("(_i - 1) div 64").alias("word"), ((F.col("_i") - 1) % 64).cast("int").alias("bit"))
 
 

@@ -248,7 +248,7 @@ def density_shards(hits: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
     """
     inside = hits.join(ranges, "path").filter(A.in_range(F.col("addr"), F.col("text_start"), F.col("text_end")))
     total = inside.groupBy("path").agg(F.count("*").alias("_n"))
-    idx = blocks.dense_index(inside.select("path", "addr").distinct(), ["path"], "addr", "idx")
+    idx = blocks.dense_index(inside.select("path", "addr").distinct(), ["path"], "addr", "idx", sparse=True)
     per = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
     want = F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))),
                        lambda i: F.least(i * per, F.col("_n") - 1) + 1)

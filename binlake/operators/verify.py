@@ -158,7 +158,7 @@ def compare_runs(original: DataFrame, recompiled: DataFrame, returns: DataFrame,
         return last.groupBy("pair_id", "value").agg(F.count("*").alias(name))
     both = (counted(original, "no").join(counted(recompiled, "nr"), ["pair_id", "value"], "full_outer")
             .withColumns({"no": F.coalesce("no", F.lit(0)), "nr": F.coalesce("nr", F.lit(0))}))
-    ends = blocks.running_sums(both, PAIR, "value", {"eo": F.col("no"), "er": F.col("nr")})
+    ends = blocks.running_sums(both, PAIR, "value", {"eo": F.col("no"), "er": F.col("nr")}, sparse=True)
     overlap = F.greatest(F.lit(0), F.least("eo", "er") - F.greatest(F.col("eo") - F.col("no"), F.col("er") - F.col("nr")))
     mem = ends.groupBy("pair_id").agg(F.sum(overlap).alias("hits"), F.sum("no").alias("writes_original"),
                                       F.sum("nr").alias("writes_recompiled"))

@@ -3,13 +3,15 @@
 A key (a campaign, a binary) may hold a third of all rows, so a plain ``Window.partitionBy(key)``
 would sort that third in a single task.  Here every key is cut into blocks of its integer order
 column; windows run inside (key, block), and one small row per block carries the prefix forward.
-The order column must be an integer that is unique within the key, so a block never holds more
-than ``block`` rows whatever the skew.
+The order column must be unique within the key.  Where it is an integer that counts up, blocks are equal stretches of it,
+and a block never holds more than ``block`` rows whatever the skew; where it is sparse, they lie between its quantiles.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 BLOCK = 50_000
 
 
@@ -17,11 +19,25 @@ def with_block(df: DataFrame, step: str, block: int = BLOCK) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col(step) / block).cast("bigint"))
 
 
+def with_ranged_block(df: DataFrame, keys: list[str], step: str, parts: int | None = None) -> DataFrame:
+    """Blocks between sampled quantiles of (keys, step), about equally full however sparse or clustered the steps are.
+
+    As many blocks as there are shuffle partitions; a key with a third of all rows lies in a third of them.  The rows are
+    written once, since sampling anew would draw other bounds.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *keys, step).withColumn("_blk", F.spark_partition_id().cast("bigint")))
+
+
 def running_sums(df: DataFrame, keys: list[str], step: str, sums: dict[str, Column],
-                 block: int = BLOCK) -> DataFrame:
-    """Inclusive running sums per key in step order, as extra columns."""
+                 block: int = BLOCK, sparse: bool = False) -> DataFrame:
+    """Inclusive running sums per key in step order, as extra columns.
+
+    ``sparse`` says that the steps don't follow each other closely, as addresses or values; blocks then hold equal numbers of rows.
+    """
     names = list(sums)
-    src = with_block(df.withColumns({f"_v_{n}": c for n, c in sums.items()}), step, block)
+    src = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    src = with_ranged_block(src, keys, step) if sparse else with_block(src, step, block)
     totals = src.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_blk", *[
@@ -45,9 +61,9 @@ def _on(local: DataFrame, keys: list[str]) -> Column:
 
 
 def dense_index(df: DataFrame, keys: list[str], step: str, name: str = "idx",
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, sparse: bool = False) -> DataFrame:
     """1-based position of every row within its key in step order."""
-    return running_sums(df, keys, step, {name: F.lit(1).cast("bigint")}, block)
+    return running_sums(df, keys, step, {name: F.lit(1).cast("bigint")}, block, sparse)
 
 
 def with_lookback(df: DataFrame, keys: list[str], idx: str, depth: int, block: int = BLOCK) -> DataFrame:

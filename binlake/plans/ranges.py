@@ -4,19 +4,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], point: str,
-               start: str = "start", end: str = "end", width: int = 65536, how: str = "inner") -> DataFrame:
+def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str = "start", end: str = "end") -> DataFrame:
     """Pair every point with the intervals ``start <= point < end`` of the same keys.
 
-    Intervals are listed once per bucket they touch, points once; the shuffle key is
-    (keys, bucket), so no nested loop is planned and a hot bucket can be split by the skew join.
+    An interval's buckets are as wide as the largest power of two in its length, so it touches three at most, and a point is listed
+    once per width that occurs (at most 63, a handful in practice).  Intervals of any lengths mix, and none is listed
+    along its whole span.  The shuffle key is (keys, width, bucket), so no nested loop is planned and a hot bucket can be split by the skew join.
     """
-    cover = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
-    left = points.withColumn("_bucket", F.floor(F.col(point) / width))
-    right = (intervals.filter(F.col(end) > F.col(start)).withColumn("_rb", F.explode(cover))
-             .withColumnsRenamed({k: f"_r_{k}" for k in keys}))
-    cond = F.col("_bucket") == F.col("_rb")
+    sized = intervals.filter(F.col(end) > F.col(start)).withColumn("_rw", F.length(F.bin(F.col(end) - F.col(start))) - 1)
+    right = sized.withColumn("_rb", F.explode(F.expr(f"sequence(shiftright(`{start}`, _rw), shiftright(`{end}` - 1, _rw))"))).withColumnsRenamed(
+        {k: f"_r_{k}" for k in keys})
+    widths = sized.agg(F.sort_array(F.collect_set("_rw")))  # one row of at most 63 numbers, found inside the same job
+    left = points.withColumn("_w", F.explode(widths.scalar())).withColumn("_bucket", F.expr(f"shiftright(`{point}`, _w)"))
+    cond = (F.col("_bucket") == F.col("_rb")) & (F.col("_w") == F.col("_rw"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     cond = cond & (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
-    return left.join(right, cond, how).drop("_bucket", "_rb", *[f"_r_{k}" for k in keys])
+    return left.join(right, cond).drop("_w", "_rw", "_bucket", "_rb", *[f"_r_{k}" for k in keys])

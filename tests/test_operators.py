@@ -108,6 +108,37 @@ def test_reach_of_many_starts(spark):
         assert rows <= (len({c for _, c in calls}) + 1) * (n // 64 + 1)
 
 
+def test_range_join_of_any_lengths(spark):
+    """One giant interval, a million-fold smaller ones inside it, overlaps, negative addresses and empty intervals."""
+    from binlake.plans.ranges import range_join
+    r = random.Random(6)
+    spans = [("a", -2**40, 2**60, -1), ("a", 10, 10, -2), ("a", 20, 5, -3), ("b", 0, 1, -4)]
+    spans += [("a", 4096 * k, 4096 * k + r.choice([1, 2, 3, 64, 4095, 4096, 9000]), k) for k in range(400)]
+    points = [("a", r.choice([r.randrange(400 * 4096), 4096 * r.randrange(400), -5, 2**59, 2**60, -2**41])) for _ in range(500)] + [("b", 0), ("b", 1), ("c", 0)]
+    got = range_join(spark.createDataFrame(points, "binary string, p bigint").withColumn("n", F.monotonically_increasing_id()),
+                     spark.createDataFrame(spans, "binary string, start bigint, end bigint, id int"), ["binary"], "p")
+    want = sorted((b, p, i) for b, p in points for c, s, e, i in spans if b == c and s <= p < e)
+    assert sorted((x.binary, x.p, x.id) for x in got.collect()) == want
+    listed = spark.createDataFrame(spans, "binary string, start bigint, end bigint, id int")
+    plan = range_join(spark.createDataFrame(points, "binary string, p bigint"), listed, ["binary"], "p")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_blocks_of_sparse_steps(spark):
+    """A key with most rows and random 64-bit steps: sums as brute force, no block with more than a few shares of the rows."""
+    r = random.Random(4)
+    rows = [("hot" if k % 3 else f"k{k % 40}", r.randrange(-2**62, 2**62), r.randrange(10)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "key string, step bigint, x bigint")
+    placed = blocks.with_ranged_block(df, ["key"], "step", 40)
+    assert placed.groupBy("_blk").count().agg(F.max("count")).first()[0] < 400
+    sums, want = {}, set()
+    for key, step, x in sorted(rows):
+        sums[key] = sums.get(key, 0) + x
+        want.add((key, step, sums[key]))
+    got = blocks.running_sums(df, ["key"], "step", {"s": F.col("x")}, sparse=True)
+    assert {(x.key, x.step, x.s) for x in got.collect()} == want and got.count() == len(rows)
+
+
 def test_context_block_text(spark):
     fns = spark.createDataFrame([("b", 1, "main", 'log("ready"); x = 4660; y = 0x1F4;'), ("b", 2, "helper", None), ("b", 3, "sub_3", None)],
                                 "binary string, addr bigint, name string, pseudocode string")
