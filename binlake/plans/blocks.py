@@ -94,46 +94,41 @@ def _compose(f: Column, g: Column) -> Column:
                     through(f["lo"]).alias("lo"), through(f["hi"]).alias("hi"))
 
 
-def _thread(batches):
-    """Fill ``before`` and ``after`` down the sorted rows; ``_first`` restarts from ``_entry``."""
-    import numpy as np
-    import pyarrow as pa
-    t = 0.0
-    for batch in batches:
-        num = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "lo", "hi", "_first", "_entry")}
-        before, after = np.empty(batch.num_rows), np.empty(batch.num_rows)
-        for i, (a, b, lo, hi, first, entry) in enumerate(zip(*(c.tolist() for c in num.values()))):
-            if first:
-                t = entry
-            before[i] = t
-            after[i] = t = min(max(a * t + b, lo), hi)
-        arrays = [*batch.columns, pa.array(before), pa.array(after)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "before", "after"])
-
-
-def _threaded(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of a key reach one task in order because the window asks for exactly that."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    flagged = rows.withColumn("_first", F.row_number().over(w) == 1)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flagged.schema.fields)
-    return flagged.mapInArrow(_thread, f"{ddl}, before double, after double").drop("_first", "_entry")
-
-
-def clamped_scan(df: DataFrame, keys: list[str], idx: str, start: float, block: int = BLOCK) -> DataFrame:
+#: Rows of a block of a scan, and levels of blocks of blocks: beyond these a key's blocks meet in one array.
+SCAN_BLOCK, SCAN_LEVELS = 256, 3
+
+
+def _scanned(steps: Column, entry: Column) -> Column:
+    """(before, after) of each step, from the value in front of the first one.  Arrays grow by copying, so blocks are small."""
+    def follow(acc: Column, x: Column) -> Column:
+        after = F.least(F.greatest(x["a"] * acc["t"] + x["b"], x["lo"]), x["hi"])
+        return F.struct(after.alias("t"), F.concat(acc["out"], F.array(F.struct(acc["t"].alias("before"), after.alias("after")))).alias("out"))
+    start = F.struct(entry.cast("double").alias("t"), F.lit([]).cast("array<struct<before:double,after:double>>").alias("out"))
+    return F.aggregate(steps, start, follow, lambda acc: acc["out"])
+
+
+def clamped_scan(df: DataFrame, keys: list[str], idx: str, start: float, block: int = SCAN_BLOCK, levels: int = SCAN_LEVELS) -> DataFrame:
     """Thread a value through ``t <- min(max(a*t + b, lo), hi)`` along each key.
 
-    ``df`` has columns ``a, b, lo, hi`` (``a >= 0``).  Adds ``before`` and ``after``: the value ahead of
-    and behind each row.  Such steps compose into steps of the same form, so each block (at most
-    ``block`` rows) is first reduced to one step, block entries are threaded over those few rows, and
-    then the rows of every block are filled in independently.
+    ``df`` has a dense 1-based ``idx``, columns ``a, b, lo, hi`` (``a >= 0``) and others of types that can be ordered.  Adds ``before`` and ``after``: the value
+    ahead of and behind each row.  Such steps compose into steps of the same form, so each block is reduced to one step, the steps of blocks are
+    threaded in the same way a level up, and then every block is filled in on its own, as one array.
     """
+    rest = [c for c in df.columns if c not in (*keys, "a", "b", "lo", "hi")]
     part = [*keys, "_blk"]
-    src = df.withColumn("_blk", F.floor((F.col(idx) - 1) / block).cast("bigint"))
-    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"),
-                    F.lit(float("inf")).alias("hi"))
-    one = F.aggregate(F.array_sort(F.collect_list(F.struct(idx, "a", "b", "lo", "hi"))), same, _compose)
-    steps = src.groupBy(*part).agg(one.alias("s")).select(*part, "s.*", F.lit(start).alias("_entry"))
-    entries = _threaded(steps, keys, "_blk").select(
-        *[F.col(k).alias(f"_k_{k}") for k in part], F.col("before").alias("_entry"))
-    joined = src.join(entries, _on(src, keys)).drop(*[f"_k_{k}" for k in part])
-    return _threaded(joined, part, idx).drop("_blk", "a", "b", "lo", "hi")
+    step = F.struct(F.col(idx).alias("_i"), *[F.col(c).cast("double").alias(c) for c in ("a", "b", "lo", "hi")], F.struct(*rest).alias("_row"))
+    top = levels == 0
+    grouped = df.withColumn("_blk", F.lit(0).cast("bigint") if top else F.floor((F.col(idx) - 1) / block).cast("bigint")).groupBy(*part).agg(
+        F.array_sort(F.collect_list(step)).alias("_s"))
+    if top:
+        placed = grouped.withColumn("_entry", F.lit(float(start)))
+    else:
+        same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+        steps = F.transform("_s", lambda x: F.struct(x["a"], x["b"], x["lo"], x["hi"]))
+        blocks = grouped.select(*keys, (F.col("_blk") + 1).alias("_n"), F.aggregate(steps, same, _compose).alias("s")).select(*keys, "_n", "s.*")
+        entries = clamped_scan(blocks, keys, "_n", start, block, levels - 1).select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_n") - 1).alias("_k__blk"), F.col("before").alias("_entry"))
+        placed = grouped.join(entries, _on(grouped, keys))
+    filled = F.zip_with("_s", _scanned(F.col("_s"), F.col("_entry")), lambda x, y: F.struct(x["_row"].alias("r"), y["before"].alias("before"), y["after"].alias("after")))
+    out = placed.select(*keys, F.explode(filled).alias("x"))
+    return out.select(*keys, "x.r.*", "x.before", "x.after").select(*[c for c in df.columns if c not in ("a", "b", "lo", "hi")], "before", "after")
