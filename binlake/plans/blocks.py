@@ -94,8 +94,8 @@ def _compose(f: Column, g: Column) -> Column:
                     through(f["lo"]).alias("lo"), through(f["hi"]).alias("hi"))
 
 
-#: Rows of a block of a scan, and levels of blocks of blocks: beyond these a key's blocks meet in one array.
-SCAN_BLOCK, SCAN_LEVELS = 256, 3
+#: Rows of a block of a scan.
+SCAN_BLOCK = 256
 
 
 def _scanned(steps: Column, entry: Column) -> Column:
@@ -107,26 +107,28 @@ def _scanned(steps: Column, entry: Column) -> Column:
     return F.aggregate(steps, start, follow, lambda acc: acc["out"])
 
 
-def clamped_scan(df: DataFrame, keys: list[str], idx: str, start: float, block: int = SCAN_BLOCK, levels: int = SCAN_LEVELS) -> DataFrame:
+def clamped_scan(df: DataFrame, keys: list[str], idx: str, start: float, block: int = SCAN_BLOCK, whole: bool = False) -> DataFrame:
     """Thread a value through ``t <- min(max(a*t + b, lo), hi)`` along each key.
 
     ``df`` has a dense 1-based ``idx``, columns ``a, b, lo, hi`` (``a >= 0``) and others of types that can be ordered.  Adds ``before`` and ``after``: the value
     ahead of and behind each row.  Such steps compose into steps of the same form, so each block is reduced to one step, the steps of blocks are
-    threaded in the same way a level up, and then every block is filled in on its own, as one array.
+    threaded in the same way a level up, and then every block is filled in on its own, as one array.  ``whole`` takes each key as one block: levels end
+    where no key has more blocks than a block has rows.
     """
     rest = [c for c in df.columns if c not in (*keys, "a", "b", "lo", "hi")]
     part = [*keys, "_blk"]
     step = F.struct(F.col(idx).alias("_i"), *[F.col(c).cast("double").alias(c) for c in ("a", "b", "lo", "hi")], F.struct(*rest).alias("_row"))
-    top = levels == 0
-    grouped = df.withColumn("_blk", F.lit(0).cast("bigint") if top else F.floor((F.col(idx) - 1) / block).cast("bigint")).groupBy(*part).agg(
+    grouped = df.withColumn("_blk", F.lit(0).cast("bigint") if whole else F.floor((F.col(idx) - 1) / block).cast("bigint")).groupBy(*part).agg(
         F.array_sort(F.collect_list(step)).alias("_s"))
-    if top:
+    if whole:
         placed = grouped.withColumn("_entry", F.lit(float(start)))
     else:
+        grouped = cut_lineage(grouped)  # read for the steps and for the rows
+        most = (grouped.agg(F.max("_blk")).first()[0] or 0) + 1
         same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
         steps = F.transform("_s", lambda x: F.struct(x["a"], x["b"], x["lo"], x["hi"]))
         blocks = grouped.select(*keys, (F.col("_blk") + 1).alias("_n"), F.aggregate(steps, same, _compose).alias("s")).select(*keys, "_n", "s.*")
-        entries = clamped_scan(blocks, keys, "_n", start, block, levels - 1).select(
+        entries = clamped_scan(blocks, keys, "_n", start, block, most <= block).select(
             *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_n") - 1).alias("_k__blk"), F.col("before").alias("_entry"))
         placed = grouped.join(entries, _on(grouped, keys))
     filled = F.zip_with("_s", _scanned(F.col("_s"), F.col("_entry")), lambda x, y: F.struct(x["_row"].alias("r"), y["before"].alias("before"), y["after"].alias("after")))
