@@ -180,9 +180,21 @@ def scan_carve_png(t):
     return scan.carve(t.blobs(), None, max_blob=None).filter("name = 'png'").select("path", "name", "offset", "size")
 
 
-@q()
+SIGNATURES = ", ".join(
+    f"({i}, '{name}', '{magic.hex()}', {limit}, " + ("'{}', {}, {})".format(scan.ASSET_ENDS[name][0].hex(), *scan.ASSET_ENDS[name][1:]) if name in scan.ASSET_ENDS else "NULL, 0, 0)")
+    for i, (name, magic, limit) in enumerate(scan.ASSETS))
+CARVE = f"""ca AS (SELECT path, h, pos AS o, sig, name, least(pos + lim, length(h) // 2) AS fin, mk, skip, keep
+        FROM bytes JOIN (VALUES {SIGNATURES}) g(sig, name, m, lim, mk, skip, keep) ON substr(h, CAST(2 * pos + 1 AS INT), length(m)) = m),
+ce AS (SELECT c.path, c.o, c.sig, min(b.pos) AS stop FROM ca c JOIN bytes b ON b.path = c.path AND b.pos >= c.o + c.skip AND b.pos + length(c.mk) // 2 <= c.fin
+        AND substr(b.h, CAST(2 * b.pos + 1 AS INT), length(c.mk)) = c.mk GROUP BY ALL),
+cs AS (SELECT ca.*, coalesce(least(stop + keep, fin), fin) - o AS size FROM ca LEFT JOIN ce USING (path, o, sig)),
+cf AS (SELECT * FROM cs WHERE size >= {scan.MIN_ASSET} QUALIFY row_number() OVER (PARTITION BY path, substr(h, CAST(2 * o + 1 AS INT), CAST(2 * least(size, {scan.PREFIX}) AS INT)) ORDER BY sig, o) = 1)"""
+
+
+@q("bytes", """SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY sig, o) AS INT) AS pos, name, o AS offset, size,
+    md5(unhex(substr(h, CAST(2 * o + 1 AS INT), CAST(2 * size AS INT)))) AS digest FROM cf""", CARVE)
 def scan_carve(t):
-    """All assets of every blob with their bytes' digest (checked by brute force in the tests)."""
+    """All assets of every blob with their bytes' digest."""
     b = t.blobs()
     return scan.carved_bytes(b, scan.carve(b, None, max_blob=None)).select("path", "pos", "name", "offset", "size", F.md5("payload").alias("digest"))
 
@@ -195,6 +207,15 @@ def files_carve_png(t):
     return read.select(_name("bin").alias("path"), "name", "offset", "size", F.md5("data").alias("digest"))
 
 
+@q("bytes", """SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY sig, o) AS INT) AS pos, name, o AS offset, size,
+    md5(unhex(substr(h, CAST(2 * o + 1 AS INT), CAST(2 * size AS INT)))) AS digest FROM cf""", CARVE)
+def files_carve(t):
+    """All assets of stored files, found in chunks and read by their ranges."""
+    found = scan.carve_chunks(_blob_chunks(t, after=scan.ASSET_BYTES))
+    read = byteranges.slices(found.withColumn("pieces", byteranges.piece(F.col("offset"), F.col("size"))))
+    return read.select(_name("bin").alias("path"), "pos", "name", "offset", "size", F.md5("data").alias("digest"))
+
+
 def _hits(t):
     """Function starts of one image per brand: addresses 64 apart, with uneven gaps."""
     return t.lean().select(F.col("binary").alias("path"), (F.col("addr") * 64 + F.col("size") % 7).alias("addr"))
