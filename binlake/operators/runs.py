@@ -126,6 +126,12 @@ def live_facts(calls: DataFrame, keys: list[str], order: list[str], keep: int =
         "returns": F.coalesce("returns", F.array().cast("array<bigint>"))})
 
 
+def live_values(calls: DataFrame, keys: list[str], step: str, value: str) -> DataFrame:
+    """Every value seen per function as rows (keys, pos, value) in step order: the uncut form of the samples, safe for hot functions."""
+    rows = calls.filter(F.col(value).isNotNull()).select(*keys, step, value)
+    return blocks.dense_index(rows, keys, step, "pos").select(*keys, "pos", value)
+
+
 def live_fuzz_summary(log: DataFrame, keys: list[str], keep: int = 50) -> DataFrame:
     """Live fuzzing per function; rows (keys, step, detached, crash_addr, payload, ret)."""
     key = F.when(F.col("detached") | F.col("crash_addr").isNotNull(),

@@ -221,8 +221,9 @@ def carved_bytes(blobs: DataFrame, assets: DataFrame) -> DataFrame:
     ).drop("content")
 
 
-def profile(blobs: DataFrame) -> DataFrame:
-    head = F.decode(F.substring("content", 1, 1000), "ISO-8859-1")
+def profile(blobs: DataFrame, head_bytes: int | None = None) -> DataFrame:
+    """Size, first bytes and share of printable bytes, of the whole blob or of its first ``head_bytes``."""
+    head = F.decode(F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes), "ISO-8859-1")
     shown = F.length(F.regexp_replace(head, r"[^\x20-\x7E]", ""))
     return blobs.select("path", F.length("content").cast("bigint").alias("size"),
                         F.lower(F.hex(F.substring("content", 1, 16))).alias("first_bytes"),

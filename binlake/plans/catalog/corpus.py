@@ -167,8 +167,8 @@ def sql_assets_png(t):
     return t.sql("SELECT b.path, a.name, a.offset, a.size FROM {blobs} b, LATERAL binary_assets(b.content, 32) a WHERE a.name = 'png'", blobs=t.blobs())
 
 
-@q("", """SELECT page_id, length(encode(html)) AS size, lower(left(hex(encode(html)), 32)) AS first_bytes, round(length(regexp_replace(a, '[^\\x20-\\x7E]', '', 'g')) / least(1000, length(hex(encode(html))) // 2), 6) AS printable_ratio
-    FROM (SELECT *, array_to_string([CASE WHEN substr(hx, CAST(2 * i + 1 AS INT), 2) BETWEEN '20' AND '7E' THEN 'a' ELSE chr(1) END for i in range(0, least(1000, length(hx) // 2))], '') AS a
+@q("", """SELECT page_id, length(encode(html)) AS size, lower(left(hex(encode(html)), 32)) AS first_bytes, round(length(regexp_replace(a, '[^\\x20-\\x7E]', '', 'g')) / (length(hex(encode(html))) // 2), 6) AS printable_ratio
+    FROM (SELECT *, array_to_string([CASE WHEN substr(hx, CAST(2 * i + 1 AS INT), 2) BETWEEN '20' AND '7E' THEN 'a' ELSE chr(1) END for i in range(0, length(hx) // 2)], '') AS a
     FROM (SELECT *, hex(encode(html)) AS hx FROM pages))""".replace("length(encode(html)) AS size", "length(hex(encode(html))) // 2 AS size"))
 def scan_profile(t):
     b = t.read("pages").select(F.col("page_id").alias("path"), F.encode("html", "UTF-8").alias("content"))

@@ -169,6 +169,11 @@ def runs_live_facts(t):
         F.array_join(F.transform("returns", lambda x: x.cast("string")), ",").alias("returns"))
 
 
+@q("live_calls", "SELECT binary, rva, row_number() OVER (PARTITION BY binary, rva ORDER BY step) AS pos, arg FROM live_calls WHERE arg IS NOT NULL")
+def runs_live_values(t):
+    return runs.live_values(t.live_calls(), ["binary", "rva"], "step", "arg")
+
+
 LIVE = """lf AS (SELECT campaign AS binary, addr AS rva, step, event_type = 'signup' AS detached, CASE WHEN event_type = 'error' THEN 'a' || (k % 3) END AS crash_addr,
     payload, step % 100 AS ret FROM fuzz_runs)"""
 
@@ -189,6 +194,12 @@ def runs_live_fuzz_summary(t):
         "returns", F.array_join(F.transform("returns", lambda x: x.cast("string")), ","))
 
 
+@q("fuzz_runs", """SELECT binary, rva, row_number() OVER (PARTITION BY binary, rva ORDER BY step) AS pos, ret FROM lf WHERE NOT detached AND crash_addr IS NULL""", LIVE)
+def runs_live_fuzz_returns(t):
+    log = _live_log(t)
+    return runs.live_values(log.filter(~F.col("detached") & F.col("crash_addr").isNull()), ["binary", "rva"], "step", "ret")
+
+
 @q("fuzz_runs", """SELECT binary, rva, coalesce(crash_addr, 'detached') AS crash_key, hex(arg_min(payload, step)) AS payload, min(step) AS first_step, count(*) AS hits
     FROM lf WHERE detached OR crash_addr IS NOT NULL GROUP BY ALL""", LIVE)
 def runs_live_fuzz_crashes(t):
