@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("graph", "text", "similarity", "verification", "runlogs", "instructions", "learning", "corpus", "streams")
+GROUPS = ("graph", "text", "similarity", "verification", "runlogs", "instructions", "learning", "corpus", "stores", "streams")
 
 
 def registry() -> dict:

@@ -277,7 +277,10 @@ def section_of(points: DataFrame, secs: DataFrame, point: str = "addr") -> DataF
     return range_join(points, spans, ["path"], point)
 
 
-def read_seeds(spark: SparkSession, path: str, limit: int = SEED_FILES) -> DataFrame:
-    """The first seed files by name, each non-empty and at most 1 MiB (size filter runs on metadata)."""
-    files = spark.read.format("binaryFile").load(path).filter((F.col("length") > 0) & (F.col("length") <= SEED_LIMIT))
-    return files.select("path", F.col("content").alias("payload")).orderBy("path").limit(limit)
+def read_seeds(spark: SparkSession, path: str, limit: int | None = SEED_FILES, max_bytes: int | None = SEED_LIMIT) -> DataFrame:
+    """Seed files, each non-empty; the first ``limit`` by name and of at most ``max_bytes``, where these are given (size filter runs on metadata)."""
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
+    seeds = files.select("path", F.col("content").alias("payload"))
+    return seeds if limit is None else seeds.orderBy("path").limit(limit)
