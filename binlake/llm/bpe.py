@@ -30,6 +30,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Pieces remembered in each of two generations; texts are cut to windows of so many characters.
 MEMO, WINDOW = 300_000, 1 << 16
+#: Beginnings of words remembered, with their last token.
+BEGUN = 200_000
 #: Longer pieces are not remembered.
 LONG = 96
 NEVER, SHORT = 1 << 60, (2, 1)
@@ -69,6 +71,7 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.cut = re.compile(f" (?=[^{WHITE}])")
         self.pair = lru_cache(1 << 16)(self._stays)
+        self.begun: dict[bytes, tuple[int, int]] = {}
         # what each token is merged from, and when; of several rules the first
         self.rank, self.parts = {}, {}
         for pair, (rank, new) in sorted(self.merges.items(), key=lambda x: x[1][0]):
@@ -141,6 +144,33 @@ class ByteBPE:
         found = last[n] = None, -1
         return found
 
+    def _ending(self, data: bytes) -> tuple[int, int]:
+        """Last token of the encoding of ``data`` and its size, as ``_last``; beginnings that many words share are remembered."""
+        found = self.begun.get(data)
+        if found is not None:
+            return found
+        whole, stays, n = self.whole.get, self.pair, len(data)
+        for size in self.sizes.get(data[n - 3:], SHORT) if n > 2 else SHORT:
+            token = whole(data[n - size:]) if size <= n else None
+            if token is not None:
+                head = data[:n - size]
+                if not head or stays((self.begun.get(head) or self._ending(head))[0], token):
+                    found = self.begun[data] = token, size
+                    return found
+        raise ValueError("a byte without a token")
+
+    def _short(self, data: bytes) -> list[int]:
+        """Token ids of bytes that are all there is."""
+        if len(self.begun) >= BEGUN:
+            self.begun.clear()
+        out = []
+        while data:
+            token, size = self._ending(data)
+            out.append(token)
+            data = data[:-size]
+        out.reverse()
+        return out
+
     def _path(self, data: bytes, n: int, last: dict[int, tuple]) -> list[int]:
         out = []
         while n:
@@ -154,6 +184,9 @@ class ByteBPE:
 
         Keeps the prefixes behind the last stable one: at most ``lookahead`` and a path that hasn't become stable.
         """
+        if isinstance(data, bytes) and len(data) <= self.lookahead:   # nothing of it is stable before its end
+            yield from self._short(data)
+            return
         block, stream = block or 2 * self.lookahead, iter(data)
         held, last = b"", {0: (None, 0)}
         while more := bytes(islice(stream, block)):
