@@ -23,13 +23,13 @@ from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, map_arrow, released, text_of
+from .common import documents, released, slices, text_of
 
 #: The pre-token pattern of byte-level BPE, and white space as Unicode defines it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Pieces remembered in each of two generations; texts are cut to windows of so many characters.
-MEMO, WINDOW = 300_000, 1 << 16
+MEMO, WINDOW = 150_000, 1 << 16
 #: Beginnings of words remembered, with their last token.
 BEGUN = 200_000
 #: Longer pieces are not remembered.
@@ -253,6 +253,12 @@ class ByteBPE:
         yield state.decode(b"", True)
 
 
+    def forget(self) -> None:
+        """Drops what was remembered: an idle worker keeps the vocabulary alone."""
+        self.memo = _Memo(self)
+        self.begun.clear()
+
+
 class _Memo(dict):
     """Two generations of results; the older one is dropped when the younger is full."""
 
@@ -289,7 +295,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         return pa.RecordBatch.from_arrays([*rest.columns, ids], names=[*rest.schema.names, "ids"])
     df = docs.select(*keep, text_of(docs, text).alias("_text"))
     schema = docs.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema
-    return map_arrow(df, "_text", run, schema)
+
+    def task(batches):
+        for part in slices(batches, "_text"):
+            yield run(part)
+        load(path).forget()
+    return df.mapInArrow(released(task), schema)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", block: int = 1 << 16) -> DataFrame:
