@@ -117,7 +117,7 @@ def nso_sections() -> Column:
         bss = F.struct(F.lit(".bss").alias("name"), (le_uint(h, 0x34, 4) + le_uint(h, 0x38, 4)).alias("va"), F.lit(0).cast("bigint").alias("raw_off"),
                        F.lit(0).cast("bigint").alias("raw_size"), le_uint(h, 0x3C, 4).alias("vsize"), F.lit(False).alias("is_code"))
         plain = le_uint(h, 0x0C, 4).bitwiseAND(F.lit(7)) == 0
-        return F.when(plain & (F.length(h) >= 2 * 0x40), F.array(
+        return F.when(plain & (F.length("content") >= 0x100), F.array(
             segment(".text", 0x10, True), segment(".rodata", 0x20, False), segment(".data", 0x30, False), bss))
     return let(header_hex(), rows)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from binlake.operators import annotate, context, graph, learn, match, runs, scan, similarity
-from binlake.plans import blocks, tables
+from binlake.plans import blocks
 from binlake.sources import corpus, export, tables as readers
 from binlake.streaming import stateful, stream
 
@@ -160,6 +160,54 @@ def test_clamped_scan(spark, block):
     assert "Arrow" not in plan and "Python" not in plan and "Pandas" not in plan
 
 
+def test_files_by_ranges(spark, tmp_path):
+    """Files in chunks of any size, headers, slices and section tables; contents never pass an exchange."""
+    from binlake.sources import byteranges
+    e64, code = elf()
+    nso = b"NSO0" + bytes(12) + le(256, 4) + le(0, 4) + le(8, 4) + bytes(4) + le(264, 4) + le(16, 4) + le(4, 4) + bytes(4) + le(268, 4) + le(32, 4) + le(2, 4) + le(5, 4)
+    nso += bytes(256 - len(nso)) + bytes(range(14))
+    packed = nso[:12] + b"\1" + nso[13:]
+    noise = random.Random(1).randbytes(5000) + b"hello printable world" * 30
+    png = b"xx\x89PNG\r\n\x1a\n" + bytes(60) + b"IEND\xaeB`\x82tail"
+    files = {"e64": e64, "sub/pe.exe": pe(), "nso": nso, "packed": packed, "mz": b"MZ" + bytes(100), "noise": noise, "png": png, "empty": b""}
+    blobs = spark.createDataFrame(list(files.items()), "path string, content binary").withColumn("base", F.lit(4096).cast("bigint"))
+    assert byteranges.store(blobs, str(tmp_path)).count() == len(files)
+    known = corpus.described(spark, str(tmp_path))
+    name = F.substring("path", len(str(tmp_path)) + 2, 100)
+    assert {r.n: (r.format, r.length) for r in known.select(name.alias("n"), "format", "length").collect()} == {
+        k: (f, len(files[k])) for k, f in (("e64", "ELF"), ("sub/pe.exe", "PE"), ("nso", "NSO"), ("packed", "NSO"), ("mz", "generic"), ("noise", "generic"), ("png", "generic"))}
+    secs = corpus.file_sections(known)
+    assert sorted(map(tuple, secs.withColumn("path", name).collect())) == sorted(map(tuple, corpus.sections(blobs).collect()))
+    assert [(r.name, r.va, r.raw_off, r.raw_size, r.vsize, r.is_code) for r in secs.filter(name == "nso").collect()] == [
+        (".text", 0, 256, 8, 8, True), (".rodata", 16, 264, 4, 4, False), (".data", 32, 268, 2, 2, False), (".bss", 34, 0, 0, 5, False)]
+    want = spark.createDataFrame([(f"{tmp_path}/e64", 0x1004, 0x5000), (f"{tmp_path}/sub/pe.exe", 0x140001010, 0x140001020)], "path string, va_start bigint, va_end bigint")
+    read = corpus.read_file_ranges(secs, want)
+    assert {bytes(r.bytes) for r in read.collect()} == {code[4:], bytes(range(16, 32))}
+    for size in (16, 1000, 1 << 20):
+        cut = lambda **around: byteranges.chunks(spark, str(tmp_path), F.lit(4096), size, **around).withColumn("path", name)  # noqa: E731, B023
+        pairs = [(scan.x86_starts(cut(before=1, after=3)), scan.x86_prologues(blobs)), (scan.strings_of(cut()), scan.strings(blobs)),
+                 (scan.carve_chunks(cut(after=scan.ASSET_BYTES)).drop("prefix"), scan.carve(blobs, None, max_blob=None).drop("prefix"))]
+        for got, want in pairs:
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())) and got.count() > 0
+    pieces = spark.createDataFrame([(f"{tmp_path}/png", [(2, 4), (0, 2), (70, 500), (9999, 5)]), (f"{tmp_path}/png", None)], "path string, pieces array<struct<off:bigint,n:bigint>>")
+    assert [r.data and bytes(r.data) for r in byteranges.slices(pieces).collect()] == [png[2:6] + png[:2] + png[70:], None]
+    for df in (known, secs, byteranges.slices(pieces)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_table_functions(spark):
+    from binlake.functions import tablefns
+    tablefns.register(spark)
+    rows = [("e64", elf()[0]), ("e32", elf(40, False)[0]), ("pe", pe()), ("broken", b"\x7fELF\x02"), ("mz", b"MZ"), ("none", None), ("text", b"ab\0long enough\1")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = spark.sql("SELECT d.path, s.* FROM {d} d, LATERAL binary_sections(d.content) s", d=df)
+    assert sorted(map(tuple, got.collect())) == sorted((r.path, r.name, r.va, r.raw_off, r.raw_size, r.vsize, r.is_code) for r in corpus.sections(df.filter("path IN ('e64', 'e32', 'pe')")).collect())
+    text = spark.sql("SELECT s.addr, s.text FROM {d} d, LATERAL binary_strings(d.content, 100, 5) s WHERE d.path = 'text'", d=df).collect()
+    assert [tuple(r) for r in text] == [(103, "long enough")]
+    asset = spark.createDataFrame([(b"BM" + bytes(80),)], "content binary")
+    assert spark.sql("SELECT a.name, a.offset, a.size FROM {d} d, LATERAL binary_assets(d.content, 32) a", d=asset).collect() == [("bmp", 0, 82)]
+
+
 def test_context_block_text(spark):
     fns = spark.createDataFrame([("b", 1, "main", 'log("ready"); x = 4660; y = 0x1F4;'), ("b", 2, "helper", None), ("b", 3, "sub_3", None)],
                                 "binary string, addr bigint, name string, pseudocode string")
