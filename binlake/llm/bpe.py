@@ -273,24 +273,33 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``ids``, the token ids of every whole text."""
-    def run(b):
+def _text(coder: ByteBPE, ids, block: int) -> str:
+    """What an array of ids decodes to, ``block`` ids at a time."""
+    return "".join(coder.decode(ids[k:k + block].tolist() for k in range(0, len(ids), block)))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False, block: int = 1 << 16) -> DataFrame:
+    """``keep`` and ``ids``, the token ids of every whole text; with ``back`` also ``decoded``, the text that these ids give, from the same worker."""
+    def run(b, coder):
         import numpy as np
         import pyarrow as pa
-        coder = load(path)
         coded = [b"".join(coder.encode(t)) for t in b.column("_text").to_pylist()]
         ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        flat = np.frombuffer(b"".join(coded), np.int32)
         rest = b.drop_columns(["_text"])
-        return pa.RecordBatch.from_arrays([*rest.columns, ids], names=[*rest.schema.names, "ids"])
+        made = {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
+        if back:
+            made["decoded"] = pa.array([_text(coder, flat[i:j], block) for i, j in zip(ends, ends[1:])], pa.string())
+        return pa.RecordBatch.from_arrays([*rest.columns, *made.values()], names=[*rest.schema.names, *made])
     df = docs.select(*keep, text_of(docs, text).alias("_text"))
-    schema = docs.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema
+    new = [F.lit(None).cast("array<int>").alias("ids"), F.lit("").alias("decoded")]
+    schema = docs.select(*keep, *new[:1 + back]).schema
 
     def task(batches):
+        coder = load(path)
         for part in slices(batches, "_text"):
-            yield run(part)
-        load(path).forget()
+            yield run(part, coder)
+        coder.forget()
     return df.mapInArrow(released(task), schema)
 
 
@@ -299,16 +308,13 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", block: int = 1 << 16)
     schema = coded.select("*", F.lit("").alias("decoded")).schema
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        coder = load(path)
+        coder, none = load(path), np.zeros(0, np.int32)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                texts = []
-                for row in b.column(ids):
-                    flat = row.values
-                    parts = () if flat is None else (flat[k:k + block].tolist() for k in range(0, len(flat), block))
-                    texts.append("".join(coder.decode(parts)))
+                texts = [_text(coder, none if row.values is None else row.values.to_numpy(zero_copy_only=False), block) for row in b.column(ids)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
     return coded.mapInArrow(released(run), schema)
 
@@ -321,7 +327,7 @@ def vocabulary() -> str:
 def stage(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Ids of every text, their number, and digests of the ids and of the text they decode to."""
     path = path or vocabulary()
-    return decode(encode(docs, path, keep=("doc_id",)), path).select(
+    return encode(docs, path, back=True).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
