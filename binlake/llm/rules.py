@@ -117,8 +117,9 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
 b AS (SELECT doc_id, ls, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
              len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
              list_filter(ls, lambda x: (regexp_matches(x, '{_q(TERMINAL)}') OR regexp_matches(x, '{_q(SENTENCE_END)}')) AND len(regexp_extract_all(x, '{_q(NOISE)}')) * 40 <= len(x)
-                AND len(regexp_extract_all(x, '{_q(MENU)}')) < 3 AND NOT regexp_matches(x, '{_q(MENU_WORD)}')
-                AND NOT regexp_matches(x, '{_q(BOILERPLATE)}')) AS good FROM w)
+                AND NOT (len(regexp_extract_all(x, '{_q(MENU)}')) >= 3 AND len(regexp_extract_all(x, '{_q(MENU)}')) * {MENU_SPAN} >= len(x))
+                AND NOT regexp_matches(x, '{_q(MENU_WORD)}')
+                AND NOT (regexp_matches(x, '{_q(BOILERPLATE)}') AND (len(x) - len(regexp_replace(x, '{_q(BOILERPLATE)}', '', 'g'))) * {PHRASE_SHARE} >= len(x))) AS good FROM w)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words,
        n_words < {MIN_WORDS} OR 100 * coalesce(n, 0) > {REPEAT_PERCENT} * n_words AS base_failed,
        NOT (n_words < {MIN_WORDS} OR 100 * coalesce(n, 0) > {REPEAT_PERCENT} * n_words)

@@ -23,19 +23,14 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN, ACCESS_MIN, TOKEN_MIN = 6, 20, 20
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-#: Encodings in the order they are tried: name, pattern of the whole token, alphabet.
+#: Encodings in the order they are tried, smallest alphabet first: name, pattern of the whole token, alphabet.
 ENCODINGS = (
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-)
-#: With the alphabets of one case beside them, smallest first.  The SQL of op9_secrets has those of ENCODINGS only.
-ALL_ENCODINGS = (
-    *ENCODINGS[:2],
     ("base32 lower", r"^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36 lower", r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base36 upper", r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ENCODINGS[2],
+    ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 FDR = 0.05
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
@@ -94,7 +89,7 @@ def _battery(token: Column, digit: bool = True) -> Column:
     mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
     both = bare.rlike("[a-z]") & bare.rlike("[A-Z]")
     out = F.lit(None).cast("double")
-    for name, pattern, alphabet in reversed(ALL_ENCODINGS):
+    for name, pattern, alphabet in reversed(ENCODINGS):
         fits = bare.rlike(pattern) & (mixed if name != "base64" else mixed & both if digit else both)
         out = F.when(fits, _let(_symbols(F.lower(bare) if name == "hex" else bare, alphabet), _tests(len(alphabet)))).otherwise(out)
     return out

@@ -422,19 +422,47 @@ def test_substrings(spark, odd):
     assert substrings.deduplicated(odd[1]).count() == len(odd[0])
 
 
+def by_sql(sql, rows):
+    """Rows of a query over a table of documents with these ids and texts."""
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return con.execute(sql).fetchall()
+
+
+def test_rules_by_sql(spark):
+    """Lines long and short around the limits of separators and phrases, as the operator and as its SQL judge them."""
+    r = random.Random(5)
+    extra = ["a | b | c | d", "Home > News > Sport > More", "All rights reserved", "we use cookies and accept all cookies", "# ## !!", "read more", ""]
+
+    def line():
+        text = " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(r.choice((3, 12, 40, 60, 100))))
+        return f"{text} {r.choice(extra)} {r.choice(extra)}{r.choice(('.', '', '. And'))}"
+    rows = [(i, "\n".join(line() for _ in range(r.randrange(1, 5)))) for i in range(400)] + [(400, None), (401, "")]
+    spared = [x for _, t in rows[:400] for x in t.split("\n") if len(re.findall(rules.MENU, x)) >= 3 or re.search(rules.BOILERPLATE, x)]
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines"]
+    got = [tuple(x) for x in rules.judged(spark.createDataFrame(rows, "doc_id bigint, text string")).select(*columns).collect()]
+    assert sorted(got) == sorted(by_sql(rules.SQL, rows))
+    # a rule that looks at separators and phrases whatever the line's length would remove more than this
+    plain = sum(not (re.search(rules.TERMINAL, x) or re.search(rules.SENTENCE_END, x)) or len(re.findall(rules.NOISE, x)) * 40 > len(x) or bool(re.search(rules.MENU_WORD, x))
+                or x in spared for _, t in rows[:400] for x in t.split("\n"))
+    assert 0 < sum(x[-1] for x in got) < plain
+
+
 def test_secrets_by_sql(spark):
     """The whole operator, battery included, against its SQL on texts full of keys and names."""
     import base64
-
-    import duckdb
     r = random.Random(4)
     names = ["someVeryLongCamelCaseIdentifierNumber2", "1234567890abcdefABCDEFabcdef1234567890", "ABABABABABABABAB2A2A2A2A2A2A", "password=hunter2hunter", "0123456789abcdef" * 2]
-    makers = [lambda: r.choice(names), lambda: base64.b64encode(r.randbytes(30)).decode(), lambda: base64.urlsafe_b64encode(r.randbytes(22)).decode(),
+    small, large = "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    makers = [lambda: r.choice(names), lambda: "".join(r.choices(small, k=32)), lambda: "".join(r.choices(large, k=32)), lambda: "".join(r.choices(small[10:] + "234567", k=32)), lambda: base64.b64encode(r.randbytes(30)).decode(), lambda: base64.urlsafe_b64encode(r.randbytes(22)).decode(),
               lambda: base64.b32encode(r.randbytes(25)).decode()]
     rows = [(i, " é ".join(r.choice(makers)() for _ in range(r.randrange(6)))) for i in range(200)]
     got = secrets.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", secrets.as_text("_spans").alias("spans")).collect()
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    want = {x[0]: x[-1] for x in con.execute(secrets.SQL).fetchall()}
+    want = {x[0]: x[-1] for x in by_sql(secrets.SQL, rows)}
+    # tokens of each alphabet are among what both find
+    texts = dict(rows)
+    found = [texts[i][int(a):int(b)] for i, spans in want.items() for kind, a, b in (x.split(":") for x in spans.split(",") if x) if kind == "random"]
+    assert all(any(re.search(pattern, t.rstrip("=")) for t in found) for name, pattern, _ in secrets.ENCODINGS if name != "hex")
     assert {x.doc_id: x.spans for x in got} == want and sum(v.count("random") for v in want.values()) > 100

@@ -17,11 +17,17 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 
 
+def fails(line):
+    bars, phrases = len(re.findall(rules.MENU, line)), len(line) - len(re.sub(rules.BOILERPLATE, "", line))
+    return (not (re.search(rules.TERMINAL, line) or re.search(rules.SENTENCE_END, line)) or len(re.findall(rules.NOISE, line)) * 40 > len(line)
+            or bars >= 3 and bars * rules.MENU_SPAN >= len(line) or re.search(rules.MENU_WORD, line) is not None
+            or phrases > 0 and phrases * rules.PHRASE_SHARE >= len(line))
+
+
 def cleaned(text):
     """Text without failed lines, or None if rejected."""
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    good = [x for x in lines if (re.search(rules.TERMINAL, x) or re.search(rules.SENTENCE_END, x)) and len(re.findall(rules.NOISE, x)) * 40 <= len(x)
-            and len(re.findall(rules.MENU, x)) < 3 and not re.search(rules.MENU_WORD, x) and not re.search(rules.BOILERPLATE, x)]
+    good = [x for x in lines if not fails(x)]
     whole = sum(map(len, lines))
     if base(text)[5] or 1 - sum(map(len, good)) / max(whole, 1) > rules.MAX_LOSS:
         return None
