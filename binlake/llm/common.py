@@ -5,6 +5,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder
+
 #: Words are runs of anything but these separators, in Java, Python and SQL syntax alike.
 SEPARATORS = r"\x20\x09-\x0D"
 SLICE = 4 << 20
@@ -14,12 +16,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can write; a local session without the setting gets one below its warehouse."""
-    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-            or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there by all that follows."""
     context = df.sparkSession.sparkContext
