@@ -1,4 +1,4 @@
-"""Files by byte range: a data source whose partitions are (path, offset, length), and slices for rows that name ranges.
+"""Files by byte range: rows (path, offset, length) that tasks list, deal out and read, and slices for rows that name ranges.
 
 A header costs its own bytes, a file may be larger than any row can be, and bytes are read in the task that looks at them, so no file content is
 ever shuffled.  Paths are local or of a store that ``pyarrow.fs`` opens (file, s3, gs, hdfs); all executors must reach them.
@@ -6,16 +6,22 @@ ever shuffled.  Paths are local or of a store that ``pyarrow.fs`` opens (file, s
 from __future__ import annotations
 
 import fnmatch
+import functools
+import itertools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..session import cut_lineage
 
 CHUNK, HEAD = 1 << 22, 64
 #: Bytes and ranges that one task reads.
 TASK_BYTES, TASK_RANGES = 1 << 26, 4096
+#: Tasks of one step at most; above, tasks grow.
+MOST_TASKS = 4096
 SCHEMA = "path string, length bigint, off bigint, lead int, own int, data binary"
 
 
@@ -26,40 +32,67 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-class Ranges(InputPartition):
-    """Ranges (path, length of the file, offset, own bytes) of one task."""
+def _entries(folder: str) -> Iterator[tuple[str, bool, int | None]]:
+    """(path, whether a folder, length where the listing tells it) of what lies directly in a folder; local ones are streamed."""
+    fs, root = opened(folder)
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(root) as found:
+            for e in found:
+                if e.is_dir() or e.is_file():
+                    yield f"{folder.rstrip('/')}/{e.name}", e.is_dir(), None
+        return
+    prefix = folder[:len(folder) - len(root)] if folder.endswith(root) else ""
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.type in (pafs.FileType.File, pafs.FileType.Directory):
+            yield prefix + info.path, info.type == pafs.FileType.Directory, info.size
+
+
+def _listing(glob: str):
+    schema = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("length", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                entries = (e for e in _entries(path) if e[1] or _wanted(e[0].rpartition("/")[2], glob))
+                while held := list(itertools.islice(entries, 1 << 14)):
+                    yield _batch(held, schema)
+    return run
+
+
+def _wanted(name: str, glob: str) -> bool:
+    return not name.startswith((".", "_")) and fnmatch.fnmatch(name, glob)
+
 
-    def __init__(self, ranges: list[tuple[str, int, int, int]]):
-        self.ranges = ranges
+def _lengths(batches) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64())])
+    for batch in batches:
+        known = zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())
+        rows = [(path, os.stat(opened(path)[1]).st_size if length is None else length) for path, length in known]
+        yield _batch(rows, schema) if rows else schema.empty_table().to_batches()[0]
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root, self.glob = options["path"], options.get("glob", "*")
-        self.chunk, self.head = int(options.get("chunk", CHUNK)), int(options.get("head", 0))
-        self.before, self.after = int(options.get("before", 0)), int(options.get("after", 0))
+def listed(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """(path, length) of the non-empty files below ``path`` whose name matches; names that begin with a dot or a line are left out.
+
+    Folders are listed by tasks, one level of the tree a round, and no name passes the driver.  A local folder's names are
+    streamed and their lengths read by other tasks; of another store one task holds one folder's names.
+    """
+    folders, rounds = spark.createDataFrame([(path,)], "path string"), []
+    while True:
+        found = cut_lineage(folders.mapInArrow(_listing(glob), "path string, folder boolean, length bigint"))
+        rounds.append(found.filter("NOT folder"))
+        folders = found.filter("folder").select("path")
+        below = folders.count() if recursive else 0
+        if not below:
+            break
+        folders = folders.repartition(min(below, MOST_TASKS), "path")
+    names = functools.reduce(DataFrame.unionByName, rounds)
+    names = names.repartition(_tasks(names.count(), 0), "path")
+    return cut_lineage(names.select("path", "length").mapInArrow(_lengths, "path string, length bigint").filter("length > 0"))
 
-    def partitions(self) -> list[Ranges]:
-        fs, root = opened(self.root)
-        prefix = self.root[:len(self.root) - len(root)] if self.root.endswith(root) else ""
-        out, now, held = [], [], 0
-        for info in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
-            name = info.base_name
-            if info.type != pafs.FileType.File or not info.size or name.startswith((".", "_")) or not fnmatch.fnmatch(name, self.glob):
-                continue
-            sizes = [min(self.head, info.size)] if self.head else [min(self.chunk, info.size - at) for at in range(0, info.size, self.chunk)]
-            for k, own in enumerate(sizes):
-                if now and (held + own > TASK_BYTES or len(now) >= TASK_RANGES):
-                    out.append(Ranges(now))
-                    now, held = [], 0
-                now.append((prefix + info.path, info.size, k * self.chunk, own))
-                held += own
-        return [*out, Ranges(now)]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        rows = ((path, length, off, *_piece(path, length, off, own, self.before, self.after)) for path, length, off, own in partition.ranges)
-        yield from _batches(rows, pa.schema([("path", pa.string()), ("length", pa.int64()), ("off", pa.int64()), ("lead", pa.int32()),
-                                             ("own", pa.int32()), ("data", pa.binary())]))
+def _tasks(ranges: int, size: int) -> int:
+    return min(MOST_TASKS, max(1, -(-ranges // TASK_RANGES), -(-size // TASK_BYTES)))
 
 
 def _piece(path: str, length: int, off: int, own: int, before: int, after: int) -> tuple[int, int, bytes]:
@@ -85,27 +118,26 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
-class ByteRanges(DataSource):
-    """Options: glob, chunk (own bytes of a row), before and after (further bytes around them), head (only that many first bytes)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "byte_ranges"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
-
-
-def load(spark: SparkSession, path: str, **options) -> DataFrame:
+def load(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK, head: int = 0, before: int = 0, after: int = 0) -> DataFrame:
     """Rows (path, length, off, lead, own, data) of the files below ``path``, empty ones left out.
 
-    ``data`` starts ``lead`` bytes before offset ``off`` and holds ``own`` bytes from there and those behind that were asked for.
+    ``data`` starts ``lead`` bytes before offset ``off`` and holds ``own`` bytes from there and those behind that were asked for
+    (``before``, ``after``).  ``chunk`` is the own bytes of a row; ``head`` asks for only that many first bytes of each file.
     """
-    spark.dataSource.register(ByteRanges)
-    return spark.read.format("byte_ranges").options(**{k: str(v) for k, v in options.items()}).load(path)
+    files = listed(spark, path, glob)
+    starts = F.array(F.lit(0).cast("bigint")) if head else F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(chunk).cast("bigint"))
+    own = F.least(F.lit(head), F.col("length")) if head else F.least(F.lit(chunk), F.col("length") - F.col("off"))
+    ranges = files.select("path", "length", F.explode(starts).alias("off")).withColumn("own", own.cast("bigint"))
+    size = files.agg(F.sum(F.lit(1) if head else F.ceil(F.col("length") / chunk)), F.sum(F.least(F.lit(head), F.col("length")) if head else F.col("length"))).first()
+    ranges = cut_lineage(ranges.repartition(_tasks(*(x or 0 for x in size)), "path", "off"))
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("off", pa.int64()), ("lead", pa.int32()), ("own", pa.int32()), ("data", pa.binary())])
+
+    def read(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            yield from _batches(((p, length, off, *_piece(p, length, off, own, before, after)) for p, length, off, own in rows), schema)
+
+    return ranges.mapInArrow(read, SCHEMA)
 
 
 def chunks(spark: SparkSession, path: str, base: Column | None = None, size: int = CHUNK, before: int = 0, after: int = 0, glob: str = "*") -> DataFrame:

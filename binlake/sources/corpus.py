@@ -1,6 +1,7 @@
 """Binary corpora: reading, format detection, architecture, sections, byte ranges."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -278,9 +279,10 @@ def section_of(points: DataFrame, secs: DataFrame, point: str = "addr") -> DataF
 
 
 def read_seeds(spark: SparkSession, path: str, limit: int | None = SEED_FILES, max_bytes: int | None = SEED_LIMIT) -> DataFrame:
-    """Seed files, each non-empty; the first ``limit`` by name and of at most ``max_bytes``, where these are given (size filter runs on metadata)."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0)
+    """Seed files of a folder, each non-empty; the first ``limit`` by name and of at most ``max_bytes``, where these are given (size filter runs on metadata)."""
+    root = path if "://" in path or path.startswith("file:") else f"file:{os.path.abspath(path)}"
+    files = byteranges.listed(spark, root, recursive=False)
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
-    seeds = files.select("path", F.col("content").alias("payload"))
-    return seeds if limit is None else seeds.orderBy("path").limit(limit)
+    files = files if limit is None else files.orderBy("path").limit(limit)
+    return byteranges.slices(files.select("path", byteranges.piece(F.lit(0), F.col("length")).alias("pieces")), data="payload")

@@ -195,6 +195,26 @@ def test_files_by_ranges(spark, tmp_path):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """No scan that plans files or ranges on the driver; nested and hidden files, globs, a folder's own files alone."""
+    from binlake.sources import byteranges
+    for name, data in (("a.bin", b"12345"), ("x/b.bin", b"678"), ("x/y/c.txt", b"9"), ("x/.hidden", b"h"), ("_meta", b"m"), ("x/empty", b"")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    def names(df):
+        return sorted((r.path[len(str(tmp_path)) + 1:], r.length) for r in df.collect())
+    assert names(byteranges.listed(spark, str(tmp_path))) == [("a.bin", 5), ("x/b.bin", 3), ("x/y/c.txt", 1)]
+    assert names(byteranges.listed(spark, str(tmp_path), "*.bin")) == [("a.bin", 5), ("x/b.bin", 3)]
+    assert names(byteranges.listed(spark, str(tmp_path), recursive=False)) == [("a.bin", 5)]
+    cut = byteranges.load(spark, str(tmp_path), chunk=2, before=1)
+    assert sorted((r.off, r.lead, r.own, bytes(r.data)) for r in cut.collect() if r.length == 5) == [(0, 0, 2, b"12"), (2, 1, 2, b"234"), (4, 1, 1, b"45")]
+    seeds = corpus.read_seeds(spark, str(tmp_path / "x"), None, None)
+    assert [(r.path, bytes(r.payload)) for r in seeds.collect()] == [(f"file:{tmp_path}/x/b.bin", b"678")]
+    for df in (cut, corpus.described(spark, str(tmp_path)), seeds):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchScan" not in plan and "FileScan" not in plan
+
+
 def test_table_functions(spark):
     from binlake.functions import tablefns
     tablefns.register(spark)
