@@ -2,22 +2,27 @@
 
 A document's score is linear in measures of its text.  It is learnt from preference pairs, a good document over a bad
 one: the chance that the good one wins is the logistic function of the difference of their scores, so the loss is
-logistic on differences of measures.  The threshold is a quantile of the scores of the labelled sample, weighted to the
-shares of the labels: the share of bad ones lies below it.  Scores are shifted so that the threshold is ``CUT``.
+logistic on differences of measures.  The threshold is the exact quantile of the scores of all labelled documents: as many lie
+below it as are labelled bad.  Scores are shifted so that the threshold is ``CUT``.
 
-The sample has at most ``SAMPLE`` labelled rows of each label, the lowest by a hash of the id; every text is scored
-whole.  Null texts count as empty and get the score of their measures; repeated rows get equal scores; a null id is
-never held out and never labelled.  Without labels of both kinds all scores are 1.  Other columns are never read.
+Every labelled row that is not held out takes part.  Rows are dealt by a hash of the id to groups of about ``GROUP``; rows of
+the rarer label go to as many groups as give each about ``RARE`` of them.  In a group each row of the commoner side meets
+``MEETINGS`` of the other.  Newton steps sum over all pairs in tasks; sums and counts alone visit the driver.
+
+Null texts count as empty and get the score of their measures; repeated rows get equal scores; a null id is
+never held out and never labelled.  A repeated id is learnt once per label.  Without labels of both kinds all scores are 1.  Other columns are never read.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
 from .common import documents, map_arrow, text_of
 
-SAMPLE, PAIRS, FOLDS, CUT, RIDGE = 3000, 60_000, 5, 0.3, 1e-3
+FOLDS, CUT, RIDGE = 5, 0.3, 1e-3
+GROUP, RARE, MEETINGS, BINS = 4096, 32, 8, 1024
 MEASURES = ("capitals", "symbols", "marks", "bars", "digits", "breaks", "distinct", "same", "compressed", "word", "words", "few", "ended")
 
 
@@ -60,51 +65,110 @@ class Model:
     weights: list[float]
     shift: float
 
-    def score(self):
-        """Column of the score, from the measures."""
-        s = F.lit(-self.shift)
+    def linear(self) -> Column:
+        """Weighted sum of the measures."""
+        s = F.lit(0.0)
         for name, w in zip(MEASURES, self.weights):
             s = s + F.col(name) * w
-        return 1 / (1 + F.exp(-s) * ((1 - CUT) / CUT))
+        return s
 
+    def score(self) -> Column:
+        """Column of the score, from the measures."""
+        return 1 / (1 + F.exp(self.shift - self.linear()) * ((1 - CUT) / CUT))
 
-def fit(good, bad, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Model:
-    """Weights by Newton steps on the logistic loss over differences of random pairs, then the quantile."""
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality and the measures of all rows that may be learnt from, one per id and label."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
+        .filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & ~held_out())
+    # texts are reduced to measures before the join, so none is shuffled
+    return measured(texts).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*MEASURES)).alias("m")).select("doc_id", "quality", "m.*")
+
+
+def groups(rows: DataFrame, counts: dict[int, int], size: int = GROUP) -> DataFrame:
+    """Differences of measures of the pairs of each group, as bytes of doubles; every row is in at least one pair."""
+    n = max(1, (counts[0] + counts[1]) // size)
+    rare = min(counts, key=counts.get)
+    copies = min(n, -(-RARE * n // counts[rare]))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(n))
+    to = F.when(F.col("quality") == rare, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("copy", F.explode(to)).withColumn("part", F.pmod(at + F.col("copy"), F.lit(n)))
+
+    def pairs(group):
+        import numpy as np
+        import pandas as pd
+        group = group.sort_values("doc_id")
+        sides = [group[group["quality"] == q][list(MEASURES)].to_numpy() for q in (0, 1)]
+        bad, good = sides
+        if not len(bad) or not len(good):
+            return pd.DataFrame({"part": [], "pairs": []})
+        most, few = max(len(bad), len(good)), min(len(bad), len(good))
+        i = np.tile(np.arange(most), min(MEETINGS, few))
+        j = (i + np.repeat(np.arange(min(MEETINGS, few)), most) * max(1, few // MEETINGS)) % few
+        d = good[j] - bad[i] if len(bad) == most else good[i] - bad[j]
+        return pd.DataFrame({"part": group["part"].iloc[:1].to_numpy(), "pairs": [d.astype("<f8").tobytes()]})
+
+    return dealt.groupBy("part").applyInPandas(pairs, "part bigint, pairs binary")
+
+
+def _sums(pairs: DataFrame, w):
+    """Number of pairs, gradient and curvature of the loss at ``w`` over all pairs; one row per task is gathered."""
     import numpy as np
-    r = np.random.default_rng(seed)
-    d = good[r.integers(len(good), size=pairs)] - bad[r.integers(len(bad), size=pairs)]
-    w = np.zeros(d.shape[1])
+    k = len(w)
+
+    def run(batches):
+        import pyarrow as pa
+        total = np.zeros(1 + k + k * k)
+        for batch in batches:
+            for raw in batch.column("pairs"):
+                d = np.frombuffer(raw.as_buffer(), "<f8").reshape(-1, k)
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))          # chance that the bad one wins
+                total += np.concatenate([[len(d)], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    total = np.sum([r["sums"] for r in pairs.select("pairs").mapInArrow(run, "sums array<double>").collect()], axis=0)
+    return total[0], total[1:k + 1], total[k + 1:].reshape(k, k)
+
+
+def fit(pairs: DataFrame) -> list[float]:
+    """Weights by Newton steps on the logistic loss over all pairs."""
+    import numpy as np
+    w = np.zeros(len(MEASURES))
     for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))          # chance that the bad one wins
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(len(w)), d.T @ p / pairs - RIDGE * w)
+        n, slope, curve = _sums(pairs, w)
+        step = np.linalg.solve(curve / n + RIDGE * np.eye(len(w)), slope / n - RIDGE * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    scores = np.concatenate([bad @ w, good @ w])
-    weight = np.concatenate([np.full(len(bad), share_bad / len(bad)), np.full(len(good), (1 - share_bad) / len(good))])
-    order = np.argsort(scores, kind="stable")
-    k = int(np.searchsorted(np.cumsum(weight[order]), share_bad))
-    k = min(k, len(scores) - 2)
-    return Model(w.tolist(), float((scores[order[k]] + scores[order[k + 1]]) / 2))
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from labelled rows that are not held out."""
-    import numpy as np
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
-        .filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
-    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    return w.tolist()
+
+
+def nth(values: DataFrame, n: int) -> float:
+    """The value of rank ``n`` from 0 in the column ``x``, exactly: counts of ever narrower bins."""
+    low, high = values.agg(F.min("x"), F.max("x")).first()
+    while low < high:
+        inside = values.filter((F.col("x") >= low) & (F.col("x") <= high))
+        bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("x") - low) / (high - low) * BINS))
+        bins = inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        for r in sorted(bins, key=lambda r: r["low"]):
+            if n < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            n -= r["n"]
+    return low
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from all labelled rows that are not held out."""
+    rows = cut_lineage(labelled(docs, labels))
+    counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    picked = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["doc_id"]))        # two samples at most
-    rows = measured(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")).dropDuplicates(["doc_id"]) \
-        .join(chosen, "doc_id").orderBy("doc_id").limit(2 * sample).collect()
-    x = np.array([[r[m] for m in MEASURES] for r in rows]).reshape(-1, len(MEASURES))
-    y = np.array([r["quality"] for r in rows])
-    if not (y == 0).any() or not (y == 1).any():
-        return None
-    return fit(x[y == 1], x[y == 0], counts[0] / (counts[0] + counts[1]))
+    model = Model(fit(cut_lineage(groups(rows, counts))), 0.0)
+    scores = cut_lineage(rows.select(model.linear().alias("x")))
+    model.shift = (nth(scores, counts[0] - 1) + nth(scores, counts[0])) / 2
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -177,6 +177,30 @@ def test_ranking_on_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
 
 
+def test_ranking_learns_from_all_labels(spark):
+    """Every labelled row is in a pair, in each group both labels; the threshold leaves as many below as are labelled bad."""
+    import numpy as np
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("Some words here"), F.md5(F.col("id").cast("string")), F.expr("repeat('a ', id % 50)")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 9 > 0).cast("int").alias("quality"))
+    rows = ranking.labelled(docs, labels)
+    assert "_text" not in "".join(x for x in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    rows = rows.cache()
+    want = labels.filter(~ranking.held_out())
+    assert rows.count() == want.count() > 6000
+    counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    found = ranking.groups(rows, counts, 500).collect()
+    n = sum(counts.values()) // 500
+    assert sorted(r["part"] for r in found) == list(range(n))
+    assert sum(len(r["pairs"]) for r in found) == 8 * len(ranking.MEASURES) * ranking.MEETINGS * counts[1]
+    model = ranking.learn(docs, labels)
+    below = rows.filter(model.linear() < model.shift).count()
+    ties = rows.filter(F.abs(model.linear() - model.shift) < 1e-12).count()
+    assert below <= counts[0] <= below + ties
+    values = np.random.default_rng(3).standard_normal(500).tolist() + [0.25] * 40
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [ranking.nth(x, k) for k in (0, 17, 300, 539)] == [sorted(values)[k] for k in (0, 17, 300, 539)]
+
+
 def test_ranking_reads_texts_only(odd):
     rows, df = odd
     model = ranking.Model([1.0] * len(ranking.MEASURES), 0.5)
