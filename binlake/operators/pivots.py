@@ -3,6 +3,9 @@
 Both cut the index into cells, let each query visit some of them and score a visit as a small matrix product of a block of
 index rows and a block of queries.  The exact search visits cells best bound first and stops a query once no cell left can beat the k-th
 best that it has found; the approximate one visits the buckets of a few hyperplane codes and ranks what it meets exactly.
+
+The exact search's cells travel in groups of neighbours: a query moves once for all the cells of a group that it visits in a round, and a
+group once for a block of queries, so vectors move per group and block and not per visit.
 """
 from __future__ import annotations
 
@@ -23,12 +26,18 @@ MOST_PIVOTS = 1 << 17
 #: Rows of a leaf on average, at least: smaller ones save less than they cost.
 LEAF_ROWS = 1024
 #: Cells of a query's first round of visits, and how many times more each further one has.
-FIRST, FACTOR = 4, 4
+FIRST, FACTOR = 4, 16
+#: Rows of a block of the exact search: an eighth of the index between these.  Copies of a vector that are more than the first are cut.
+BLOCK_ROWS, MOST_BLOCK_ROWS = 2048, 1 << 16
+#: Queries that are scored at once.
+SLICE = 512
+#: Similarities that round to the same differ by less.
+TIED = 1.1 * 10 ** -DIGITS
 RANKED = "q_binary string, q_addr bigint, binary string, addr bigint, similarity double"
 
 
 def unit(block: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in block]) if len(block) else np.zeros((0, 1))
+    m = np.stack(list(block)).astype(np.float64, copy=False) if len(block) else np.zeros((0, 1))
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -48,6 +57,7 @@ class Tree:
         # nothing lies in a shell whose low end is above its high end
         self.low, self.high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
         self.top_low, self.top_high = np.full(count, np.inf), np.full(count, -np.inf)
+        self.group = np.zeros(len(pivots), np.int32)
 
     def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Leaf of each row, the angle to it and the angle to its top."""
@@ -68,6 +78,15 @@ class Tree:
             self.low[leaf], self.high[leaf] = low, high
             self.top_low[t], self.top_high[t] = min(self.top_low[t], top_low), max(self.top_high[t], top_high)
 
+    def grouped(self, sizes: dict[int, int], rows: int) -> None:
+        """Deals the leaves, those of one top together, to groups of at most ``rows`` rows; a larger leaf is one group."""
+        group = held = 0
+        for leaf in (leaf for leaves in self.below for leaf in leaves):
+            if held and held + sizes.get(leaf, 0) > rows:
+                group, held = group + 1, 0
+            self.group[leaf] = group
+            held += sizes.get(leaf, 0)
+
     @staticmethod
     def _best(angle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The greatest cosine that a row of each shell can have, by the triangle inequality of angles."""
@@ -85,33 +104,48 @@ class Tree:
                 out[np.ix_(asked, leaves)] = np.where(best >= bars[asked][:, None] - SLACK, best, -np.inf)
         return out
 
-    def next_visits(self, queries: np.ndarray, bars: np.ndarray, done: int, step: int) -> list[list[int]]:
-        """The leaves of rank ``done`` to ``done + step`` in the order of the bounds, as far as they reach the bar."""
+    def next_visits(self, queries: np.ndarray, bars: np.ndarray, done: int, step: int) -> list[list[np.ndarray]]:
+        """The leaves of rank ``done`` to ``done + step`` in the order of the bounds, as far as they reach the bar: for each group its number and then them."""
         out = []
         for at in range(0, len(queries), 256):
             bound = self.bounds(queries[at:at + 256], bars[at:at + 256])
             for row in bound:
                 able = np.flatnonzero(row > -np.inf)
-                out.append(able[np.argsort(-row[able], kind="stable")][done:done + step].tolist() if len(able) > done else [])
+                due = able[np.argsort(-row[able], kind="stable")][done:done + step].astype(np.int32) if len(able) > done else able[:0]
+                due = due[np.argsort(self.group[due], kind="stable")]
+                groups, firsts = np.unique(self.group[due], return_index=True)
+                out.append([np.concatenate([[g], leaves]).astype(np.int32) for g, leaves in zip(groups, np.split(due, firsts[1:]))])
         return out
 
 
-def grown(index: DataFrame, count: int) -> tuple[Tree | None, DataFrame]:
-    """The tree over the vectors that aren't zero, and these with their leaf.  Pivots are chosen by hash."""
+def grown(index: DataFrame, count: int, block_rows: int, kind: str = "array<double>") -> tuple[Tree | None, DataFrame]:
+    """The tree over the vectors that aren't zero, and these as ``kind`` with their leaf and its group.  Pivots are chosen by hash."""
     index = index.filter(V.dot(F.col("vector"), F.col("vector")) > 0)
     chosen = (index.orderBy(F.xxhash64("binary", "addr"), "binary", "addr").limit(count).select("vector").collect())
     if not chosen:
-        return None, index.withColumn("leaf", F.lit(0))
+        return None, index.withColumns({"leaf": F.lit(0), "grp": F.lit(0)})
     tree = Tree(np.unique(unit(pd.Series([r[0] for r in chosen])), axis=0))
 
     @F.pandas_udf("struct<leaf:int,angle:double,top:double>")
     def place(vectors: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("leaf", "angle", "top"), tree.place(unit(vectors)))))
 
-    placed = cut_lineage(index.withColumn("_p", place("vector")).select("*", "_p.*").drop("_p"))
-    stats = placed.groupBy("leaf").agg(F.min("angle"), F.max("angle"), F.min("top"), F.max("top")).collect()
-    tree.measured([tuple(r) for r in stats])
-    return tree, placed.select("binary", "addr", "vector", "leaf")
+    placed = cut_lineage(index.withColumn("_p", place("vector")).select("binary", "addr", F.col("vector").cast(kind).alias("vector"), "_p.*"))
+    stats = placed.groupBy("leaf").agg(F.min("angle"), F.max("angle"), F.min("top"), F.max("top"), F.count("*")).collect()
+    tree.measured([tuple(r)[:5] for r in stats])
+    tree.grouped({r[0]: r[5] for r in stats}, block_rows)
+
+    @F.pandas_udf("int")
+    def group(leaves: pd.Series) -> pd.Series:
+        return pd.Series(tree.group[leaves.to_numpy()])
+
+    return tree, placed.select("binary", "addr", "vector", "leaf", group("leaf").alias("grp"))
+
+
+def narrow(*frames: DataFrame) -> str:
+    """The type that holds all vectors without loss: floats move as half the bytes."""
+    wide = F.exists("vector", lambda x: x.cast("float").cast("double") != x.cast("double"))
+    return "array<float>" if all(f.filter(wide).isEmpty() for f in frames) else "array<double>"
 
 
 def measured(index: DataFrame) -> tuple[int, int, int]:
@@ -132,26 +166,85 @@ def few_copies(index: DataFrame, k: int) -> DataFrame:
             .withColumn("_r", F.row_number().over(every)).filter(F.col("_r") <= 2 * k).drop("_r"))
 
 
+def _first_k(r: np.ndarray, h: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query r its k best rows h by similarity s, equal ones by row."""
+    order = np.lexsort((h, -s, r))
+    r, h, s = r[order], h[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], h[keep], s[keep]
+
+
+def _hits(rows: np.ndarray, own: np.ndarray | None, queries: np.ndarray, theirs: np.ndarray | None, floor: np.ndarray, k: int):
+    """(query, row, similarity) that reach the query's floor, few beyond its k best."""
+    sims = queries @ rows.T
+    if own is not None:
+        sims[theirs[:, None] == own[None, :]] = -2.0
+    low = floor - TIED
+    found = sims >= low[:, None]
+    if k < len(rows) and np.count_nonzero(found) > 4 * k * len(queries):
+        kth = np.partition(sims, len(rows) - k, axis=1)[:, len(rows) - k]
+        found = sims >= np.where(kth > low + TIED, kth - TIED, low)[:, None]
+    r, h = np.nonzero(found)
+    s = np.round(sims[r, h], DIGITS)
+    keep = (s >= floor[r]) & (s > -2.0)
+    return r[keep], h[keep], s[keep]
+
+
+def best_of_part(a: pd.DataFrame, b: pd.DataFrame, k: int, least: float, exclude_same: bool) -> pd.DataFrame:
+    """The k best rows of ``a`` for each query of ``b``.  Memory beyond the vectors is that of a slice of queries and one leaf."""
+    cols = ["q_binary", "q_addr", "binary", "addr", "similarity"]
+    if not len(a) or not len(b):
+        return pd.DataFrame(columns=cols)
+    a = a.sort_values(["binary", "addr"]).reset_index(drop=True)
+    by_leaf = "leaf" in a.columns
+    if by_leaf:  # queries that start in one leaf share most others
+        b = b.iloc[np.argsort([c[1] for c in b["cells"]], kind="stable")].reset_index(drop=True)
+    # rows of a leaf together, each leaf's by binary and address
+    leaf = a["leaf"].to_numpy() if by_leaf else np.zeros(len(a), int)
+    place = np.argsort(leaf, kind="stable")
+    leaf, rows, queries = leaf[place], unit(a["vector"].iloc[place]), unit(b["vector"])
+    own = theirs = None
+    if exclude_same:
+        codes = pd.factorize(np.concatenate([a["binary"].to_numpy()[place], b["q_binary"].to_numpy()]))[0]
+        own, theirs = codes[:len(a)], codes[len(a):]
+    floors = np.maximum(b["bar"].to_numpy() - SLACK, least)
+    out = []
+    for at in range(0, len(b), SLICE):
+        n = min(SLICE, len(b) - at)
+        cells = [c[1:] for c in b["cells"].iloc[at:at + n]] if by_leaf else [[0]] * n
+        who, visited = np.repeat(np.arange(n), [len(c) for c in cells]), np.concatenate(cells)
+        order = np.argsort(visited, kind="stable")
+        who, visited = who[order], visited[order]
+        floor, best = floors[at:at + n].copy(), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        held = 0
+        for x in np.unique(visited):
+            mine = slice(*np.searchsorted(leaf, [x, x + 1]))
+            asked = who[slice(*np.searchsorted(visited, [x, x + 1]))]
+            r, h, s = _hits(rows[mine], None if own is None else own[mine], queries[at + asked], None if own is None else theirs[at + asked], floor[asked], k)
+            best.append((asked[r], place[mine][h], s))
+            held += len(r)
+            if held > 4 * k * n:
+                best = [_first_k(*map(np.concatenate, zip(*best)), k)]
+                r, _, s = best[0]
+                held, full = len(r), np.bincount(r, minlength=n) == k
+                worst = np.full(n, np.inf)
+                np.minimum.at(worst, r, s)
+                floor[full] = np.maximum(floor[full], worst[full])
+        r, h, s = _first_k(*map(np.concatenate, zip(*best)), k)
+        out.append((r + at, h, s))
+    r, h, s = map(np.concatenate, zip(*out))
+    return pd.DataFrame({
+        "q_binary": b["q_binary"].to_numpy()[r], "q_addr": b["q_addr"].to_numpy()[r],
+        "binary": a["binary"].to_numpy()[h], "addr": a["addr"].to_numpy()[h], "similarity": s + 0.0})
+
+
 def scored(left: DataFrame, right: DataFrame, part: list[str], k: int, least: float, exclude_same: bool) -> DataFrame:
-    """The k best rows of ``left`` per query of ``right`` in each part; a query with a ``bar`` needs rows that reach it."""
+    """The k best rows of ``left`` per query of ``right`` in each part; a query with a ``bar`` needs rows that reach it.
+
+    Rows with a ``leaf`` are scored only with the queries that name it among their ``cells``.
+    """
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = ["q_binary", "q_addr", "binary", "addr", "similarity"]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=cols)
-        a = a.sort_values(["binary", "addr"]).reset_index(drop=True)
-        sims = np.round(unit(b["vector"]) @ unit(a["vector"]).T, DIGITS)
-        if exclude_same:
-            sims[b["q_binary"].to_numpy()[:, None] == a["binary"].to_numpy()[None, :]] = -2.0
-        keep = min(k, len(a))
-        floor = np.maximum(np.partition(sims, len(a) - keep, axis=1)[:, len(a) - keep], np.maximum(b["bar"].to_numpy() - SLACK, least))
-        rows, hits = np.nonzero((sims >= floor[:, None]) & (sims > -2.0))
-        out = pd.DataFrame({"r": rows, "h": hits, "similarity": sims[rows, hits]})
-        out = (out.sort_values(["r", "similarity", "h"], ascending=[True, False, True])
-               .groupby("r", sort=False).head(k))
-        return pd.DataFrame({
-            "q_binary": b["q_binary"].to_numpy()[out["r"]], "q_addr": b["q_addr"].to_numpy()[out["r"]],
-            "binary": a["binary"].to_numpy()[out["h"]], "addr": a["addr"].to_numpy()[out["h"]],
-            "similarity": out["similarity"].to_numpy() + 0.0})
+        return best_of_part(a, b, k, least, exclude_same)
 
     return left.groupBy(*part).cogroup(right.groupBy(*part)).applyInPandas(score, RANKED)
 
@@ -164,7 +257,7 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
 def meeting(cells: DataFrame, visits: DataFrame, cell: list[str], block_rows: int) -> tuple[DataFrame, DataFrame, list[str], Column]:
     """Index rows and visiting queries in blocks of at most ``block_rows`` on average, each pair of blocks of a cell being one part.
 
-    A cell that nobody visits isn't moved.  Also returns the parts' columns and the number of copies that a cell's blocks take.
+    A cell that nobody visits isn't moved; of the rows' other columns ``leaf`` and ``cells`` come along.  Also returns the parts' columns and the number of copies that a cell's blocks take.
     """
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block_rows)).cast("int")
     sizes = (cells.groupBy(*cell).agg(F.count("*").alias("_n")).join(visits.groupBy(*cell).agg(F.count("*").alias("_v")), cell)
@@ -177,18 +270,19 @@ def meeting(cells: DataFrame, visits: DataFrame, cell: list[str], block_rows: in
     right = (visits.join(sizes, cell).withColumn("qb", dealt(["q_binary", "q_addr"], "_qbs"))
              .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))))
     copies = sizes.agg(F.sum(F.col("_n") * F.col("_qbs") + F.col("_v") * F.col("_subs"))).first()[0] or 0
-    return (left.select(*cell, "sub", "qb", "binary", "addr", "vector"),
-            right.select(*cell, "sub", "qb", "q_binary", "q_addr", "vector", "bar"), [*cell, "sub", "qb"], copies)
+    return (left.select(*cell, "sub", "qb", "binary", "addr", "vector", *[c for c in ("leaf",) if c in cells.columns]),
+            right.select(*cell, "sub", "qb", "q_binary", "q_addr", "vector", "bar", *[c for c in ("cells",) if c in visits.columns]),
+            [*cell, "sub", "qb"], copies)
 
 
 def _visits(tree: Tree, done: int, step: int):
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<array<int>>")
     def visits(vectors: pd.Series, bars: pd.Series) -> pd.Series:
         return pd.Series(tree.next_visits(unit(vectors), bars.to_numpy(), done, step))
     return visits
 
 
-def exact(index: DataFrame, queries: DataFrame, k: int, least: float, exclude_same: bool, pivots: int | None, block_rows: int,
+def exact(index: DataFrame, queries: DataFrame, k: int, least: float, exclude_same: bool, pivots: int | None, block_rows: int | None,
           counted: dict | None = None) -> DataFrame:
     """Exact k best per query.  Rounds of visits grow in width by a factor, which bounds the cells that a query visits beyond those it needs.
 
@@ -196,12 +290,14 @@ def exact(index: DataFrame, queries: DataFrame, k: int, least: float, exclude_sa
     """
     index = index.select("binary", "addr", "vector")
     n, zeros, most = measured(index)
-    if most > block_rows:
+    if most > (block_rows or BLOCK_ROWS):
         index = few_copies(index, k)
+    block_rows = block_rows or min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, math.ceil(n / 8)))
+    kind = narrow(index, queries)
     asked = queries.select(F.col("binary").alias("q_binary"), F.col("addr").alias("q_addr"), F.col("vector").alias("vector"))
     length = V.dot(F.col("vector"), F.col("vector"))
-    none = [asked.filter(length == 0), asked.filter(length > 0)]
-    tree, cells = grown(index, pivots or 1 + min(MOST_PIVOTS, math.isqrt(n), n // LEAF_ROWS))
+    none = [asked.filter(length == 0), asked.filter(length > 0).withColumn("vector", F.col("vector").cast(kind))]
+    tree, cells = grown(index, pivots or 1 + min(MOST_PIVOTS, math.isqrt(n), n // LEAF_ROWS), block_rows, kind)
     # vectors of zeros have similarity 0 with all: the first rows win, as among copies
     own = Window.partitionBy("binary").orderBy("addr")
     def firsts(rows):
@@ -226,7 +322,7 @@ def exact(index: DataFrame, queries: DataFrame, k: int, least: float, exclude_sa
         active = cut_lineage(waiting.withColumn("cells", visits("vector", "bar")).filter(F.size("cells") > 0))
         if active.isEmpty():
             break
-        left, right, part, copies = meeting(cells, active.withColumn("leaf", F.explode("cells")).drop("cells"), ["leaf"], block_rows)
+        left, right, part, copies = meeting(cells, active.withColumn("cells", F.explode("cells")).withColumn("grp", F.col("cells")[0]), ["grp"], block_rows)
         found = scored(left, right, part, k, least, exclude_same)
         best = cut_lineage(ranked(best.drop("rank").unionByName(found), k).select("q_binary", "q_addr", "binary", "addr", "similarity", "rank"))
         active = active.select("q_binary", "q_addr", "vector")

@@ -36,12 +36,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def topk(index: DataFrame, queries: DataFrame, k: int = 10, min_similarity: float = 0.0,
-         exclude_same: bool = True, pivots: int | None = None, block_rows: int = 2048, counted: dict | None = None) -> DataFrame:
+         exclude_same: bool = True, pivots: int | None = None, block_rows: int | None = None, counted: dict | None = None) -> DataFrame:
     """Exact top-k by cosine (rounded to 6 digits, ties by binary and addr) for every query.
 
     ``index`` and ``queries`` have (binary, addr, vector).  A tree of pivots (by default as many as the root of the number of rows, fewer for small tables) cuts the
     index into cells; a query visits them best bound first until none left can beat its k-th best (``pivots.exact``).  No candidate is
-    capped.  ``counted`` gets the number of copied vectors and of rounds.
+    capped.  ``block_rows`` bounds the rows of a cell, and the queries, that meet in one task (by default an eighth of the index, 2,048 to 65,536).  ``counted`` gets the number of copied vectors and of rounds.
     """
     return P.exact(index, queries, k, min_similarity, exclude_same, pivots, block_rows, counted)
 

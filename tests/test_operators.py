@@ -588,3 +588,33 @@ def test_progress_and_persistence(spark, tmp_path):
     assert (got.job_id, got.saved_path, got.wall_s, got.funcs, got.shards_done) == ("j1", "/out/x.i64", 2.5, 1234, 2)
     # the file source has no rows for empty files (stated in read_corpus)
     assert corpus.read_corpus(spark, str(tmp_path / "seeds")).count() == 2
+
+
+def test_topk_moves_a_query_once_per_group_of_cells(spark):
+    """Vectors that no bound prunes: each moves with every block of the other side, not with every cell; floats are found to fit half the bytes."""
+    from binlake.operators import pivots
+    rng = np.random.default_rng(8)
+    rows = [(f"b{i % 3}", i, [float(np.float32(x)) for x in rng.normal(size=24)]) for i in range(900)]
+    df, counted = spark.createDataFrame(rows, "binary string, addr bigint, vector array<double>"), {}
+    assert similarity.topk(df, df, 2, pivots=60, counted=counted, block_rows=300).count() == 1800
+    assert counted["copied"] < 900 * 2 * 5 * counted["rounds"]  # 4 groups or so; each query visits most of the 60 cells
+    assert pivots.narrow(df) == "array<float>"
+    assert pivots.narrow(df, df.limit(1).withColumn("vector", F.array(F.lit(0.1)))) == "array<double>"
+
+
+def test_scoring_a_part_takes_slices():
+    """A part's similarities are never held whole, and equal ones go by binary and address."""
+    import tracemalloc
+
+    import pandas as pd
+    from binlake.operators import pivots
+    n = 5000
+    vectors = list(np.random.default_rng(4).normal(size=(n, 4)))
+    a = pd.DataFrame({"binary": "b", "addr": range(n), "vector": vectors, "leaf": [i % 5 for i in range(n)]})
+    b = pd.DataFrame({"q_binary": "q", "q_addr": range(n), "vector": vectors, "bar": -1.0, "cells": [np.array([0, 0, 1, 2, 3, 4])] * n})
+    tracemalloc.start()
+    got = pivots.best_of_part(a, b, 1, 0.0, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got["q_addr"] == got["addr"]).all() and len(got) == n
+    assert peak < n * n * 8 / 4
