@@ -67,9 +67,10 @@ def within(index: DataFrame, queries: DataFrame, binary: str, k: int = 10) -> Da
 
 
 def mutual_best(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs that are each other's best match, with the cosine as ratio."""
+    """Pairs that are each other's best match, with the cosine as ratio.  Searches once where both sides are the same table."""
     ab = topk(index, queries, 1).select("q_binary", "q_addr", "binary", "addr", "similarity")
-    ba = topk(queries, index, 1).select(F.col("binary").alias("q_binary"), F.col("addr").alias("q_addr"),
+    back = ab if index.sameSemantics(queries) else topk(queries, index, 1)
+    ba = back.select(F.col("binary").alias("q_binary"), F.col("addr").alias("q_addr"),
                                         F.col("q_binary").alias("binary"), F.col("q_addr").alias("addr"))
     return ab.join(ba, ["q_binary", "q_addr", "binary", "addr"], "left_semi")
 

@@ -602,6 +602,18 @@ def test_topk_moves_a_query_once_per_group_of_cells(spark):
     assert pivots.narrow(df, df.limit(1).withColumn("vector", F.array(F.lit(0.1)))) == "array<double>"
 
 
+def test_mutual_best_searches_a_table_once(spark, monkeypatch):
+    asked = []
+    search = similarity.topk
+    monkeypatch.setattr(similarity, "topk", lambda *a, **b: asked.append(1) or search(*a, **b))
+    rows = [("a", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.1]), ("b", 3, [0.0, 1.0]), ("a", 4, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "binary string, addr bigint, vector array<double>")
+    pairs = {(r.q_addr, r.addr) for r in similarity.mutual_best(df, df).collect()}
+    assert pairs == {(1, 2), (2, 1), (3, 4), (4, 3)} and len(asked) == 1
+    other = df.filter("addr < 3")
+    assert {(r.q_addr, r.addr) for r in similarity.mutual_best(df, other).collect()} == {(1, 2), (2, 1)} and len(asked) == 3
+
+
 def test_scoring_a_part_takes_slices():
     """A part's similarities are never held whole, and equal ones go by binary and address."""
     import tracemalloc
