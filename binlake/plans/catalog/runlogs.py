@@ -13,7 +13,11 @@ KEYS = ["campaign"]
 
 
 def show(col, digits=6):
-    return F.array_join(F.transform(col, lambda x: F.format_string(f"%.{digits}f", F.round(x.cast("double"), digits))), ",")
+    def text(x):
+        plain = x.cast("double").cast("string")
+        whole = F.when(plain == "0.0", "0." + "0" * digits).when(plain == "1.0", "1." + "0" * digits)  # most are, and formatting is slow
+        return whole.otherwise(F.format_string(f"%.{digits}f", F.round(x.cast("double"), digits)))
+    return F.array_join(F.transform(col, text), ",")
 
 
 def shown(items: str) -> str:

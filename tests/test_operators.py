@@ -630,3 +630,26 @@ def test_scoring_a_part_takes_slices():
     tracemalloc.stop()
     assert (got["q_addr"] == got["addr"]).all() and len(got) == n
     assert peak < n * n * 8 / 4
+
+
+def test_plain_words_equal_the_shells():
+    import shlex
+
+    from binlake.functions import commands
+    r = random.Random(2)
+    for _ in range(3000):
+        text = "".join(r.choice(" \t\r\nab=-#|;&$'\"\\\x0b\x85é") for _ in range(r.randrange(9)))
+        try:
+            want = shlex.split(text)
+        except ValueError:
+            want = text.split()
+        assert commands._split(text) == want
+
+
+def test_command_features_name_the_program_once(spark):
+    """The expression over the words is evaluated once and not once per family and value."""
+    from binlake.functions import commands
+    df = spark.createDataFrame([("sudo /bin/ls -l 'a b' > x",)], "c string").withColumn("t", commands.tokens("c"))
+    out = df.select(commands.features(F.col("c"), F.col("t")).alias("f"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sudo") <= 2 and len(out.first().f) == 32
