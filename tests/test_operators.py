@@ -653,3 +653,13 @@ def test_command_features_name_the_program_once(spark):
     out = df.select(commands.features(F.col("c"), F.col("t")).alias("f"))
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("sudo") <= 2 and len(out.first().f) == 32
+
+
+def test_range_join_lists_a_point_few_times_and_broadcasts_nothing(spark):
+    """Lengths of six powers of two share two widths, and the intervals' listing, whose size isn't known, is not broadcast."""
+    from binlake.plans.ranges import range_join
+    spans = spark.range(3000).selectExpr("'b' AS binary", "id * 4096 AS start", "id * 4096 + 16 * (1 + id % 50) AS end", "id")
+    points = spark.range(3000).selectExpr("'b' AS binary", "id * 4096 + id % 800 AS p")
+    got = range_join(points, spans, ["binary"], "p")
+    assert got.count() == sum(i % 800 < 16 * (1 + i % 50) for i in range(3000))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
