@@ -79,13 +79,13 @@ def novelty(runs: DataFrame, keys: list[str], step: str = "step", signature: str
     """Streaming form of ``learn.novelty``: a counter per key and signature."""
     def count(key, frames, state):
         seen = state.get[0] if state.exists else 0
-        rows = _sorted(frames, step)
-        n = np.arange(seen + 1, seen + 1 + len(rows))
+        # only the steps are read and one frame is made: a group is often a few rows, and each pandas call costs more than they do
+        steps = [f[step] for f in frames]
+        steps = steps[0] if len(steps) == 1 else pd.concat(steps, ignore_index=True)
+        steps = np.sort(steps.to_numpy()) if steps.dtype.kind in "iu" else steps.sort_values(kind="stable").to_numpy()
+        n = np.arange(seen + 1, seen + 1 + len(steps))
         state.update((int(n[-1]),))
-        out = pd.DataFrame({step: rows[step].to_numpy(), "times_seen": n, "is_new": n == 1, "reward": 1 / np.sqrt(n)})
-        for name, value in zip([*keys, signature], key):
-            out[name] = value
-        yield out[[*keys, signature, step, "times_seen", "is_new", "reward"]]
+        yield pd.DataFrame({**dict(zip([*keys, signature], key)), step: steps, "times_seen": n, "is_new": n == 1, "reward": 1 / np.sqrt(n)}, copy=False)
 
     schema = _ddl(runs, [*keys, signature, step]) + ", times_seen bigint, is_new boolean, reward double"
     return runs.groupBy(*keys, signature).applyInPandasWithState(

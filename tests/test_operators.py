@@ -663,3 +663,32 @@ def test_range_join_lists_a_point_few_times_and_broadcasts_nothing(spark):
     got = range_join(points, spans, ["binary"], "p")
     assert got.count() == sum(i % 800 < 16 * (1 + i % 50) for i in range(3000))
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streamed_novelty_makes_one_frame_per_group(monkeypatch):
+    """A group that comes in one frame is neither joined nor sorted as a frame; steps in any order, frames and states count on."""
+    import pandas as pd
+    from binlake.streaming import stateful
+
+    class Rows:
+        dtypes = [("campaign", "bigint"), ("signature", "string"), ("step", "bigint")]
+        groupBy = lambda self, *keys: self
+        applyInPandasWithState = lambda self, count, *rest: count  # noqa: E731, N815
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    count, state = stateful.novelty(Rows(), ["campaign"]), State()
+    frame = lambda *steps: pd.DataFrame({"campaign": 7, "signature": "a", "step": steps})
+    with monkeypatch.context() as m:
+        m.setattr(stateful.pd, "concat", None)
+        first, = count((7, "a"), iter([frame(5, 3, 4)]), state)
+    assert list(first.columns) == ["campaign", "signature", "step", "times_seen", "is_new", "reward"]
+    assert first.values.tolist() == [[7, "a", 3, 1, True, 1.0], [7, "a", 4, 2, False, 1 / 2 ** 0.5], [7, "a", 5, 3, False, 1 / 3 ** 0.5]]
+    more, = count((7, "a"), iter([frame(9), frame(8)]), state)
+    assert more["step"].tolist() == [8, 9] and more["times_seen"].tolist() == [4, 5] and state.get == (5,)
+    nulls, = count((7, "b"), iter([frame(None, 2.0)]), State())
+    assert nulls["step"].iloc[0] == 2 and np.isnan(nulls["step"].iloc[1])
