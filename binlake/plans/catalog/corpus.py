@@ -64,8 +64,8 @@ def _name(kind: str):
     UNION ALL SELECT 'mac/' || p_partkey, 'generic', 'Mach-O (macOS)', 'x86_64', NULL, 4 + length(encode(p_name)) FROM part
     UNION ALL SELECT 'sh/' || p_partkey, 'generic', 'Script', 'x86_64', NULL, 2 + length(encode(p_name)) FROM part""".replace("length(encode(p_name))", "strlen(p_name)"))
 def files_sniff(t):
-    """Five kinds of files, stored and then told by their headers."""
-    names = corpus.described(t.spark, t.stored(t.images().select("path", "content"), t.executables()))
+    """Five kinds of files, stored in packs and then told by their headers."""
+    names = corpus.described(t.spark, t.stored(t.images().select("path", "content"), t.executables(), packed=True))
     return names.select(F.regexp_extract("path", "([a-z]+/[0-9]+)$", 1).alias("path"), "format", "kind", "arch", "hint", "length")
 
 

@@ -247,13 +247,13 @@ class Tables:
             F.concat(F.lit("bin/"), p.cast("string")).alias("path"), (F.lit(4194304) + p * 65536).alias("base"),
             F.unhex(text).alias("content"))
 
-    def stored(self, *blobs: DataFrame) -> str:
-        """A fresh folder below the shared one with a file for each (path, content)."""
+    def stored(self, *blobs: DataFrame, packed: bool = False) -> str:
+        """A fresh folder below the shared one with a file for each (path, content), many to a pack where asked for."""
         folder = f"{shared_folder(self.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
         rows = blobs[0].select("path", "content")
         for more in blobs[1:]:
             rows = rows.unionByName(more.select("path", "content"))
-        byteranges.store(rows, folder).write.format("noop").mode("overwrite").save()
+        (byteranges.pack if packed else byteranges.store)(rows, folder).write.format("noop").mode("overwrite").save()
         return folder
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:

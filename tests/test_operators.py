@@ -1,5 +1,6 @@
 """Operators against brute force, under tiny blocks and hot keys."""
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -195,6 +196,55 @@ def test_files_by_ranges(spark, tmp_path):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_packed_files(spark, tmp_path, monkeypatch):
+    """Members of packs are listed, described, cut and sliced like files; a pack that broke off, repeated names and nested packs."""
+    from binlake.sources import byteranges
+    monkeypatch.setattr(byteranges, "CHUNK", 8)
+    e64, _ = elf()
+    files = {"img/1": e64, "exe/2.exe": pe(), "noise": random.Random(1).randbytes(3000), "sh/3": b"#!x", ".hidden": b"h", "empty": b"", "x/_y": b"y"}
+    blobs = spark.createDataFrame([*files.items(), *files.items(), (None, b"MZ no name")], "path string, content binary").repartition(3)
+    root = tmp_path / "packs"
+    for folder, rows in ((f"file:{root}", blobs), (str(root / "below"), spark.createDataFrame([("img/1", e64[:40])], blobs.schema))):
+        assert byteranges.pack(rows, folder, 3).count() == rows.count()
+    assert len(list(root.glob("_pack-*.index"))) > 4
+    (root / "_pack-9-9-9.data").write_bytes(b"broke off")
+    (root / "plain").write_bytes(b"MZ plain")
+    files |= {"None": b"MZ no name", "below/img/1": e64[:40], "plain": b"MZ plain"}
+    name = F.regexp_replace(F.regexp_replace("path", f"^{root}/", ""), "_pack-.*?[.]data@[0-9]+[+][0-9]+/", "")
+    seen = {k: v for k, v in files.items() if v and k.rpartition("/")[2][0] not in "._"}
+    def listing(**only):
+        return sorted((r.n, r.length) for r in byteranges.listed(spark, str(root), **only).select(name.alias("n"), "length").collect())
+    assert listing() == sorted((k, len(v)) for k, v in seen.items())
+    assert listing(glob="*.exe") == [("exe/2.exe", len(pe()))]
+    assert listing(recursive=False) == [("None", 10), ("noise", 3000), ("plain", 8)]
+    plain = tmp_path / "plain"
+    byteranges.store(spark.createDataFrame([*seen.items()], blobs.schema), str(plain)).count()
+    def told(folder):
+        known = corpus.described(spark, str(folder))
+        return sorted(map(str, known.withColumn("path", F.regexp_replace(name, f"^{plain}/", "")).collect()))
+    assert told(root) == told(plain)
+    pieces = {k: (bytes(r[1]), r[0]) for k, r in ((r.n, (r.path, r.data)) for r in byteranges.load(spark, str(root), chunk=1 << 20).select(name.alias("n"), "path", "data").collect())}
+    assert {k: v for k, (v, _) in pieces.items()} == seen
+    cut = byteranges.load(spark, str(root), chunk=7, before=2, after=3).withColumn("n", name)
+    assert all(bytes(r.data) == seen[r.n][r.off - r.lead:r.off + r.own + 3] and r.lead == min(2, r.off) for r in cut.collect())
+    assert cut.groupBy("n").agg(F.sum("own").alias("own")).filter("n = 'noise'").first().own == 3000
+    wanted = spark.createDataFrame([(pieces["noise"][1], [(2990, 50), (0, 2), (3000, 1)])], "path string, pieces array<struct<off:bigint,n:bigint>>")
+    assert [bytes(r.data) for r in byteranges.slices(wanted).collect()] == [files["noise"][2990:] + files["noise"][:2]]
+
+
+def test_files_sniff_makes_few_files(spark, tmp_path, monkeypatch):
+    """Many small files take few of the file system's own: it has a fixed number of them."""
+    from binlake.plans.catalog import registry
+    from binlake.plans.relations import Tables
+    made, stored = [], Tables.stored
+    monkeypatch.setattr(Tables, "stored", lambda *a, **b: made.append(stored(*a, **b)) or made[-1])
+    part = spark.range(1, 301).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 + 1 AS INT) AS p_size", "1.0D AS p_retailprice")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    rows = registry()["files_sniff"][0](spark, str(tmp_path)).collect()
+    assert len(rows) == len({r.path for r in rows}) == 1500 and len({(r.format, r.kind) for r in rows}) == 5
+    assert len(list(Path(made[0].removeprefix("file:")).rglob("*"))) < 100
+
+
 def test_files_are_listed_by_tasks(spark, tmp_path):
     """No scan that plans files or ranges on the driver; nested and hidden files, globs, a folder's own files alone."""
     from binlake.sources import byteranges
