@@ -78,7 +78,8 @@ FILE_SECTIONS = f"""se AS (SELECT 'img/' || p_partkey AS path, 0 AS image_base,
 
 @q("", "SELECT * FROM se", FILE_SECTIONS)
 def files_sections(t):
-    found = corpus.file_sections(corpus.described(t.spark, t.stored(t.images().select("path", "content"), t.executables())))
+    """Section tables of files stored in packs."""
+    found = corpus.file_sections(corpus.described(t.spark, t.stored(t.images().select("path", "content"), t.executables(), packed=True)))
     return found.withColumn("path", F.regexp_extract("path", "([a-z]+/[0-9]+)$", 1))
 
 

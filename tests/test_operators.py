@@ -232,16 +232,17 @@ def test_packed_files(spark, tmp_path, monkeypatch):
     assert [bytes(r.data) for r in byteranges.slices(wanted).collect()] == [files["noise"][2990:] + files["noise"][:2]]
 
 
-def test_files_sniff_makes_few_files(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("query, count, kinds, per", [("files_sniff", 1500, 5, ("format", "kind")), ("files_sections", 2100, 7, ("name",))])
+def test_stored_files_are_few(spark, tmp_path, monkeypatch, query, count, kinds, per):
     """Many small files take few of the file system's own: it has a fixed number of them."""
     from binlake.plans.catalog import registry
     from binlake.plans.relations import Tables
     made, stored = [], Tables.stored
     monkeypatch.setattr(Tables, "stored", lambda *a, **b: made.append(stored(*a, **b)) or made[-1])
-    part = spark.range(1, 301).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 + 1 AS INT) AS p_size", "1.0D AS p_retailprice")
+    part = spark.range(100, 30100, 100).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id / 100 % 49 + 2 AS INT) AS p_size", "1.0D AS p_retailprice")
     part.write.parquet(str(tmp_path / "part.parquet"))
-    rows = registry()["files_sniff"][0](spark, str(tmp_path)).collect()
-    assert len(rows) == len({r.path for r in rows}) == 1500 and len({(r.format, r.kind) for r in rows}) == 5
+    rows = registry()[query][0](spark, str(tmp_path)).collect()
+    assert len(rows) == len({(r.path, *(r[c] for c in per)) for r in rows}) == count and len({tuple(r[c] for c in per) for r in rows}) == kinds
     assert len(list(Path(made[0].removeprefix("file:")).rglob("*"))) < 100
 
 
