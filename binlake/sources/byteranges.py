@@ -31,8 +31,9 @@ TASK_BYTES, TASK_RANGES = 1 << 26, 4096
 MOST_TASKS = 4096
 #: Bytes and members after which a pack is closed.
 PACK_BYTES, PACK_FILES = 1 << 26, 1 << 16
-#: The path of a member: the pack, the place in it (the last six digits apart) and the length.
-MEMBER = r"^(.+?/_pack-[0-9-]+[.]data)@([0-9]{6,})([0-9]{6})[+]([0-9]+)/"
+#: The path of a member: the pack, the place in it and the length; the last six digits of the place are within a block.
+MEMBER = r"^(.+?/_pack-[0-9-]+[.]data)@([0-9]{12,})[+]([0-9]+)/"
+BLOCK = r"^(.+?/_pack-[0-9-]+[.]data@[0-9]{6,})[0-9]{6}[+][0-9]+/"
 SCHEMA = "path string, length bigint, off bigint, lead int, own int, data binary"
 
 
@@ -149,7 +150,7 @@ class _Files:
             self.close()
             fs, inside = opened(name)
             self._name, self._file = name, fs.open_input_file(inside)
-        start, size = (int(member[2] + member[3]), int(member[4])) if member else (0, self._file.size())
+        start, size = (int(member[2]), int(member[3])) if member else (0, self._file.size())
         return self._file.read_at(min(n, size - off), start + off) if 0 <= off < size and n > 0 else b""
 
     def close(self) -> None:
@@ -180,17 +181,17 @@ def load(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK, he
     ``data`` starts ``lead`` bytes before offset ``off`` and holds ``own`` bytes from there and those behind that were asked for
     (``before``, ``after``).  ``chunk`` is the own bytes of a row; ``head`` asks for only that many first bytes of each file.
     """
-    files = listed(spark, path, glob)
     # a block of a pack is read by one task, in order; ranges of other files are dealt out one by one
-    block = F.regexp_extract("path", MEMBER, 1), F.regexp_extract("path", MEMBER, 2)
-    packed = block[0] != ""
+    files = listed(spark, path, glob).withColumn("block", F.regexp_extract("path", BLOCK, 1))
+    single = F.col("block") == ""
     starts = F.array(F.lit(0).cast("bigint")) if head else F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(chunk).cast("bigint"))
     own = F.least(F.lit(head), F.col("length")) if head else F.least(F.lit(chunk), F.col("length") - F.col("off"))
-    ranges = files.select("path", "length", F.explode(starts).alias("off")).withColumn("own", own.cast("bigint"))
-    opens = (F.lit(1) if head else F.ceil(F.col("length") / chunk)) * F.when(packed, TASK_RANGES / PACK_FILES).otherwise(1)
+    ranges = files.select("path", "length", "block", F.explode(starts).alias("off")).withColumn("own", own.cast("bigint"))
+    opens = (F.lit(1) if head else F.ceil(F.col("length") / chunk)) * F.when(single, 1).otherwise(TASK_RANGES / PACK_FILES)
     size = files.agg(F.sum(opens), F.sum(F.least(F.lit(head), F.col("length")) if head else F.col("length"))).first()
-    ranges = cut_lineage(ranges.repartition(_tasks(*(math.ceil(x or 0) for x in size)), F.when(packed, F.concat(*block)).otherwise(F.col("path")),
-                                            F.when(packed, F.expr(f"off div {CHUNK}")).otherwise(F.col("off"))).sortWithinPartitions("path", "off"))
+    dealt = F.when(single, F.col("path")).otherwise(F.col("block")), F.when(single, F.col("off")).otherwise(F.expr(f"off div {CHUNK}"))
+    ranges = ranges.repartition(_tasks(*(math.ceil(x or 0) for x in size)), *dealt).sortWithinPartitions("path", "off")
+    ranges = cut_lineage(ranges.select("path", "length", "off", "own"))
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("off", pa.int64()), ("lead", pa.int32()), ("own", pa.int32()), ("data", pa.binary())])
 
     def read(batches):
